@@ -8,6 +8,8 @@ repetition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,26 +120,17 @@ def _repetition(tables: Tables, kits=None) -> DataFrame:
     )
 
 
-def _held(tables: Tables) -> DataFrame:
+def _held(contents: DataFrame) -> DataFrame:
     """Contents per kit serial and component edi.
 
     ``matches`` counts the content rows the report joins to one grid row, ``filled``
     those with a quantity other than zero.
     """
     quantity = F.col("quantity_available")
-    return (
-        serial_contents(tables)
-        .where(F.col("serial_number").isNotNull())
-        .groupBy(
-            F.col("kit_prod_number").alias("kit_product_number"),
-            "serial_number",
-            F.col("component_edi").alias("component_prod_id"),
-        )
-        .agg(
-            F.coalesce(F.sum(quantity), F.lit(0).cast("long")).alias("quantity"),
-            F.count(F.lit(1)).alias("matches"),
-            F.count(F.when(quantity != 0, 1)).alias("filled"),
-        )
+    return contents.groupBy("kit_product_number", "serial_number", "component_prod_id").agg(
+        F.coalesce(F.sum(quantity), F.lit(0).cast("long")).alias("quantity"),
+        F.count(F.lit(1)).alias("matches"),
+        F.count(F.when(quantity != 0, 1)).alias("filled"),
     )
 
 
@@ -161,9 +154,51 @@ def _report_serials(tables: Tables, kits=None, requests: DataFrame | None = None
     return rows.groupBy("kit_number", "serial_number").agg(F.count(F.lit(1)).alias("serial_rows"))
 
 
-def serial_shortfall(
-    tables: Tables, kits=None, requests: DataFrame | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Report:
+    """What the report and its counts are made of, each part computed once."""
+
+    tables: Tables
+    kits: object
+    serials: DataFrame
+    repetition: DataFrame
+    contents: DataFrame
+
+    def heavy(self) -> DataFrame:
+        """Kits whose part of the report has to be cut into tiles."""
+        key = "kit_product_number"
+        return heavy_keys(
+            self.serials.groupBy(F.col("kit_number").alias(key)).agg(
+                F.sum("serial_rows").alias("left_rows")
+            ),
+            self.repetition.groupBy(key).agg(
+                F.sum("times").alias("right_rows"), F.count(F.lit(1)).alias("right_values")
+            ),
+            key,
+        )
+
+
+def _report(tables: Tables, kits=None, requests: DataFrame | None = None) -> _Report:
+    if requests is not None:
+        kits = _kits_of(requests)
+    contents = serial_contents(tables).where(F.col("serial_number").isNotNull())
+    return _Report(
+        tables,
+        kits,
+        tables.shared(_report_serials(tables, kits, requests)),
+        tables.shared(_repetition(tables, kits)),
+        tables.shared(
+            contents.select(
+                F.col("kit_prod_number").alias("kit_product_number"),
+                "serial_number",
+                F.col("component_edi").alias("component_prod_id"),
+                "quantity_available",
+            )
+        ),
+    )
+
+
+def _shortfall(report: _Report) -> DataFrame:
     """Missing pieces per kit serial, over the repeated rows of the report.
 
     Equal to adding up ``standard - quantity`` over the report rows of the serial,
@@ -175,44 +210,32 @@ def serial_shortfall(
     Columns: kit_number, serial_number, serial_rows, report_rows (rows per serial row),
     pieces_missing, components_missing (report rows whose quantity is zero).
     """
-    if requests is not None:
-        kits = requests.select("kit_number").distinct()
-    repetition = _repetition(tables, kits)
-    whole_kit = repetition.groupBy("kit_product_number").agg(
-        F.sum("wanted").alias("wanted"), F.sum("times").alias("times")
+    whole_kit = report.repetition.groupBy(F.col("kit_product_number").alias("kit_number")).agg(
+        F.sum("wanted").alias("wanted"), F.sum("times").alias("report_rows")
     )
     zero = F.lit(0).cast("long")
     matches = F.col("matches")
     wanted = F.coalesce("wanted", zero)
     held = (
-        _held(tables)
-        .join(
-            repetition.where(F.col("component_prod_id").isNotNull()),
-            ["kit_product_number", "component_prod_id"],
-        )
-        .groupBy("kit_product_number", "serial_number")
+        _held(report.contents)
+        .join(report.repetition, ["kit_product_number", "component_prod_id"])
+        .groupBy(F.col("kit_product_number").alias("kit_number"), "serial_number")
         .agg(
             F.sum((matches - 1) * wanted - F.col("quantity") * F.col("known")).alias("change"),
             F.sum((matches - F.col("filled") - 1) * F.col("times")).alias("row_change"),
         )
     )
+    rows = F.col("serial_rows")
     return (
-        _report_serials(tables, kits, requests)
-        .join(whole_kit.withColumnRenamed("kit_product_number", "kit_number"), "kit_number")
-        .join(
-            held.withColumnRenamed("kit_product_number", "kit_number"),
-            ["kit_number", "serial_number"],
-            "left",
-        )
+        report.serials.join(whole_kit, "kit_number")
+        .join(held, ["kit_number", "serial_number"], "left")
         .select(
             "kit_number",
             "serial_number",
             "serial_rows",
-            F.col("times").alias("report_rows"),
-            (F.col("serial_rows") * (F.col("wanted") + F.coalesce("change", zero))).alias(
-                "pieces_missing"
-            ),
-            (F.col("serial_rows") * (F.col("times") + F.coalesce("row_change", zero))).alias(
+            "report_rows",
+            (rows * (F.col("wanted") + F.coalesce("change", zero))).alias("pieces_missing"),
+            (rows * (F.col("report_rows") + F.coalesce("row_change", zero))).alias(
                 "components_missing"
             ),
         )
@@ -220,7 +243,9 @@ def serial_shortfall(
 
 
 def pieces_missing(tables: Tables, kits=None) -> DataFrame:
-    return serial_shortfall(tables, kits).select("kit_number", "serial_number", "pieces_missing")
+    return _shortfall(_report(tables, kits)).select(
+        "kit_number", "serial_number", "pieces_missing"
+    )
 
 
 def _repeat(serials: DataFrame) -> DataFrame:
@@ -231,25 +256,10 @@ def _repeat(serials: DataFrame) -> DataFrame:
     ).drop("serial_rows")
 
 
-def _heavy_kits(tables: Tables, kits=None, requests: DataFrame | None = None) -> DataFrame:
-    serials = _report_serials(tables, kits, requests).groupBy(
-        F.col("kit_number").alias("kit_product_number")
-    )
-    components = _repetition(tables, kits).groupBy("kit_product_number")
-    return heavy_keys(
-        serials.agg(F.sum("serial_rows").alias("left_rows")),
-        components.agg(
-            F.sum("times").alias("right_rows"), F.count(F.lit(1)).alias("right_values")
-        ),
-        "kit_product_number",
-    )
-
-
-def _grid(
-    tables: Tables, serials: DataFrame, heavy: DataFrame, kits=None, how: str = "inner"
-) -> DataFrame:
+def _grid(report: _Report, serials: DataFrame, how: str = "inner") -> DataFrame:
     """Join serials (kit_product_number, serial_number, ...) with the components of
     their kit and with what they hold of them."""
+    tables, kits, heavy = report.tables, report.kits, report.heavy()
     # Whatever does not depend on the serial is attached before the grid is built.
     components = kit_components(tables, kits)
     percent = kit_percent_invalid(tables).select(
@@ -269,12 +279,6 @@ def _grid(
         .join(percent, ["kit_product_number", "kit_edi"], "left")
     )
 
-    contents = serial_contents(tables).select(
-        F.col("kit_prod_number").alias("kit_product_number"),
-        "serial_number",
-        F.col("component_edi").alias("component_prod_id"),
-        "quantity_available",
-    )
     key = "kit_product_number"
     tile = [key, "_lt", "_rt"]
     # All three frames are laid out by tile, so the grid itself stays where it is.
@@ -282,7 +286,7 @@ def _grid(
         tile_rows(serials, heavy, key, left=["serial_number"])
         .join(tile_rows(components, heavy, key, right=["component_prod_id"]), tile, how)
         .join(
-            tile_rows(contents, heavy, key, left=["serial_number"], right=["component_prod_id"]),
+            tile_rows(report.contents, heavy, key, left=["serial_number"], right=["component_prod_id"]),
             [*tile, "serial_number", "component_prod_id"],
             "left",
         )
@@ -296,32 +300,28 @@ def kit_breakout(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
     ``ordered`` sorts it: largest share of invalid kits first with unknown shares
     leading, then kit, serial and component number with NULLs last.
     """
-    serials = _repeat(serial_shortfall(tables, kits)).withColumnRenamed(
-        "kit_number", "kit_product_number"
-    )
-    report = _grid(tables, serials, _heavy_kits(tables, kits), kits).select(*REPORT_COLUMNS)
+    report = _report(tables, kits)
+    serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
+    rows = _grid(report, serials).select(*REPORT_COLUMNS)
     if ordered:
-        report = report.orderBy(
+        rows = rows.orderBy(
             F.desc_nulls_first("percent_invalid"),
             F.asc_nulls_last("kit_product_number"),
             F.asc_nulls_last("serial_number"),
             F.asc_nulls_last("component_product_number"),
         )
-    return report
+    return rows
 
 
 def serial_breakout(tables: Tables, requests: DataFrame) -> DataFrame:
     """Report rows of the requested serials, in long form. A requested serial that
     is not in the report keeps one row without a component."""
-    kits = _kits_of(requests)
-    present = _repeat(_report_serials(tables, kits, requests)).withColumn(
-        "kit_product_number", F.col("kit_number")
-    )
+    report = _report(tables, requests=requests)
+    present = _repeat(report.serials).withColumn("kit_product_number", F.col("kit_number"))
     serials = requests.select("kit_number", "serial_number").join(
         present, ["kit_number", "serial_number"], "left"
     )
-    heavy = _heavy_kits(tables, kits, requests)
-    return _grid(tables, serials, heavy, kits, how="left").select(
+    return _grid(report, serials, how="left").select(
         "kit_number",
         "serial_number",
         "component_product_number",
@@ -340,7 +340,7 @@ def _kits_of(requests: DataFrame) -> DataFrame:
 def serial_diff(tables: Tables, requests: DataFrame) -> DataFrame:
     """Missing pieces and number of missing components of every requested serial; 0
     for a serial that is not in the report."""
-    shortfall = serial_shortfall(tables, requests=requests)
+    shortfall = _shortfall(_report(tables, requests=requests))
     zero = F.lit(0).cast("long")
     return (
         requests.select("kit_number", "serial_number")
@@ -356,12 +356,10 @@ def serial_diff(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def serial_missing_components(tables: Tables, requests: DataFrame) -> DataFrame:
     """The report rows of the requested serials that hold none of their component."""
-    kits = _kits_of(requests)
-    serials = _repeat(_report_serials(tables, kits, requests)).withColumnRenamed(
-        "kit_number", "kit_product_number"
-    )
+    report = _report(tables, requests=requests)
+    serials = _repeat(report.serials).withColumnRenamed("kit_number", "kit_product_number")
     return (
-        _grid(tables, serials, _heavy_kits(tables, kits, requests), kits)
+        _grid(report, serials)
         .where(F.col("qty_in_kit") == 0)
         .select(
             F.col("kit_product_number").alias("kit_number"),
@@ -380,21 +378,23 @@ def requested_contents(tables: Tables, requests: DataFrame) -> DataFrame:
     Columns: kit_number, component, quantity.
     """
     kits = _kits_of(requests)
-    serials = _report_serials(tables, kits, requests).withColumnRenamed(
-        "kit_number", "kit_product_number"
+    serials = _report_serials(tables, kits, requests)
+    contents = serial_contents(tables).select(
+        F.col("kit_prod_number").alias("kit_number"),
+        "serial_number",
+        F.col("component_edi").alias("component_prod_id"),
+        F.coalesce("quantity_available", F.lit(0).cast("long")).alias("quantity"),
     )
-    key = ["kit_product_number", "component_prod_id"]
+    key = ["kit_number", "component_prod_id"]
     held = (
-        _held(tables)
-        .join(serials, ["kit_product_number", "serial_number"])
+        contents.join(serials, ["kit_number", "serial_number"])
         .groupBy(*key)
         .agg(F.sum(F.col("quantity") * F.col("serial_rows")).alias("quantity"))
     )
     return (
-        held.join(_repetition(tables, kits), key)
-        .groupBy(
-            F.col("kit_product_number").alias("kit_number"),
-            F.col("component_product_number").alias("component"),
+        held.join(
+            _repetition(tables, kits).withColumnRenamed("kit_product_number", "kit_number"), key
         )
+        .groupBy("kit_number", F.col("component_product_number").alias("component"))
         .agg(F.sum(F.col("quantity") * F.col("times")).alias("quantity"))
     )

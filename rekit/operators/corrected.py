@@ -59,10 +59,12 @@ def kit_breakout_corrected(tables: Tables, kits=None) -> DataFrame:
     """
     key = "kit_number"
     zero = F.lit(0).cast("long")
-    units = reported_units(tables, kits).where(F.col("serial_number").isNotNull())
+    units = tables.shared(
+        reported_units(tables, kits).where(F.col("serial_number").isNotNull())
+    )
     serials = units.groupBy(key, "serial_number").agg(F.min("kit_bin").alias("kit_bin"))
-    standard = build_standard(tables, kits)
-    contents = serial_components(tables, units)
+    standard = tables.shared(build_standard(tables, kits))
+    contents = tables.shared(serial_components(tables, units))
 
     # Missing pieces: what the whole kit wants, less what the serial holds of it.
     whole_kit = standard.groupBy(key).agg(F.sum("std_qty").alias("wanted"))
@@ -161,7 +163,7 @@ def serial_diff_corrected(tables: Tables, requests: DataFrame) -> DataFrame:
     the shortage, in which a surplus of one component does not offset another."""
     zero = F.lit(0).cast("long")
     kits = requests.select("kit_number").distinct()
-    standard = build_standard(tables, kits)
+    standard = tables.shared(build_standard(tables, kits))
     whole_kit = standard.groupBy("kit_number").agg(
         F.coalesce(F.sum("std_qty"), zero).alias("wanted"),
         F.coalesce(F.sum(F.greatest("std_qty", zero)), zero).alias("wanted_positive"),

@@ -10,13 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rekit.operators.breakout import (
-    _grid,
-    _heavy_kits,
-    _kits_of,
-    _repeat,
-    serial_shortfall,
-)
+from rekit.operators.breakout import _grid, _repeat, _report, _shortfall
 from rekit.operators.reassembly import assembly_build_lines
 from rekit.operators.standard import kit_standard_map
 from rekit.sources.tables import Tables
@@ -50,14 +44,12 @@ def standard_documents(tables: Tables, kits=None) -> DataFrame:
 def breakout_documents(tables: Tables, requests: DataFrame) -> DataFrame:
     """kit_number, serial_number, part, breakout, diff: the report rows of a requested
     serial, its missing pieces and the components it holds none of."""
-    kits = _kits_of(requests)
-    shortfall = _repeat(serial_shortfall(tables, requests=requests)).withColumn(
-        "kit_product_number", F.col("kit_number")
-    )
+    report = _report(tables, requests=requests)
+    shortfall = _repeat(_shortfall(report)).withColumn("kit_product_number", F.col("kit_number"))
     serials = requests.select("kit_number", "serial_number").join(
         shortfall, ["kit_number", "serial_number"], "left"
     )
-    rows = _grid(tables, serials, _heavy_kits(tables, kits, requests), kits, how="left")
+    rows = _grid(report, serials, how="left")
     names = ["component_product_number", "component_prod_id", "component_description"]
     reported = F.col("kit_product_number").isNotNull()
     line = F.struct(*names, "qty_in_kit", "qty_avail_sh", "qty_avail_e01")

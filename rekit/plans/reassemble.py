@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 import datetime
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rekit.operators import documents, reassembly
 from rekit.operators.breakout import kit_breakout
 from rekit.operators.standard import kit_standard
-from rekit.session import tune
+from rekit.session import store, tune
 from rekit.sources import sinks
 from rekit.sources.requests import (
     invalid_serial_requests,
@@ -24,12 +24,20 @@ from rekit.sources.tables import Tables, read_parquet
 
 @dataclass(frozen=True)
 class Reassembly:
-    """The results of a rebuild; every member is a lazy frame."""
+    """The results of a rebuild; every member is a lazy frame.
+
+    ``fill`` is used once by the summary but several times by everything else, which
+    therefore starts from ``stored``.
+    """
 
     requests: DataFrame
     fill: DataFrame
     as_reported: bool = False
 
+    @property
+    def stored(self) -> Reassembly:
+        return replace(self, fill=store(self.fill))
+
     @property
     def status(self) -> DataFrame:
         return reassembly.assembly_serial_status(self.fill, self.requests, self.as_reported)
@@ -38,17 +46,22 @@ class Reassembly:
     def lines(self) -> DataFrame:
         return reassembly.assembly_build_lines(self.fill, self.requests)
 
+    @property
+    def sheets(self) -> DataFrame:
+        return reassembly.assembly_serial_sheets(self.fill, self.status)
+
     @property
     def summary(self) -> DataFrame:
         return reassembly.reassembly_summary(self.fill, self.requests, self.as_reported)
 
     @property
     def documents(self) -> DataFrame:
-        return documents.assembly_documents(self.fill, self.status)
+        return documents.assembly_documents(self.fill, store(self.status))
 
 
 def reassemble(tables: Tables, requests: DataFrame, as_reported: bool = False) -> Reassembly:
     """Rebuild kits from requests (kit_number, serial_number, build_pos)."""
+    requests = tables.shared(requests)
     pool = reassembly.component_pool(tables, requests, as_reported)
     return Reassembly(requests, reassembly.component_fill(pool, requests), as_reported)
 

@@ -31,6 +31,7 @@ def register(tables: Tables) -> None:
     pushes the comparison down through the joins.
     """
     spark = tables.spark
+    tables = tables.with_settings(storing=False)
     kit_standard(tables).createOrReplaceTempView("rekit_kit_standard")
     kit_breakout(tables).createOrReplaceTempView("rekit_kit_breakout")
     for function, view, column, order in _FUNCTIONS:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Read at planning time, so they can be set on a running session.
 RECOMMENDED = {
@@ -29,11 +30,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only where unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a scratch one only where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rekit-")
-        )
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rekit-"))
     return context.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For frames that several parts of a plan need: they are computed once instead of
+    once per use, a lost executor costs no recomputation, and later joins know their
+    size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rekit/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,152 +10,142 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from rekit.session import store
 from rekit.sources.tables import Tables
 
 SNAPSHOT_DAY = datetime.date(2001, 1, 4)
+KIT_ID = 1000000000
+KIT_OF_PART = "cast(floor({} / 20) as bigint)"
 
 
-def _digits(key, width: int):
+def _digits(key: str, width: int) -> str:
     """The key as text, zero-padded; longer keys keep all their digits."""
-    text = key.cast("string")
-    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
-
-
-def _kit_of(part_key: str):
-    return F.floor(F.col(part_key) / 20).cast("long")
+    text = f"cast({key} as string)"
+    return f"lpad({text}, greatest({width}, length({text})), '0')"
 
 
 def _kit_keys(part: DataFrame) -> DataFrame:
-    return part.select(_kit_of("p_partkey").alias("k")).distinct()
+    return part.selectExpr(f"{KIT_OF_PART.format('p_partkey')} as k").distinct()
 
 
 def _kit_serials(part: DataFrame) -> DataFrame:
-    return _kit_keys(part).select("k", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s"))
+    return _kit_keys(part).selectExpr("k", "explode(sequence(0L, 7L)) as s")
 
 
 def _product(part: DataFrame) -> DataFrame:
-    components = part.select(
-        F.col("p_partkey").alias("id"),
-        F.concat(F.lit("C-"), _digits(F.col("p_partkey"), 8)).alias("product_number"),
-        _digits(F.col("p_partkey"), 11).alias("edi_number"),
-        F.col("p_name").alias("description"),
+    components = part.selectExpr(
+        "p_partkey as id",
+        f"'C-' || {_digits('p_partkey', 8)} as product_number",
+        f"{_digits('p_partkey', 11)} as edi_number",
+        "p_name as description",
     )
-    number = _digits(F.col("k"), 6)
-    kits = _kit_keys(part).select(
-        (F.lit(1000000000) + F.col("k")).alias("id"),
-        F.concat(F.when(F.col("k") % 10 == 9, "ZPB-").otherwise("K-"), number),
-        F.concat(F.lit("E"), number),
-        F.concat(F.lit("kit "), F.col("k").cast("string")),
+    kits = _kit_keys(part).selectExpr(
+        f"{KIT_ID} + k",
+        f"case when k % 10 = 9 then 'ZPB-' else 'K-' end || {_digits('k', 6)}",
+        f"'E' || {_digits('k', 6)}",
+        "'kit ' || cast(k as string)",
     )
     return components.union(kits)
 
 
-def _stock(part: DataFrame, lineitem: DataFrame) -> DataFrame:
-    nothing = F.lit(None).cast("long")
-    unit_id = F.col("k") * 100 + F.col("s")
-    units = _kit_serials(part).select(
-        unit_id.alias("id"),
-        (F.lit(1000000000) + F.col("k")).alias("product_id"),
-        unit_id.alias("serial_id"),
-        F.when((F.col("k") + F.col("s")) % 3 == 0, 3).otherwise(4).alias("stock_type"),
-        F.when(F.col("k") % 17 == 5, 2).otherwise(3).alias("inventory_type"),
-        F.lit(1).alias("location_type"),
-        F.when((F.col("k") % 4 == 0) & (F.col("s") == 7), 371)
-        .otherwise(370)
-        .cast("long")
-        .alias("location_id"),
-        F.lit(1).alias("container_type"),
-        F.when((F.col("k") % 3 == 0) & (F.col("s") >= 4), (F.col("k") + 1) % 10)
-        .otherwise(F.col("k") % 10)
-        .alias("container_id"),
-        F.lit(1).cast("long").alias("quantity_on_hand"),
-        F.lit(1).cast("long").alias("quantity_available"),
+def _pieces(lineitem: DataFrame, flag: str, slot: str, quantity: str) -> DataFrame:
+    return (
+        lineitem.where(f"l_returnflag = '{flag}'")
+        .selectExpr("l_partkey", f"{slot} as slot", f"{quantity} as quantity")
+        .groupBy("l_partkey", "slot")
+        .agg({"quantity": "sum"})
+        .withColumnRenamed("sum(quantity)", "quantity")
     )
 
-    def pieces(flag, slot, stock_type, quantity, row_id, container_type, container_id):
-        grouped = (
-            lineitem.where(F.col("l_returnflag") == flag)
-            .groupBy("l_partkey", slot.cast("long").alias("slot"))
-            .agg(F.sum(quantity).alias("quantity"))
-        )
-        return grouped.select(
-            row_id,
-            "l_partkey",
-            nothing,
-            F.lit(stock_type),
-            F.lit(3),
-            F.lit(1),
-            F.lit(370).cast("long"),
-            F.lit(container_type),
-            container_id,
-            "quantity",
-            "quantity",
-        )
-
-    whole = F.col("l_quantity").cast("long")
-    contents = pieces(
-        "N",
-        F.col("l_suppkey") % 8,
-        2,
-        whole % 3,
-        F.lit(1000000000000) + F.col("l_partkey") * 8 + F.col("slot"),
-        2,
-        _kit_of("l_partkey") * 100 + F.col("slot"),
+
+def _stock(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    units = _kit_serials(part).selectExpr(
+        "k * 100 + s as id",
+        f"{KIT_ID} + k as product_id",
+        "k * 100 + s as serial_id",
+        "case when (k + s) % 3 = 0 then 3 else 4 end as stock_type",
+        "case when k % 17 = 5 then 2 else 3 end as inventory_type",
+        "1 as location_type",
+        "case when k % 4 = 0 and s = 7 then 371L else 370L end as location_id",
+        "1 as container_type",
+        "case when k % 3 = 0 and s >= 4 then (k + 1) % 10 else k % 10 end as container_id",
+        "1L as quantity_on_hand",
+        "1L as quantity_available",
     )
-    loose = pieces(
-        "R",
-        F.col("l_linenumber") % 2,
-        1,
-        whole % 5,
-        F.lit(2000000000000) + F.col("l_partkey") * 2 + F.col("slot"),
-        1,
-        F.lit(10) + (F.col("l_partkey") + F.col("slot")) % 10,
+    contents = _pieces(
+        lineitem, "N", "l_suppkey % 8", "cast(l_quantity as bigint) % 3"
+    ).selectExpr(
+        "1000000000000 + l_partkey * 8 + slot",
+        "l_partkey",
+        "cast(null as bigint)",
+        "2",
+        "3",
+        "1",
+        "370L",
+        "2",
+        f"{KIT_OF_PART.format('l_partkey')} * 100 + slot",
+        "quantity",
+        "quantity",
+    )
+    loose = _pieces(
+        lineitem, "R", "l_linenumber % 2", "cast(l_quantity as bigint) % 5"
+    ).selectExpr(
+        "2000000000000 + l_partkey * 2 + slot",
+        "l_partkey",
+        "cast(null as bigint)",
+        "1",
+        "3",
+        "1",
+        "370L",
+        "1",
+        "10 + (l_partkey + slot) % 10",
+        "quantity",
+        "quantity",
     )
     return units.union(contents).union(loose)
 
 
 def _bin(nation: DataFrame) -> DataFrame:
-    key = F.col("n_nationkey")
-    region = F.col("n_regionkey").cast("string")
-    return nation.select(
-        key.cast("long").alias("id"),
-        F.concat(F.when(key < 10, "G").when(key < 20, "R").otherwise("S"), region).alias("zone"),
-        _digits(key, 2).alias("position"),
-        F.concat(F.lit("A"), region).alias("shelf"),
+    return nation.selectExpr(
+        "cast(n_nationkey as bigint) as id",
+        "case when n_nationkey < 10 then 'G' when n_nationkey < 20 then 'R' else 'S' end "
+        "|| cast(n_regionkey as string) as zone",
+        f"{_digits('n_nationkey', 2)} as position",
+        "'A' || cast(n_regionkey as string) as shelf",
     )
 
 
 def _daily_snapshot(lineitem: DataFrame) -> DataFrame:
-    whole = F.col("l_quantity").cast("long")
-    return lineitem.where(F.col("l_returnflag") == "A").select(
-        _digits(F.col("l_partkey"), 11).alias("prod_id"),
-        F.when(F.col("l_linestatus") == "O", "E01").otherwise("E02").alias("warehouse_id"),
-        whole.alias("on_hand"),
-        (whole % 7).alias("on_reserve"),
-        (whole % 3).alias("unavailable"),
-        F.date_add(F.lit(datetime.date(2001, 1, 1)), F.col("l_linenumber")).alias("snapshot_dte"),
+    return lineitem.where("l_returnflag = 'A'").selectExpr(
+        f"{_digits('l_partkey', 11)} as prod_id",
+        "case when l_linestatus = 'O' then 'E01' else 'E02' end as warehouse_id",
+        "cast(l_quantity as bigint) as on_hand",
+        "cast(l_quantity as bigint) % 7 as on_reserve",
+        "cast(l_quantity as bigint) % 3 as unavailable",
+        "date_add(date'2001-01-01', l_linenumber) as snapshot_dte",
     )
 
 
-def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
-    part, lineitem, nation = (
-        spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("part", "lineitem", "nation")
-    )
-    return Tables(
-        stock=_stock(part, lineitem),
-        product=_product(part),
-        product_component=part.select(
-            (F.lit(1000000000) + _kit_of("p_partkey")).alias("product_id"),
-            F.col("p_partkey").alias("component_product_id"),
-            (1 + F.col("p_size") % 3).cast("long").alias("quantity"),
+def from_star_schema(spark: SparkSession, sf_dir: str, **settings) -> Tables:
+    def read(name):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    derive = {
+        "stock": lambda: _stock(read("part"), read("lineitem")),
+        "product": lambda: _product(read("part")),
+        "product_component": lambda: read("part").selectExpr(
+            f"{KIT_ID} + {KIT_OF_PART.format('p_partkey')} as product_id",
+            "p_partkey as component_product_id",
+            "cast(1 + p_size % 3 as bigint) as quantity",
         ),
-        product_serial=_kit_serials(part).select(
-            (F.col("k") * 100 + F.col("s")).alias("id"),
-            (F.lit(100) + F.col("s")).cast("long").alias("serial_number"),
+        "product_serial": lambda: _kit_serials(read("part")).selectExpr(
+            "k * 100 + s as id", "100 + s as serial_number"
         ),
-        bin=_bin(nation),
-        daily_snapshot=_daily_snapshot(lineitem),
-        as_of=SNAPSHOT_DAY,
+        "bin": lambda: _bin(read("nation")),
+        "daily_snapshot": lambda: _daily_snapshot(read("lineitem")),
+    }
+    # A warehouse has these as tables; deriving them once stands in for that.
+    return Tables(
+        spark, lambda name: store(derive[name]()), **({"as_of": SNAPSHOT_DAY} | settings)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rekit.functions.skew import rank_in_group
 from rekit.operators.inventory import reported_units
+from rekit.session import store
 from rekit.sources.schema import REQUESTS
 from rekit.sources.tables import Tables
 
@@ -38,7 +39,7 @@ def split_requests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("kit_number", serial.alias("serial_number"))
         .agg(F.min(F.col("build_pos").cast("long")).alias("_place"))
     )
-    accepted = rank_in_group(first, "kit_number", "_place", "build_pos").select(
+    accepted = rank_in_group(store(first), "kit_number", "_place", "build_pos").select(
         "kit_number", "serial_number", "build_pos"
     )
     return accepted, raw.where(~readable)
@@ -65,7 +66,7 @@ def invalid_serials(tables: Tables, kits=None) -> DataFrame:
 
 def in_serial_order(serials: DataFrame) -> DataFrame:
     """Requests that build a kit's serials in ascending order."""
-    return rank_in_group(serials, "kit_number", "serial_number", "build_pos").select(
+    return rank_in_group(store(serials), "kit_number", "serial_number", "build_pos").select(
         "kit_number", "serial_number", "build_pos"
     )
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime
 import os
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rekit.session import store
 from rekit.sources.schema import SCHEMAS
 
 
@@ -31,37 +34,65 @@ class InventoryCodes:
     excluded_prefix: str = "ZPB"
 
 
-@dataclass(frozen=True)
 class Tables:
-    stock: DataFrame
-    product: DataFrame
-    product_component: DataFrame
-    product_serial: DataFrame
-    bin: DataFrame
-    daily_snapshot: DataFrame
-    codes: InventoryCodes = field(default_factory=InventoryCodes)
-    as_of: datetime.date | None = None
-
-    @property
-    def spark(self) -> SparkSession:
-        return self.stock.sparkSession
+    """The six tables; each is loaded when it is first asked for.
+
+    ``as_of`` is the snapshot day, today by default. With ``storing`` off nothing is
+    written while a plan is built, at the price of computing shared parts repeatedly.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        load: Callable[[str], DataFrame],
+        codes: InventoryCodes = InventoryCodes(),
+        as_of: datetime.date | None = None,
+        storing: bool = True,
+    ):
+        self.spark, self.codes, self.as_of, self.storing = spark, codes, as_of, storing
+        self._load = load
+
+    @cached_property
+    def stock(self) -> DataFrame:
+        return self._load("stock")
+
+    @cached_property
+    def product(self) -> DataFrame:
+        return self._load("product")
+
+    @cached_property
+    def product_component(self) -> DataFrame:
+        return self._load("product_component")
+
+    @cached_property
+    def product_serial(self) -> DataFrame:
+        return self._load("product_serial")
+
+    @cached_property
+    def bin(self) -> DataFrame:
+        return self._load("bin")
+
+    @cached_property
+    def daily_snapshot(self) -> DataFrame:
+        return self._load("daily_snapshot")
+
+    def with_settings(self, **changes) -> Tables:
+        """The same tables with another ``as_of``, ``codes`` or ``storing``."""
+        settings = {"codes": self.codes, "as_of": self.as_of, "storing": self.storing}
+        return Tables(self.spark, lambda name: getattr(self, name), **(settings | changes))
+
+    def shared(self, df: DataFrame) -> DataFrame:
+        """A frame that several parts of a plan read."""
+        return store(df) if self.storing else df
 
     def snapshot_date(self) -> Column:
         return F.current_date() if self.as_of is None else F.lit(self.as_of)
 
-    def on(self, as_of: datetime.date) -> Tables:
-        """The same tables, with the snapshot read for a given day."""
-        return replace(self, as_of=as_of)
-
 
 def read_parquet(spark: SparkSession, root: str, **settings) -> Tables:
     """Load ``root/<table>``; the snapshot may be laid out by ``snapshot_dte=``."""
     return Tables(
-        **{
-            name: spark.read.schema(schema).parquet(f"{root}/{name}")
-            for name, schema in SCHEMAS.items()
-        },
-        **settings,
+        spark, lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}"), **settings
     )
 
 
@@ -123,11 +154,12 @@ def read_jdbc(
     ``names`` maps our table names to the database's; ``renames`` maps database
     column names to ours per table.
     """
-    frames = {}
-    for name, schema in SCHEMAS.items():
+
+    def load(name):
         reader = spark.read.format("jdbc").options(
             **jdbc_options(names[name], (splits or {}).get(name), **options)
         )
         frame = reader.load().withColumnsRenamed((renames or {}).get(name, {}))
-        frames[name] = frame.select([F.col(f.name).cast(f.dataType) for f in schema])
-    return Tables(**frames, **(settings or {}))
+        return frame.select([F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
+
+    return Tables(spark, load, **(settings or {}))
