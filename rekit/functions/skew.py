@@ -89,31 +89,24 @@ def heavy_keys(left: DataFrame, right: DataFrame, key: str, side: int = TILE_SID
     )
 
 
-def tile_rows(
-    df: DataFrame,
-    heavy: DataFrame,
-    key: str,
-    left: list[str] | None = None,
-    right: list[str] | None = None,
-) -> DataFrame:
-    """Add the tile columns ``_lt`` and ``_rt``.
-
-    ``left`` / ``right`` name the columns that decide the position along a side.
-    Where a side is not given, the row belongs to every tile along it and is
-    copied there, so the copies of a row are 1/TILE_SIDE of what it joins with.
+def tile_rows(df: DataFrame, heavy: DataFrame, key: str, side: str, by: str) -> DataFrame:
+    """Add the tile columns ``_lt`` and ``_rt`` to one side (left or right) of a join.
+
+    A row has one position along its own side, decided by the column ``by``. It
+    belongs to every tile along the other side and is copied there; the copies of a
+    row are about 1/TILE_SIDE of what it joins with.
     """
     # at most MAX_HEAVY_KEYS rows, hence safe to broadcast at any scale
     df = df.join(F.broadcast(heavy), key, "left")
-    zero = F.lit(0).cast("long")
-
-    def position(columns, tiles):
-        tiles = F.coalesce(F.col(tiles), F.lit(1).cast("long"))
-        if columns is None:
-            return F.explode(F.sequence(zero, tiles - 1))
-        return F.pmod(F.xxhash64(*columns), tiles)
-
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tiles = {
+        "left": F.coalesce("_left_tiles", one),
+        "right": F.coalesce("_right_tiles", one),
+    }
+    own, other = ("_lt", "_rt") if side == "left" else ("_rt", "_lt")
+    across = tiles["right" if side == "left" else "left"]
     return (
-        df.withColumn("_lt", position(left, "_left_tiles"))
-        .withColumn("_rt", position(right, "_right_tiles"))
+        df.withColumn(own, F.pmod(F.xxhash64(by), tiles[side]))
+        .withColumn(other, F.explode(F.sequence(zero, across - 1)))
         .drop("_left_tiles", "_right_tiles")
     )

@@ -60,11 +60,15 @@ def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
         ),
         "kit_product_number",
     )
-    keys = ["kit_product_number", "_lt", "_rt"]
+    key = "kit_product_number"
     return (
-        tile_rows(components, heavy, "kit_product_number", right=["component_prod_id"])
+        tile_rows(components, heavy, key, "right", by="component_prod_id")
         # A kit without serials is never heavy: it has one tile and keeps its row.
-        .join(tile_rows(serials, heavy, "kit_product_number", left=["serial_number"]), keys, "left")
+        .join(
+            tile_rows(serials, heavy, key, "left", by="serial_number"),
+            [key, "_lt", "_rt"],
+            "left",
+        )
         .drop("_lt", "_rt")
     )
 
@@ -280,16 +284,14 @@ def _grid(report: _Report, serials: DataFrame, how: str = "inner") -> DataFrame:
     )
 
     key = "kit_product_number"
-    tile = [key, "_lt", "_rt"]
-    # All three frames are laid out by tile, so the grid itself stays where it is.
     return (
-        tile_rows(serials, heavy, key, left=["serial_number"])
-        .join(tile_rows(components, heavy, key, right=["component_prod_id"]), tile, how)
+        tile_rows(serials, heavy, key, "left", by="serial_number")
         .join(
-            tile_rows(report.contents, heavy, key, left=["serial_number"], right=["component_prod_id"]),
-            [*tile, "serial_number", "component_prod_id"],
-            "left",
+            tile_rows(components, heavy, key, "right", by="component_prod_id"),
+            [key, "_lt", "_rt"],
+            how,
         )
+        .join(report.contents, [key, "serial_number", "component_prod_id"], "left")
         .withColumn("qty_in_kit", F.coalesce("quantity_available", F.lit(0).cast("long")))
     )
 

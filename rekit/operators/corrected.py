@@ -126,16 +126,13 @@ def kit_breakout_corrected(tables: Tables, kits=None) -> DataFrame:
         standard.groupBy(key).agg(rows.alias("right_rows"), rows.alias("right_values")),
         key,
     )
-    tile = [key, "_lt", "_rt"]
-    in_serial, in_kit = ["serial_number"], ["component_product_id"]
     return (
-        tile_rows(serials, heavy, key, left=in_serial)
-        .join(tile_rows(components, heavy, key, right=in_kit), tile)
+        tile_rows(serials, heavy, key, "left", by="serial_number")
         .join(
-            tile_rows(contents, heavy, key, left=in_serial, right=in_kit),
-            [*tile, "serial_number", "component_product_id"],
-            "left",
+            tile_rows(components, heavy, key, "right", by="component_product_id"),
+            [key, "_lt", "_rt"],
         )
+        .join(contents, [key, "serial_number", "component_product_id"], "left")
         .select(
             F.col(key).alias("kit_product_number"),
             "kit_edi",

@@ -15,9 +15,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Frames laid out by (kit, block) keep that layout through joins that add
-    # serial and component to the key, so the report grid is never shuffled.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
