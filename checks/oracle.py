@@ -170,7 +170,7 @@ need AS (
 reported_unit AS (
   SELECT u.id, u.kit AS kit_number, s.number AS serial_number, u.kind, u.label
   FROM kit_unit u JOIN serial s ON s.id = u.serial_id
-  WHERE u.inventory = 3 AND u.kit NOT LIKE 'ZPB%'
+  WHERE s.number IS NOT NULL AND u.inventory = 3 AND u.kit NOT LIKE 'ZPB%'
     AND u.kit IN (SELECT kit FROM kit_place WHERE label IS NOT NULL)
 ),
 held AS (

@@ -19,14 +19,15 @@ TILE_SIDE = 2_000
 MAX_HEAVY_KEYS = 1_000
 
 
-def rank_in_group(df: DataFrame, group: str, value: str, out: str, bits: int = RANK_BITS):
+def rank_in_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """``row_number() over (partition by group order by value)`` for bigint values
     that are distinct within a group.
 
     The upper bits of the value name a block. Distinct values bound every window:
-    a block has at most 2**bits rows, a block of blocks at most 2**bits blocks.
+    a block has at most 2**RANK_BITS rows, a region as many blocks, and what is left
+    of a 64-bit value names at most 2**20 regions.
     """
-    block, region = "_block", "_region"
+    bits, block, region = RANK_BITS, "_block", "_region"
     rows = df.withColumn(block, F.shiftright(value, bits))
     counts = (
         rows.groupBy(group, block)
@@ -59,7 +60,7 @@ def _sum_before(column: str, group: list[str], order: Column) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0).cast("long"))
 
 
-def heavy_keys(left: DataFrame, right: DataFrame, key: str, side: int = TILE_SIDE) -> DataFrame:
+def heavy_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys whose join outgrows one tile, with the number of tiles along each side.
 
     ``left`` has per key the number of rows (``left_rows``); ``right`` has it too
@@ -71,6 +72,7 @@ def heavy_keys(left: DataFrame, right: DataFrame, key: str, side: int = TILE_SID
     broadcast. This loses no rows: a key left out is joined as a single tile, and
     holds less than 1/MAX_HEAVY_KEYS of the output.
     """
+    side = TILE_SIDE
     tile = float(side) * side
     pairs = F.col("left_rows").cast("double") * F.col("right_rows")
     right_tiles = F.ceil(F.col("right_values") / side)

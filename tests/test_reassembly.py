@@ -1,0 +1,251 @@
+"""The rebuild against a step-by-step loop, and hand-made cases."""
+
+import random
+
+import pytest
+
+from rekit.operators import reassembly
+from rekit.plans.reassemble import Reassembly, reassemble, reassemble_kit
+from rekit.sources.requests import requests_for, split_requests
+
+POOL = (
+    "kit_number string, component string, std_qty bigint, standard_rows bigint, pool bigint"
+)
+REQUESTS = "kit_number string, serial_number bigint, build_pos bigint"
+
+
+def rebuild(spark, pool, serials, as_reported=False):
+    """``pool``: (kit, component, standard, pooled); ``serials``: kit -> list in order."""
+    pool = spark.createDataFrame([(k, c, s, 1, p) for k, c, s, p in pool], POOL)
+    requests = spark.createDataFrame(
+        [(kit, s, i) for kit, found in serials.items() for i, s in enumerate(found, 1)], REQUESTS
+    )
+    return Reassembly(requests, reassembly.component_fill(pool, requests), as_reported).stored
+
+
+def one_by_one(pool, serials):
+    """Serve the serials in order, each taking what the pool still covers."""
+    lines, statuses, left = [], [], {}
+    for kit, found in serials.items():
+        stock = {c: [s, p] for k, c, s, p in pool if k == kit}
+        for place, serial in enumerate(found, 1):
+            got = 0
+            for component, entry in stock.items():
+                standard, quantity = entry
+                if quantity >= standard:
+                    entry[1] -= standard
+                    got += 1
+                    lines.append((kit, serial, place, component, standard))
+            status = "valid" if got == len(stock) else "invalid"
+            statuses.append((kit, serial, place, got, status if stock else "no_standard"))
+        left |= {(kit, c): q for c, (_, q) in stock.items()}
+    return sorted(lines), sorted(statuses), left
+
+
+def outcome(result):
+    lines = [
+        tuple(r)
+        for r in result.lines.select(
+            "kit_number", "serial_number", "build_pos", "component", "qty"
+        ).collect()
+    ]
+    statuses = [tuple(r) for r in result.status.collect()]
+    left = {(r.kit_number, r.component): r.leftover for r in result.fill.collect()}
+    return sorted(lines), sorted(statuses), left
+
+
+@pytest.mark.parametrize("block_bits", [0, 2, 12])
+def test_equals_serving_one_by_one(spark, monkeypatch, block_bits):
+    """Many random kits, with blocks of one slot, of four and of the usual size."""
+    monkeypatch.setattr(reassembly, "COUNT_BITS", block_bits)
+    monkeypatch.setattr(reassembly, "LINE_BITS", block_bits)
+    rnd = random.Random(block_bits)
+    pool, serials = [], {}
+    for kit in (f"K{i}" for i in range(300)):
+        serials[kit] = rnd.sample(range(1, 100), rnd.randint(1, 9))
+        for component in range(rnd.randint(1, 6)):
+            pool.append((kit, f"C{component}", rnd.choice([0, 1, 1, 2, 3]), rnd.randint(-3, 20)))
+    result = rebuild(spark, pool, serials)
+    expected = one_by_one(pool, serials)
+    assert outcome(result) == expected
+    summary = {r.kit_number: r for r in result.summary.collect()}
+    for kit, found in serials.items():
+        valid = sum(s[4] == "valid" for s in expected[1] if s[0] == kit)
+        row = summary[kit]
+        assert (row.slots, row.valid_kits, row.invalid_kits) == (
+            len(found),
+            valid,
+            len(found) - valid,
+        )
+        assert row.total_pieces == sum(p for k, _, _, p in pool if k == kit)
+        assert row.leftover_pieces == sum(q for (k, _), q in expected[2].items() if k == kit)
+
+
+def test_negative_standard_like_one_by_one(spark):
+    pool = [("K", "A", -1, 0), ("K", "B", -2, -5), ("K", "C", 1, 1)]
+    assert outcome(rebuild(spark, pool, {"K": [1, 2]})) == one_by_one(pool, {"K": [1, 2]})
+
+
+def test_known_run(spark):
+    """43 components wanted once each, pooled from five serials."""
+    sizes = [1] * 2 + [2] * 3 + [3] * 12 + [4] * 10 + [5] * 16
+    pool = [("K", f"C{i:02}", 1, size) for i, size in enumerate(sizes)]
+    result = rebuild(spark, pool, {"K": [11, 12, 13, 14, 15]})
+    status = result.status.orderBy("build_pos").collect()
+    assert [r.components_in_kit for r in status] == [43, 41, 38, 26, 16]
+    assert [r.status for r in status] == ["valid"] + ["invalid"] * 4
+    assert [tuple(r) for r in result.summary.collect()] == [("K", 5, 1, 4, 164, 0)]
+    assert result.lines.count() == 164
+
+
+@pytest.mark.parametrize(
+    "standard, pooled, slots, fill, leftover",
+    [
+        (2, 7, 2, 2, 3),  # surplus
+        (1, 0, 2, 0, 0),  # in no serial
+        (0, 0, 3, 3, 0),  # nothing wanted
+        (1, -2, 2, 0, -2),  # negative pool
+        (3, 2, 1, 0, 2),  # too little
+        (None, 4, 2, 0, 4),  # unknown standard
+    ],
+)
+def test_fill(spark, standard, pooled, slots, fill, leftover):
+    result = rebuild(spark, [("K", "A", standard, pooled)], {"K": range(1, slots + 1)})
+    assert [(r.fill, r.leftover) for r in result.fill.collect()] == [(fill, leftover)]
+    assert result.lines.count() == fill
+
+
+def test_incomplete_builds_consume_pieces(spark):
+    result = rebuild(spark, [("K", "A", 1, 2), ("K", "B", 1, 1)], {"K": [5, 6]})
+    assert outcome(result)[0] == [("K", 5, 1, "A", 1), ("K", 5, 1, "B", 1), ("K", 6, 2, "A", 1)]
+    assert [r[4] for r in outcome(result)[1]] == ["valid", "invalid"]
+
+
+def test_requests_are_served_in_their_order(spark):
+    result = rebuild(spark, [("K", "A", 1, 1)], {"K": [9, 3]})
+    assert {r.serial_number: r.status for r in result.status.collect()} == {
+        9: "valid",
+        3: "invalid",
+    }
+
+
+def test_unknown_kit_has_no_standard(spark):
+    result = rebuild(spark, [("K", "A", 1, 1)], {"K": [1], "other": [1, 2]})
+    assert {r.status for r in result.status.where("kit_number = 'other'").collect()} == {
+        "no_standard"
+    }
+    row = result.summary.where("kit_number = 'other'").first()
+    assert tuple(row) == ("other", 2, 0, 0, 0, 0)
+
+
+def test_sheets_and_report(spark):
+    result = rebuild(spark, [("K", "A", 1, 1), ("K", "B", 2, 5)], {"K": [7, 8, 9]})
+    report = reassembly.assembly_serial_report(result.status).collect()
+    assert sorted(map(tuple, report)) == [
+        ("K", 7, "valid", 2),
+        ("K", 8, "invalid", 1),
+        ("K", 9, "invalid", 0),
+    ]
+    assert sorted(map(tuple, result.sheets.collect())) == [
+        ("K", 7, "VALID", "A", 1),
+        ("K", 7, "VALID", "B", 2),
+        ("K", 8, "INVALID", "B", 2),
+    ]
+
+
+# From tables to rebuild -----------------------------------------------------------
+
+
+def kit_tables(make_tables, bom, units, contents, loose=(), **more):
+    """One kit K of components C-<id>; units: (serial, stock_type); contents:
+    (serial, component, quantity)."""
+    parts = sorted({c for c, _ in bom} | {c for _, c, _ in contents})
+    return make_tables(
+        product=[dict(id=1000, product_number=more.get("number", "K"), edi_number="E")]
+        + [dict(id=c, product_number=f"C-{c}", edi_number=f"{c}") for c in parts],
+        product_component=[
+            dict(product_id=1000, component_product_id=c, quantity=q) for c, q in bom
+        ],
+        product_serial=[dict(id=s, serial_number=s) for s, _ in units],
+        bin=[dict(id=1), dict(id=2, position="02"), dict(id=3, zone="R1"), dict(id=4, zone="R2")],
+        stock=[
+            dict(id=100 + s, product_id=1000, serial_id=s, stock_type=t, container_id=1 + s % 2)
+            for s, t in units
+        ]
+        + [
+            dict(
+                id=10_000 + i,
+                product_id=c,
+                container_type=2,
+                container_id=100 + s,
+                quantity_available=q,
+            )
+            for i, (s, c, q) in enumerate(contents)
+        ]
+        + [
+            dict(id=20_000 + i, product_id=c, stock_type=1, container_id=b, quantity_available=q)
+            for i, (c, b, q) in enumerate(loose)
+        ],
+    )
+
+
+def test_pool_without_and_with_repeated_rows(make_tables, rows):
+    """Two kit bins and two loose bins repeat component 1 four times, 2 twice."""
+    tables = kit_tables(
+        make_tables,
+        bom=[(1, 1), (2, 1)],
+        units=[(1, 4), (2, 4)],
+        contents=[(1, 1, 1), (1, 2, 1), (2, 1, 2)],
+        loose=[(1, 3, 5), (1, 4, 5), (2, 3, 1)],
+    )
+    exact = reassemble_kit(tables, "K", ["1", "2"])
+    assert rows(exact.fill, "component", "pool") == [("C-1", 3), ("C-2", 1)]
+    repeated = reassemble_kit(tables, "K", ["1", "2"], as_reported=True)
+    assert rows(repeated.fill, "component", "pool") == [("C-1", 12), ("C-2", 2)]
+    assert exact.summary.first().valid_kits == 1
+    assert repeated.summary.first().valid_kits == 2
+
+
+def test_serial_not_on_site_still_gets_a_slot(make_tables, rows):
+    tables = kit_tables(make_tables, [(1, 1)], [(1, 4)], [(1, 1, 2)])
+    result = reassemble_kit(tables, "K", ["77", "1"])
+    assert rows(result.stored.status, "serial_number", "status") == [(1, "valid"), (77, "valid")]
+
+
+def test_excluded_kit_has_a_standard_but_an_empty_pool(make_tables, rows):
+    tables = kit_tables(make_tables, [(1, 1)], [(1, 4)], [(1, 1, 2)], number="ZPB-1")
+    for as_reported in (False, True):
+        result = reassemble_kit(tables, "ZPB-1", ["1"], as_reported)
+        assert rows(result.fill, "component", "pool") == [("C-1", 0)]
+        assert rows(result.stored.status, "status") == [("invalid",)]
+
+
+def test_repeated_standard_rows(make_tables, rows):
+    """Added up; counted as often as listed where the report's way is asked for."""
+    tables = kit_tables(make_tables, [(1, 1), (1, 2)], [(1, 4)], [(1, 1, 9)])
+    exact = reassemble_kit(tables, "K", ["1"])
+    assert rows(exact.fill, "std_qty", "pool", "fill") == [(3, 9, 1)]
+    assert rows(exact.stored.status, "status") == [("valid",)]
+    reported = reassemble_kit(tables, "K", ["1"], as_reported=True)
+    assert rows(reported.stored.status, "status") == [("invalid",)]
+    assert reported.summary.first().valid_kits == 0
+
+
+def test_kit_without_components(make_tables, rows):
+    tables = kit_tables(make_tables, [], [(1, 4)], [])
+    result = reassemble_kit(tables, "K", ["1"])
+    assert rows(result.stored.status, "status") == [("no_standard",)]
+
+
+def test_split_requests(spark, rows):
+    raw = requests_for(spark, "K", ["007", "x", "3", "7", "12"])
+    accepted, rejected = split_requests(raw)
+    assert rows(accepted, "build_pos", "serial_number") == [(1, 7), (2, 3), (3, 12)]
+    assert rows(rejected, "serial_number", "build_pos") == [("x", 2)]
+
+
+def test_many_kits_in_one_run(make_tables, spark, rows):
+    tables = kit_tables(make_tables, [(1, 1)], [(1, 4), (2, 4)], [(1, 1, 1), (2, 1, 0)])
+    requests = spark.createDataFrame([("K", 1, 1), ("K", 2, 2), ("Z", 1, 1)], REQUESTS)
+    summary = reassemble(tables, requests).summary
+    assert rows(summary, "kit_number", "slots", "valid_kits") == [("K", 2, 1), ("Z", 1, 0)]
