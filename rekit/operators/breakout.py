@@ -48,28 +48,47 @@ REPORT_COLUMNS = [
 def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
     """Every component of a kit for every serial of it; kits without a serial on
     site keep one row per component."""
+    key = "kit_product_number"
     components = kit_components(tables, kits)
-    serials = kit_serials(tables).select("kit_product_number", "serial_number")
+    serials = kit_serials(tables).select(key, "serial_number")
+    bare = (
+        standard_kits(tables, kits)
+        .withColumnRenamed("kit_number", key)
+        .join(serials.select(key).distinct(), key, "left_anti")
+    )
     rows = F.count(F.lit(1))
     heavy = heavy_keys(
-        serials.groupBy("kit_product_number").agg(rows.alias("left_rows")),
+        serials.groupBy(key).agg(rows.alias("left_rows")),
         kit_standard_size(tables, kits).select(
-            F.col("kit_number").alias("kit_product_number"),
+            F.col("kit_number").alias(key),
             F.col("total_pieces").alias("right_rows"),
             F.col("total_pieces").alias("right_values"),
         ),
-        "kit_product_number",
+        key,
     )
-    key = "kit_product_number"
+    # An inner join: a copied row that meets nothing in one tile must not show up.
     return (
-        tile_rows(components, heavy, key, "right", by="component_prod_id")
-        # A kit without serials is never heavy: it has one tile and keeps its row.
+        tile_rows(
+            serials.unionByName(bare, allowMissingColumns=True),
+            heavy,
+            key,
+            "left",
+            by="serial_number",
+        )
         .join(
-            tile_rows(serials, heavy, key, "left", by="serial_number"),
+            tile_rows(components, heavy, key, "right", by="component_prod_id"),
             [key, "_lt", "_rt"],
-            "left",
         )
-        .drop("_lt", "_rt")
+        .select(
+            key,
+            "kit_edi",
+            "kit_description",
+            "serial_number",
+            "component_product_number",
+            "component_prod_id",
+            "component_description",
+            "component_quantity_in_kit",
+        )
     )
 
 
@@ -260,7 +279,7 @@ def _repeat(serials: DataFrame) -> DataFrame:
     ).drop("serial_rows")
 
 
-def _grid(report: _Report, serials: DataFrame, how: str = "inner") -> DataFrame:
+def _grid(report: _Report, serials: DataFrame) -> DataFrame:
     """Join serials (kit_product_number, serial_number, ...) with the components of
     their kit and with what they hold of them."""
     tables, kits, heavy = report.tables, report.kits, report.heavy()
@@ -289,7 +308,6 @@ def _grid(report: _Report, serials: DataFrame, how: str = "inner") -> DataFrame:
         .join(
             tile_rows(components, heavy, key, "right", by="component_prod_id"),
             [key, "_lt", "_rt"],
-            how,
         )
         .join(report.contents, [key, "serial_number", "component_prod_id"], "left")
         .withColumn("qty_in_kit", F.coalesce("quantity_available", F.lit(0).cast("long")))
@@ -315,24 +333,30 @@ def kit_breakout(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
     return rows
 
 
+def _with_absent(rows: DataFrame, report: _Report, requests: DataFrame) -> DataFrame:
+    """Add a row for each requested serial that is not in the report."""
+    absent = requests.select("kit_number", "serial_number").join(
+        report.serials, ["kit_number", "serial_number"], "left_anti"
+    )
+    return rows.unionByName(absent, allowMissingColumns=True)
+
+
 def serial_breakout(tables: Tables, requests: DataFrame) -> DataFrame:
     """Report rows of the requested serials, in long form. A requested serial that
     is not in the report keeps one row without a component."""
     report = _report(tables, requests=requests)
-    present = _repeat(report.serials).withColumn("kit_product_number", F.col("kit_number"))
-    serials = requests.select("kit_number", "serial_number").join(
-        present, ["kit_number", "serial_number"], "left"
-    )
-    return _grid(report, serials, how="left").select(
-        "kit_number",
+    serials = _repeat(report.serials).withColumnRenamed("kit_number", "kit_product_number")
+    rows = _grid(report, serials).select(
+        F.col("kit_product_number").alias("kit_number"),
         "serial_number",
         "component_product_number",
         "component_prod_id",
         "component_description",
-        F.when(F.col("kit_product_number").isNotNull(), F.col("qty_in_kit")).alias("qty_in_kit"),
+        "qty_in_kit",
         "qty_avail_sh",
         "qty_avail_e01",
     )
+    return _with_absent(rows, report, requests)
 
 
 def _kits_of(requests: DataFrame) -> DataFrame:

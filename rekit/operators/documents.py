@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rekit.operators.breakout import _grid, _repeat, _report, _shortfall
+from rekit.operators.breakout import _grid, _repeat, _report, _shortfall, _with_absent
 from rekit.operators.reassembly import assembly_build_lines
 from rekit.operators.standard import kit_standard_map
 from rekit.sources.tables import Tables
@@ -45,36 +45,40 @@ def breakout_documents(tables: Tables, requests: DataFrame) -> DataFrame:
     """kit_number, serial_number, part, breakout, diff: the report rows of a requested
     serial, its missing pieces and the components it holds none of."""
     report = _report(tables, requests=requests)
-    shortfall = _repeat(_shortfall(report)).withColumn("kit_product_number", F.col("kit_number"))
-    serials = requests.select("kit_number", "serial_number").join(
-        shortfall, ["kit_number", "serial_number"], "left"
-    )
-    rows = _grid(report, serials, how="left")
+    serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
     names = ["component_product_number", "component_prod_id", "component_description"]
-    reported = F.col("kit_product_number").isNotNull()
     line = F.struct(*names, "qty_in_kit", "qty_avail_sh", "qty_avail_e01")
-    zero = F.lit(0).cast("long")
-    return rows.groupBy(
-        "kit_number",
+    rows = _grid(report, serials).select(
+        F.col("kit_product_number").alias("kit_number"),
         "serial_number",
-        _part(
-            F.coalesce("report_rows", zero),
-            "component_product_number",
-            "component_bin",
-            "kit_bin",
-        ).alias("part"),
-        F.coalesce("pieces_missing", zero).alias("pieces_missing"),
-    ).agg(
-        F.array_sort(F.collect_list(F.when(reported, line))).alias("breakout"),
-        F.array_sort(
-            F.collect_list(F.when(reported & (F.col("qty_in_kit") == 0), F.struct(*names)))
-        ).alias("components_missing"),
-    ).select(
-        "kit_number",
-        "serial_number",
-        "part",
-        "breakout",
-        F.array(F.struct("pieces_missing", "components_missing")).alias("diff"),
+        _part(F.col("report_rows"), "component_product_number", "component_bin", "kit_bin").alias(
+            "part"
+        ),
+        "pieces_missing",
+        line.alias("line"),
+        F.when(F.col("qty_in_kit") == 0, F.struct(*names)).alias("missing"),
+    )
+    zero = F.lit(0).cast("long")
+    return (
+        _with_absent(rows, report, requests)
+        .groupBy(
+            "kit_number",
+            "serial_number",
+            F.coalesce("part", zero).alias("part"),
+            F.coalesce("pieces_missing", zero).alias("pieces_missing"),
+        )
+        .agg(
+            # NULLs, as of serials not in the report, are left out of the lists
+            F.array_sort(F.collect_list("line")).alias("breakout"),
+            F.array_sort(F.collect_list("missing")).alias("components_missing"),
+        )
+        .select(
+            "kit_number",
+            "serial_number",
+            "part",
+            "breakout",
+            F.array(F.struct("pieces_missing", "components_missing")).alias("diff"),
+        )
     )
 
 

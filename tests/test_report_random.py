@@ -199,6 +199,7 @@ def test_requested_serials(spark, make_tables, seed):
     tables = make_tables(**warehouse(seed + 100))
     check = Check(tables)
     wanted = tables.shared(requests.invalid_serials(tables))
+    assert wanted.count() > 0
     for name, operator in (
         ("serial_diff", breakout.serial_diff),
         ("serial_missing_components", breakout.serial_missing_components),
