@@ -276,7 +276,7 @@ def test_scans_read_few_columns_and_filter_early(spark, make_tables, tmp_path):
     assert "In(stock_type, [3,4])" in plan(kits) and "EqualTo(inventory_type,3)" in plan(kits)
     loose = plan(inventory.loose_availability(tables))
     assert "StringStartsWith(zone,R)" in loose
-    assert re.search(r"DataFilters: \[[^\]]*quantity_available#\d+L > 0", loose)
+    assert re.search(r"Filter .*quantity_available#\d+L > 0.*\n.*FileScan", loose)
 
 
 def test_one_kit_reaches_the_scan(spark, make_tables, tmp_path):
