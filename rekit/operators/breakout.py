@@ -23,7 +23,12 @@ from rekit.operators.inventory import (
     serial_contents,
     warehouse_availability,
 )
-from rekit.operators.standard import kit_components, kit_standard_size, standard_kits
+from rekit.operators.standard import (
+    kit_components,
+    kit_standard_size,
+    named_components,
+    standard_kits,
+)
 from rekit.sources.tables import Tables
 
 REPORT_COLUMNS = [
@@ -177,15 +182,42 @@ def _report_serials(tables: Tables, kits=None, requests: DataFrame | None = None
     return rows.groupBy("kit_number", "serial_number").agg(F.count(F.lit(1)).alias("serial_rows"))
 
 
+def _report_components(tables: Tables, kits=None) -> DataFrame:
+    """Component rows of the report as far as they do not depend on the serial: one per
+    component, bin with loose pieces and kit bin."""
+    loose = loose_availability(tables).withColumnsRenamed(
+        {"product_number": "component_product_number", "edi_number": "component_prod_id"}
+    )
+    second = warehouse_availability(tables).withColumnRenamed("prod_id", "component_prod_id")
+    details = (
+        named_components(tables)
+        .join(second, "component_prod_id", "left")
+        .join(loose, ["component_product_number", "component_prod_id"], "left")
+    )
+    percent = kit_percent_invalid(tables).select(
+        F.col("kit_prod_number").alias("kit_product_number"), "kit_edi", "percent_invalid"
+    )
+    bins = _shown_bins(tables).select(
+        F.col("kit_prod_number").alias("kit_product_number"), "kit_bin"
+    )
+    return (
+        kit_components(tables, kits, details)
+        .join(bins, "kit_product_number")
+        .join(percent, ["kit_product_number", "kit_edi"], "left")
+    )
+
+
 @dataclass(frozen=True)
 class _Report:
-    """What the report and its counts are made of, each part computed once."""
+    """What the report and its counts are made of, each part computed once.
+
+    ``components`` is there only if the report rows themselves are asked for.
+    """
 
-    tables: Tables
-    kits: object
     serials: DataFrame
     repetition: DataFrame
     contents: DataFrame
+    components: DataFrame | None
 
     def heavy(self) -> DataFrame:
         """Kits whose part of the report has to be cut into tiles."""
@@ -201,15 +233,28 @@ class _Report:
         )
 
 
-def _report(tables: Tables, kits=None, requests: DataFrame | None = None) -> _Report:
+def _report(
+    tables: Tables, kits=None, requests: DataFrame | None = None, with_rows: bool = True
+) -> _Report:
     if requests is not None:
         kits = _kits_of(requests)
-    contents = serial_contents(tables).where(F.col("serial_number").isNotNull())
+    components = None
+    if with_rows:
+        components = tables.shared(_report_components(tables, kits))
+        standard = F.col("component_quantity_in_kit")
+        repetition = components.groupBy(
+            "kit_product_number", "component_prod_id", "component_product_number"
+        ).agg(
+            F.count(F.lit(1)).alias("times"),
+            F.count(standard).alias("known"),
+            F.sum(standard).alias("wanted"),
+        )
+    else:
+        repetition = _repetition(tables, kits)
+    contents = serial_contents(tables, kits).where(F.col("serial_number").isNotNull())
     return _Report(
-        tables,
-        kits,
         tables.shared(_report_serials(tables, kits, requests)),
-        tables.shared(_repetition(tables, kits)),
+        tables.shared(repetition),
         tables.shared(
             contents.select(
                 F.col("kit_prod_number").alias("kit_product_number"),
@@ -218,6 +263,7 @@ def _report(tables: Tables, kits=None, requests: DataFrame | None = None) -> _Re
                 "quantity_available",
             )
         ),
+        components,
     )
 
 
@@ -266,7 +312,7 @@ def _shortfall(report: _Report) -> DataFrame:
 
 
 def pieces_missing(tables: Tables, kits=None) -> DataFrame:
-    return _shortfall(_report(tables, kits)).select(
+    return _shortfall(_report(tables, kits, with_rows=False)).select(
         "kit_number", "serial_number", "pieces_missing"
     )
 
@@ -282,31 +328,12 @@ def _repeat(serials: DataFrame) -> DataFrame:
 def _grid(report: _Report, serials: DataFrame) -> DataFrame:
     """Join serials (kit_product_number, serial_number, ...) with the components of
     their kit and with what they hold of them."""
-    tables, kits, heavy = report.tables, report.kits, report.heavy()
-    # Whatever does not depend on the serial is attached before the grid is built.
-    components = kit_components(tables, kits)
-    percent = kit_percent_invalid(tables).select(
-        F.col("kit_prod_number").alias("kit_product_number"), "kit_edi", "percent_invalid"
-    )
-    bins = _shown_bins(tables).select(
-        F.col("kit_prod_number").alias("kit_product_number"), "kit_bin"
-    )
-    loose = loose_availability(tables).withColumnsRenamed(
-        {"product_number": "component_product_number", "edi_number": "component_prod_id"}
-    )
-    second = warehouse_availability(tables).withColumnRenamed("prod_id", "component_prod_id")
-    components = (
-        components.join(loose, ["component_product_number", "component_prod_id"], "left")
-        .join(second, "component_prod_id", "left")
-        .join(bins, "kit_product_number")
-        .join(percent, ["kit_product_number", "kit_edi"], "left")
-    )
-
+    heavy = report.heavy()
     key = "kit_product_number"
     return (
         tile_rows(serials, heavy, key, "left", by="serial_number")
         .join(
-            tile_rows(components, heavy, key, "right", by="component_prod_id"),
+            tile_rows(report.components, heavy, key, "right", by="component_prod_id"),
             [key, "_lt", "_rt"],
         )
         .join(report.contents, [key, "serial_number", "component_prod_id"], "left")
@@ -366,7 +393,7 @@ def _kits_of(requests: DataFrame) -> DataFrame:
 def serial_diff(tables: Tables, requests: DataFrame) -> DataFrame:
     """Missing pieces and number of missing components of every requested serial; 0
     for a serial that is not in the report."""
-    shortfall = _shortfall(_report(tables, requests=requests))
+    shortfall = _shortfall(_report(tables, requests=requests, with_rows=False))
     zero = F.lit(0).cast("long")
     return (
         requests.select("kit_number", "serial_number")
@@ -405,7 +432,7 @@ def requested_contents(tables: Tables, requests: DataFrame) -> DataFrame:
     """
     kits = _kits_of(requests)
     serials = _report_serials(tables, kits, requests)
-    contents = serial_contents(tables).select(
+    contents = serial_contents(tables, kits).select(
         F.col("kit_prod_number").alias("kit_number"),
         "serial_number",
         F.col("component_edi").alias("component_prod_id"),

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from rekit.functions.skew import heavy_keys, tile_rows
 from rekit.operators.inventory import (
     _on_site,
+    central_kits,
     kit_percent_invalid,
     loose_availability,
     reported_units,
     warehouse_availability,
 )
-from rekit.operators.standard import build_standard, kit_components
+from rekit.operators.standard import build_standard
 from rekit.sources.tables import Tables
 
 
@@ -103,8 +104,8 @@ def kit_breakout_corrected(tables: Tables, kits=None) -> DataFrame:
         )
     )
     kit_names = (
-        kit_components(tables, kits)
-        .groupBy(F.col("kit_product_number").alias(key))
+        central_kits(tables, kits)
+        .groupBy(key)
         .agg(F.min("kit_edi").alias("kit_edi"), F.min("kit_description").alias("kit_description"))
     )
     shares = (

@@ -51,10 +51,62 @@ def only_kits(df: DataFrame, column: str, kits) -> DataFrame:
     return df.where(F.col(column).isin(list(kits)))
 
 
+def kit_units(tables: Tables) -> DataFrame:
+    """Stock rows of kits, valid or not and wherever they are, with their names.
+
+    Everything about kits and serials starts from these, so the stock table is read
+    once for all of it.
+    """
+    codes = tables.codes
+
+    def build():
+        units = tables.stock.where(_kit_unit(codes)).select(
+            F.col("id").alias("unit_id"),
+            F.col("product_id").alias("kit_id"),
+            "serial_id",
+            "stock_type",
+            "inventory_type",
+            "location_type",
+            "location_id",
+            F.when(F.col("container_type") == codes.in_bin, F.col("container_id")).alias("bin_id"),
+            "quantity_on_hand",
+        )
+        bins = tables.bin.select(F.col("id").alias("bin_id"), "zone", bin_label().alias("kit_bin"))
+        return (
+            units.join(bins, "bin_id", "left")
+            .join(_products(tables, "kit"), "kit_id", "left")
+            .join(_serials(tables), "serial_id", "left")
+        )
+
+    return tables.once("kit_units", build)
+
+
+def _serials(tables: Tables) -> DataFrame:
+    return tables.product_serial.select(F.col("id").alias("serial_id"), "serial_number")
+
+
+def _central_units(tables: Tables) -> DataFrame:
+    return kit_units(tables).where(_centralized(tables.codes))
+
+
+def _site_units(tables: Tables) -> DataFrame:
+    """Kit units on site in a kit bin, of any inventory type."""
+    codes = tables.codes
+    return kit_units(tables).where(_on_site(codes) & F.col("zone").startswith(codes.kit_zone))
+
+
 def unique_kits(tables: Tables) -> DataFrame:
     """Products held as kit units in centralized inventory, at any location."""
-    codes = tables.codes
-    return tables.stock.where(_kit_unit(codes) & _centralized(codes)).select("product_id").distinct()
+    return _central_units(tables).select(F.col("kit_id").alias("product_id")).distinct()
+
+
+def central_kits(tables: Tables, kits=None) -> DataFrame:
+    """The same with their names: kit_id, kit_number, kit_edi, kit_description."""
+    return only_kits(
+        _central_units(tables).select("kit_id", "kit_number", "kit_edi", "kit_description"),
+        "kit_number",
+        kits,
+    ).distinct()
 
 
 def loose_availability(tables: Tables) -> DataFrame:
@@ -83,40 +135,27 @@ def loose_availability(tables: Tables) -> DataFrame:
     )
 
 
-def _site_kit_units(tables: Tables) -> DataFrame:
-    """Kit units on site in a kit bin, of any inventory type."""
-    codes = tables.codes
-    return _in_bin(
-        tables.stock.where(_kit_unit(codes) & _on_site(codes)), tables, codes.kit_zone
-    )
-
-
 def _validity_sums(tables: Tables, *extra: str) -> DataFrame:
     """On-hand sums of valid and invalid units; NULL where a status is absent."""
     codes = tables.codes
     stock_type, on_hand = F.col("stock_type"), F.col("quantity_on_hand")
-    per_id = (
-        _site_kit_units(tables)
+    return (
+        _site_units(tables)
         .where(_centralized(codes))
-        .groupBy("product_id", *extra)
+        .groupBy("kit_number", "kit_edi", "kit_description", *extra)
         .agg(
             F.sum(F.when(stock_type == codes.valid_kit, on_hand)).alias("valid"),
             F.sum(F.when(stock_type == codes.invalid_kit, on_hand)).alias("invalid"),
         )
     )
-    return (
-        per_id.join(_products(tables, "product"), "product_id", "left")
-        .groupBy("product_number", "product_edi", "product_description", *extra)
-        .agg(F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"))
-    )
 
 
 def kit_validity_by_type(tables: Tables) -> DataFrame:
     """One row per kit and unit status, the other status' column being NULL."""
     return _validity_sums(tables, "stock_type").select(
-        "product_number",
-        F.col("product_edi").alias("edi_number"),
-        F.col("product_description").alias("description"),
+        F.col("kit_number").alias("product_number"),
+        F.col("kit_edi").alias("edi_number"),
+        F.col("kit_description").alias("description"),
         "valid",
         "invalid",
     )
@@ -125,16 +164,16 @@ def kit_validity_by_type(tables: Tables) -> DataFrame:
 def kit_percent_invalid(tables: Tables) -> DataFrame:
     zero = F.lit(0).cast("long")
     return _validity_sums(tables).select(
-        F.col("product_number").alias("kit_prod_number"),
-        F.col("product_edi").alias("kit_edi"),
-        F.col("product_description").alias("kit_description"),
+        F.col("kit_number").alias("kit_prod_number"),
+        "kit_edi",
+        "kit_description",
         F.coalesce("valid", zero).alias("valid"),
         F.coalesce("invalid", zero).alias("invalid"),
         invalid_share("valid", "invalid").alias("percent_invalid"),
     )
 
 
-def serial_contents(tables: Tables) -> DataFrame:
+def serial_contents(tables: Tables, kits=None) -> DataFrame:
     """Pieces held by each kit serial, per component.
 
     A piece's stock row points at the stock row that contains it. Only rows that
@@ -147,7 +186,9 @@ def serial_contents(tables: Tables) -> DataFrame:
         & _on_site(codes)
     ).select("product_id", "container_id", "quantity_available")
     bins = tables.bin.select(F.col("id").alias("bin_id"), bin_label().alias("kit_bin"))
-    serials = tables.product_serial.select(F.col("id").alias("serial_id"), "serial_number")
+    kit_products = only_kits(
+        _products(tables, "kit").where(F.col("kit_number").isNotNull()), "kit_number", kits
+    )
     holders = (
         tables.stock.select(
             F.col("id").alias("container_id"),
@@ -156,14 +197,17 @@ def serial_contents(tables: Tables) -> DataFrame:
             F.when(F.col("container_type") == codes.in_bin, F.col("container_id")).alias("bin_id"),
         )
         .join(pieces.select("container_id").distinct(), "container_id", "left_semi")
-        .join(_products(tables, "kit").where(F.col("kit_number").isNotNull()), "kit_id")
-        .join(serials, "serial_id", "left")
+        .join(kit_products, "kit_id")
+        .join(_serials(tables), "serial_id", "left")
         .join(bins, "bin_id", "left")
     )
     return (
         pieces.join(holders, "container_id")
-        .join(_products(tables, "component").withColumnRenamed("component_id", "product_id"),
-              "product_id", "left")
+        .join(
+            _products(tables, "component").withColumnRenamed("component_id", "product_id"),
+            "product_id",
+            "left",
+        )
         .groupBy(
             F.col("kit_number").alias("kit_prod_number"),
             "kit_edi",
@@ -192,81 +236,48 @@ def warehouse_availability(tables: Tables) -> DataFrame:
 
 def kit_serials(tables: Tables) -> DataFrame:
     """Kit serials on site in a kit bin."""
-    units = (
-        _site_kit_units(tables)
-        .where(_centralized(tables.codes))
-        .select("product_id", "serial_id")
-        .distinct()
-    )
-    serials = tables.product_serial.select(F.col("id").alias("serial_id"), "serial_number")
     return (
-        units.join(serials, "serial_id", "left")
-        .join(_products(tables, "product"), "product_id", "left")
-        .select(
-            F.col("product_number").alias("kit_product_number"),
-            F.col("product_edi").alias("kit_edi"),
-            "serial_number",
-        )
+        _site_units(tables)
+        .where(_centralized(tables.codes))
+        .select(F.col("kit_number").alias("kit_product_number"), "kit_edi", "serial_number")
         .distinct()
     )
 
 
 def kit_bins(tables: Tables) -> DataFrame:
     """Kit bins in which units of a kit are stored."""
-    places = _site_kit_units(tables).select("product_id", "bin_label").distinct()
     return (
-        places.join(
-            _products(tables, "product").where(F.col("product_number").isNotNull()), "product_id"
-        )
+        _site_units(tables)
+        .where(F.col("kit_number").isNotNull())
         .select(
-            F.col("product_number").alias("kit_prod_number"),
-            F.col("product_edi").alias("kit_edi"),
-            F.col("product_description").alias("kit_description"),
-            F.col("bin_label").alias("kit_bin"),
+            F.col("kit_number").alias("kit_prod_number"), "kit_edi", "kit_description", "kit_bin"
         )
         .distinct()
     )
 
 
+def _not_excluded(column: str, codes: InventoryCodes) -> Column:
+    return ~F.col(column).startswith(codes.excluded_prefix)
+
+
 def reported_kits(tables: Tables, kits=None) -> DataFrame:
     """Numbers of the kits the report covers: not excluded, and with a kit bin."""
     numbers = (
-        kit_bins(tables)
-        .where(F.col("kit_bin").isNotNull() & _not_excluded("kit_prod_number", tables.codes))
-        .select(F.col("kit_prod_number").alias("kit_number"))
+        _site_units(tables)
+        .where(F.col("kit_bin").isNotNull() & _not_excluded("kit_number", tables.codes))
+        .select("kit_number")
     )
     return only_kits(numbers, "kit_number", kits).distinct()
 
 
-def _not_excluded(column: str, codes: InventoryCodes) -> Column:
-    return ~F.col(column).startswith(codes.excluded_prefix)
-
-
 def reported_units(tables: Tables, kits=None) -> DataFrame:
     """Stock rows of the serials the report covers.
 
     Columns: unit_id, kit_number, serial_number, stock_type, kit_bin.
     """
-    serials = tables.product_serial.select(F.col("id").alias("serial_id"), "serial_number")
-    named = (
-        _site_kit_units(tables)
-        .where(_centralized(tables.codes))
-        .select(F.col("id").alias("unit_id"), "product_id", "serial_id", "stock_type", "bin_label")
-        .join(
-            tables.product.select(
-                F.col("id").alias("product_id"), F.col("product_number").alias("kit_number")
-            ).where(_not_excluded("kit_number", tables.codes)),
-            "product_id",
-        )
-    )
     return (
-        named.join(reported_kits(tables, kits), "kit_number", "left_semi")
-        .join(serials, "serial_id", "left")
-        .select(
-            "unit_id",
-            "kit_number",
-            "serial_number",
-            "stock_type",
-            F.col("bin_label").alias("kit_bin"),
-        )
+        _site_units(tables)
+        .where(_centralized(tables.codes))
+        .select("unit_id", "kit_number", "serial_number", "stock_type", "kit_bin")
+        .join(reported_kits(tables, kits), "kit_number", "left_semi")
     )

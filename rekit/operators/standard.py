@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekit.operators.inventory import _not_excluded, _products, only_kits, unique_kits
+from rekit.operators.inventory import _not_excluded, _products, central_kits, unique_kits
 from rekit.sources.tables import Tables
 
 
 def standard_kits(tables: Tables, kits=None) -> DataFrame:
     """Numbers of the kits held in centralized inventory."""
-    products = tables.product.select(
-        F.col("id").alias("product_id"), F.col("product_number").alias("kit_number")
-    )
-    return (
-        only_kits(products, "kit_number", kits)
-        .join(unique_kits(tables), "product_id", "left_semi")
-        .select("kit_number")
-        .distinct()
-    )
+    return central_kits(tables, kits).where(F.col("kit_number").isNotNull()).select(
+        "kit_number"
+    ).distinct()
 
 
 def kit_universe(tables: Tables) -> DataFrame:
@@ -33,43 +27,55 @@ def kit_universe(tables: Tables) -> DataFrame:
     )
 
 
-def kit_components(tables: Tables, kits=None) -> DataFrame:
-    """The universe with names, without the excluded kits."""
-    kit_products = only_kits(
-        _products(tables, "kit").where(_not_excluded("kit_number", tables.codes)),
-        "kit_number",
-        kits,
-    ).withColumnRenamed("kit_id", "product_id")
-    components = _products(tables, "component").withColumnRenamed(
-        "component_id", "component_product_id"
+def named_components(tables: Tables) -> DataFrame:
+    return _products(tables, "component").select(
+        F.col("component_id").alias("component_product_id"),
+        F.col("component_number").alias("component_product_number"),
+        F.col("component_edi").alias("component_prod_id"),
+        "component_description",
     )
+
+
+def kit_components(
+    tables: Tables, kits=None, component_details: DataFrame | None = None
+) -> DataFrame:
+    """The universe with names, without the excluded kits.
+
+    ``component_details`` adds columns per component: a frame to use in place of the
+    named components. Joining it here is cheaper than joining them to every kit row.
+    """
+    components = named_components(tables)
+    details = []
+    if component_details is not None:
+        details = [c for c in component_details.columns if c not in components.columns]
+        components = component_details
+    kit_products = central_kits(tables, kits).where(_not_excluded("kit_number", tables.codes))
+    bill = tables.product_component.select(
+        F.col("product_id").alias("kit_id"), "component_product_id", "quantity"
+    ).distinct()
     return (
-        kit_universe(tables)
-        .join(kit_products, "product_id")
+        kit_products.join(bill, "kit_id", "left")
         .join(components, "component_product_id", "left")
         .select(
             F.col("kit_number").alias("kit_product_number"),
             "kit_edi",
             "kit_description",
-            F.col("component_number").alias("component_product_number"),
-            F.col("component_edi").alias("component_prod_id"),
+            "component_product_number",
+            "component_prod_id",
             "component_description",
             F.col("quantity").alias("component_quantity_in_kit"),
+            *details,
         )
     )
 
 
 def _standard_rows(tables: Tables, kits=None) -> DataFrame:
-    kit_products = only_kits(
-        _products(tables, "kit").where(F.col("kit_number").isNotNull()), "kit_number", kits
-    )
     components = _products(tables, "component").withColumnRenamed(
         "component_id", "component_product_id"
     )
     return (
-        unique_kits(tables)
-        .withColumnRenamed("product_id", "kit_id")
-        .join(kit_products, "kit_id")
+        central_kits(tables, kits)
+        .where(F.col("kit_number").isNotNull())
         .join(tables.product_component.withColumnRenamed("product_id", "kit_id"), "kit_id", "left")
         .join(components, "component_product_id", "left")
     )

@@ -51,6 +51,7 @@ class Tables:
     ):
         self.spark, self.codes, self.as_of, self.storing = spark, codes, as_of, storing
         self._load = load
+        self._made: dict[str, DataFrame] = {}
 
     @cached_property
     def stock(self) -> DataFrame:
@@ -85,6 +86,12 @@ class Tables:
         """A frame that several parts of a plan read."""
         return store(df) if self.storing else df
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame derived from the tables alone, shared by all reports on them."""
+        if name not in self._made:
+            self._made[name] = self.shared(build())
+        return self._made[name]
+
     def snapshot_date(self) -> Column:
         return F.current_date() if self.as_of is None else F.lit(self.as_of)
 
