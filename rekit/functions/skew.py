@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 RANK_BITS = 22
 # A tile joins about TILE_SIDE rows with TILE_SIDE rows of one key.
 TILE_SIDE = 2_000
+# Output rows per task of a join that multiplies rows, and the most tasks to ask for.
+ROWS_PER_TASK = 1_000_000
+MAX_TASKS = 200_000
 # Keys looked up by broadcast when splitting; see ``heavy_keys``.
 MAX_HEAVY_KEYS = 1_000
 
@@ -60,6 +63,22 @@ def _sum_before(column: str, group: list[str], order: Column) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0).cast("long"))
 
 
+def joined_rows(left: DataFrame, right: DataFrame, key: str) -> int:
+    """Rows that joining on the key gives, from the counts of ``heavy_keys``."""
+    pairs = F.col("left_rows").cast("double") * F.col("right_rows")
+    return int(left.join(right, key).agg(F.sum(pairs)).first()[0] or 0)
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Partition one side of a join by its keys, for the rows that come out of it.
+
+    Spark sizes tasks by what goes into a join. Where a few bytes in become many rows
+    out, that makes too few of them.
+    """
+    tasks = min(rows // ROWS_PER_TASK, MAX_TASKS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def heavy_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys whose join outgrows one tile, with the number of tiles along each side.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekit.functions.skew import heavy_keys, tile_rows
+from rekit.functions.skew import heavy_keys, joined_rows, spread, tile_rows
 from rekit.operators.inventory import (
     kit_bins,
     kit_percent_invalid,
@@ -62,24 +62,28 @@ def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
         .join(serials.select(key).distinct(), key, "left_anti")
     )
     rows = F.count(F.lit(1))
-    heavy = heavy_keys(
-        serials.groupBy(key).agg(rows.alias("left_rows")),
-        kit_standard_size(tables, kits).select(
-            F.col("kit_number").alias(key),
-            F.col("total_pieces").alias("right_rows"),
-            F.col("total_pieces").alias("right_values"),
+    counts = (
+        tables.shared(serials.groupBy(key).agg(rows.alias("left_rows"))),
+        tables.shared(
+            kit_standard_size(tables, kits).select(
+                F.col("kit_number").alias(key),
+                F.col("total_pieces").alias("right_rows"),
+                F.col("total_pieces").alias("right_values"),
+            )
         ),
         key,
     )
+    heavy = heavy_keys(*counts)
+    tiled = tile_rows(
+        serials.unionByName(bare, allowMissingColumns=True),
+        heavy,
+        key,
+        "left",
+        by="serial_number",
+    )
     # An inner join: a copied row that meets nothing in one tile must not show up.
     return (
-        tile_rows(
-            serials.unionByName(bare, allowMissingColumns=True),
-            heavy,
-            key,
-            "left",
-            by="serial_number",
-        )
+        (spread(tiled, joined_rows(*counts), key, "_lt", "_rt") if tables.storing else tiled)
         .join(
             tile_rows(components, heavy, key, "right", by="component_prod_id"),
             [key, "_lt", "_rt"],
@@ -218,11 +222,12 @@ class _Report:
     repetition: DataFrame
     contents: DataFrame
     components: DataFrame | None
+    stored: bool
 
-    def heavy(self) -> DataFrame:
-        """Kits whose part of the report has to be cut into tiles."""
+    def counts(self) -> tuple[DataFrame, DataFrame, str]:
+        """Serial rows per kit, and component rows per serial."""
         key = "kit_product_number"
-        return heavy_keys(
+        return (
             self.serials.groupBy(F.col("kit_number").alias(key)).agg(
                 F.sum("serial_rows").alias("left_rows")
             ),
@@ -264,6 +269,7 @@ def _report(
             )
         ),
         components,
+        tables.storing,
     )
 
 
@@ -328,11 +334,13 @@ def _repeat(serials: DataFrame) -> DataFrame:
 def _grid(report: _Report, serials: DataFrame) -> DataFrame:
     """Join serials (kit_product_number, serial_number, ...) with the components of
     their kit and with what they hold of them."""
-    heavy = report.heavy()
-    key = "kit_product_number"
+    counts, key = report.counts(), "kit_product_number"
+    heavy = heavy_keys(*counts)
+    serials = tile_rows(serials, heavy, key, "left", by="serial_number")
+    if report.stored:
+        serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
     return (
-        tile_rows(serials, heavy, key, "left", by="serial_number")
-        .join(
+        serials.join(
             tile_rows(report.components, heavy, key, "right", by="component_prod_id"),
             [key, "_lt", "_rt"],
         )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekit.functions.skew import heavy_keys, tile_rows
+from rekit.functions.skew import heavy_keys, joined_rows, spread, tile_rows
 from rekit.operators.inventory import (
     _on_site,
     central_kits,
@@ -122,14 +122,17 @@ def kit_breakout_corrected(tables: Tables, kits=None) -> DataFrame:
     )
 
     rows = F.count(F.lit(1))
-    heavy = heavy_keys(
+    counts = (
         units.groupBy(key).agg(rows.alias("left_rows")),
         standard.groupBy(key).agg(rows.alias("right_rows"), rows.alias("right_values")),
         key,
     )
+    heavy = heavy_keys(*counts)
+    serials = tile_rows(serials, heavy, key, "left", by="serial_number")
+    if tables.storing:
+        serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
     return (
-        tile_rows(serials, heavy, key, "left", by="serial_number")
-        .join(
+        serials.join(
             tile_rows(components, heavy, key, "right", by="component_product_id"),
             [key, "_lt", "_rt"],
         )

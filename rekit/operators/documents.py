@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekit.operators.breakout import _grid, _repeat, _report, _shortfall, _with_absent
-from rekit.operators.reassembly import assembly_build_lines
+from rekit.operators.reassembly import assembly_build_lines, line_count
 from rekit.operators.standard import kit_standard_map
 from rekit.sources.tables import Tables
 
@@ -103,7 +103,7 @@ def assembly_documents(fill: DataFrame, status: DataFrame) -> DataFrame:
     """kit_number, slot_block, part, assembly: serials in build order, each with its
     status and what it received."""
     lines = assembly_build_lines(
-        fill, status.select("kit_number", "build_pos", "components_in_kit")
+        fill, status.select("kit_number", "build_pos", "components_in_kit"), line_count(fill)
     )
     built = (
         lines.groupBy(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rekit.functions.expressions import fill_count
+from rekit.functions.skew import spread
 from rekit.operators.breakout import requested_contents
 from rekit.operators.corrected import requested_contents_corrected
 from rekit.operators.standard import build_standard
@@ -138,11 +139,14 @@ def assembly_serial_status(
     )
 
 
-def assembly_build_lines(fill: DataFrame, slots: DataFrame) -> DataFrame:
+def assembly_build_lines(
+    fill: DataFrame, slots: DataFrame, lines: int | None = None
+) -> DataFrame:
     """What goes into each rebuilt serial: one row per component received.
 
     ``slots`` are requests or serial statuses; their further columns are kept. A
     component is sent once to every block of slots it reaches, not once per slot.
+    ``lines``, if known, is the number of rows to expect.
     """
     reach = fill.where(F.col("fill") > 0).select(
         "kit_number",
@@ -154,6 +158,7 @@ def assembly_build_lines(fill: DataFrame, slots: DataFrame) -> DataFrame:
         ).alias("block"),
     )
     placed = slots.withColumn("block", F.shiftright(F.col("build_pos") - 1, LINE_BITS))
+    placed = spread(placed, lines or 0, "kit_number", "block")
     return (
         placed.join(reach, ["kit_number", "block"])
         .where(F.col("build_pos") <= F.col("fill"))
@@ -196,10 +201,16 @@ def assembly_serial_report(status: DataFrame) -> DataFrame:
     return status.select("kit_number", "serial_number", "status", "components_in_kit")
 
 
-def assembly_serial_sheets(fill: DataFrame, status: DataFrame) -> DataFrame:
+def line_count(fill: DataFrame) -> int:
+    return fill.agg(F.sum("fill")).first()[0] or 0
+
+
+def assembly_serial_sheets(
+    fill: DataFrame, status: DataFrame, lines: int | None = None
+) -> DataFrame:
     """Build lines under their serial's status, in upper case as a heading. A serial
     that received nothing has no line here; the serial report lists it."""
-    return assembly_build_lines(fill, status).select(
+    return assembly_build_lines(fill, status, lines).select(
         "kit_number",
         "serial_number",
         F.upper("status").alias("status"),

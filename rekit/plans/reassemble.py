@@ -33,10 +33,11 @@ class Reassembly:
     requests: DataFrame
     fill: DataFrame
     as_reported: bool = False
+    is_stored: bool = False
 
     @property
     def stored(self) -> Reassembly:
-        return replace(self, fill=store(self.fill))
+        return self if self.is_stored else replace(self, fill=store(self.fill), is_stored=True)
 
     @property
     def status(self) -> DataFrame:
@@ -44,11 +45,14 @@ class Reassembly:
 
     @property
     def lines(self) -> DataFrame:
-        return reassembly.assembly_build_lines(self.fill, self.requests)
+        fill = self.stored.fill
+        return reassembly.assembly_build_lines(fill, self.requests, reassembly.line_count(fill))
 
     @property
     def sheets(self) -> DataFrame:
-        return reassembly.assembly_serial_sheets(self.fill, self.status)
+        run = self.stored
+        lines = reassembly.line_count(run.fill)
+        return reassembly.assembly_serial_sheets(run.fill, run.status, lines)
 
     @property
     def summary(self) -> DataFrame:
@@ -88,15 +92,15 @@ def save(tables: Tables, raw_requests: DataFrame | None, out: str, as_reported=F
     requests = spark.read.parquet(f"{out}/requests")
     result = reassemble(tables, requests, as_reported)
     sinks.write_parquet(result.fill, f"{out}/component_fill")
-    result = Reassembly(requests, spark.read.parquet(f"{out}/component_fill"), as_reported)
+    fill = spark.read.parquet(f"{out}/component_fill")
+    result = Reassembly(requests, fill, as_reported, is_stored=True)
     sinks.write_parquet(result.status, f"{out}/assembly_status")
     status = spark.read.parquet(f"{out}/assembly_status")
 
     sinks.write_parquet(result.summary, f"{out}/summary")
     sinks.write_csv(reassembly.assembly_serial_report(status), f"{out}/serial_report")
-    sinks.write_csv(
-        reassembly.assembly_serial_sheets(result.fill, status), f"{out}/serial_sheets"
-    )
+    sheets = reassembly.assembly_serial_sheets(fill, status, reassembly.line_count(fill))
+    sinks.write_csv(sheets, f"{out}/serial_sheets")
     sinks.write_json(documents.standard_documents(tables), f"{out}/std")
     sinks.write_json(documents.breakout_documents(tables, requests), f"{out}/breakout")
     sinks.write_json(
