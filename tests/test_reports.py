@@ -271,16 +271,18 @@ def test_no_plan_multiplies_rows_blindly_or_leaves_the_jvm(spark, site, wanted):
 def test_scans_read_few_columns_and_filter_early(spark, make_tables, tmp_path):
     sources.write_parquet(make_tables(**warehouse(1)), str(tmp_path))
     tables = sources.read_parquet(spark, str(tmp_path), as_of=DAY)
-    kits = inventory.unique_kits(tables)
-    assert "ReadSchema: struct<product_id:bigint,stock_type:int,inventory_type:int>" in plan(kits)
-    assert "In(stock_type, [3,4])" in plan(kits) and "EqualTo(inventory_type,3)" in plan(kits)
+    units = plan(inventory.kit_units(tables.with_settings(storing=False)))
+    assert "In(stock_type, [3,4])" in units
+    kits = plan(inventory.unique_kits(tables))
+    assert "ReadSchema: struct<kit_id:bigint,inventory_type:int>" in kits
+    assert "EqualTo(inventory_type,3)" in kits
     loose = plan(inventory.loose_availability(tables))
     assert "StringStartsWith(zone,R)" in loose
     assert re.search(r"Filter .*quantity_available#\d+L > 0.*\n.*FileScan", loose)
 
 
 def test_one_kit_reaches_the_scan(spark, make_tables, tmp_path):
-    """Asking for one kit filters the product scan, not only the finished report."""
+    """Asking for one kit filters the scan of kit units, not only the finished report."""
     sources.write_parquet(make_tables(**warehouse(1)), str(tmp_path))
     tables = sources.read_parquet(spark, str(tmp_path), as_of=DAY)
-    assert "EqualTo(product_number,K-1)" in plan(standard.kit_standard(tables, kits=["K-1"]))
+    assert "EqualTo(kit_number,K-1)" in plan(standard.kit_standard(tables, kits=["K-1"]))

@@ -93,9 +93,19 @@ def test_tables_are_loaded_once_and_only_when_asked_for(spark):
         return spark.createDataFrame([], SCHEMAS[name])
 
     tables = sources.Tables(spark, load)
-    inventory.unique_kits(tables)
-    inventory.unique_kits(tables.with_settings(storing=False))
-    assert asked == ["stock"]
+    inventory.warehouse_availability(tables)
+    inventory.warehouse_availability(tables.with_settings(storing=False))
+    assert asked == ["daily_snapshot"]
+
+
+def test_kit_units_are_stored_once_for_all_reports(make_tables):
+    tables = make_tables(**warehouse(0))
+    files = {
+        path
+        for operator in (inventory.unique_kits, inventory.kit_bins, inventory.kit_serials)
+        for path in operator(tables).inputFiles()
+    }
+    assert files == set(inventory.kit_units(tables).inputFiles())
 
 
 def test_adapter_sizes(spark):
