@@ -16,14 +16,28 @@ def standard_kits(tables: Tables, kits=None) -> DataFrame:
     ).distinct()
 
 
+def _bills(tables: Tables) -> DataFrame:
+    return tables.product_component.select(
+        F.col("product_id").alias("kit_id"), "component_product_id", "quantity"
+    )
+
+
+def _with_bill(kits: DataFrame, bills: DataFrame) -> DataFrame:
+    """Kits with the rows of their bill of materials; a kit without one keeps a row.
+
+    Not written as an outer join: of such a join Spark can split only the kits' side,
+    whereas the many rows of a hot kit are on the other.
+    """
+    bare = kits.join(bills.select("kit_id").distinct(), "kit_id", "left_anti")
+    return bills.join(kits, "kit_id").unionByName(bare, allowMissingColumns=True)
+
+
 def kit_universe(tables: Tables) -> DataFrame:
     """Distinct (kit, component, quantity); a kit without components keeps a row."""
     # Units collapse to kits before the join, so it runs once per kit.
-    return (
-        unique_kits(tables)
-        .join(tables.product_component, "product_id", "left")
-        .select("product_id", "component_product_id", "quantity")
-        .distinct()
+    kits = unique_kits(tables).withColumnRenamed("product_id", "kit_id")
+    return _with_bill(kits, _bills(tables).distinct()).select(
+        F.col("kit_id").alias("product_id"), "component_product_id", "quantity"
     )
 
 
@@ -50,11 +64,8 @@ def kit_components(
         details = [c for c in component_details.columns if c not in components.columns]
         components = component_details
     kit_products = central_kits(tables, kits).where(_not_excluded("kit_number", tables.codes))
-    bill = tables.product_component.select(
-        F.col("product_id").alias("kit_id"), "component_product_id", "quantity"
-    ).distinct()
     return (
-        kit_products.join(bill, "kit_id", "left")
+        _with_bill(kit_products, _bills(tables).distinct())
         .join(components, "component_product_id", "left")
         .select(
             F.col("kit_number").alias("kit_product_number"),
@@ -69,24 +80,31 @@ def kit_components(
     )
 
 
-def _standard_rows(tables: Tables, kits=None) -> DataFrame:
-    components = _products(tables, "component").withColumnRenamed(
-        "component_id", "component_product_id"
-    )
+def _standard_kits(tables: Tables, kits=None) -> DataFrame:
+    return central_kits(tables, kits).where(F.col("kit_number").isNotNull())
+
+
+def _listed_components(tables: Tables, kits=None) -> DataFrame:
+    """Standard rows that have a component with a number."""
+    components = _components(tables).where(F.col("component_number").isNotNull())
     return (
-        central_kits(tables, kits)
-        .where(F.col("kit_number").isNotNull())
-        .join(tables.product_component.withColumnRenamed("product_id", "kit_id"), "kit_id", "left")
-        .join(components, "component_product_id", "left")
+        _bills(tables)
+        .join(_standard_kits(tables, kits), "kit_id")
+        .join(components, "component_product_id")
     )
 
 
+def _components(tables: Tables) -> DataFrame:
+    return _products(tables, "component").withColumnRenamed("component_id", "component_product_id")
+
+
 def kit_standard(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
     """The standard of all kits, or of the given ones.
 
     ``ordered`` sorts by kit and component number, NULLs last.
     """
-    standard = _standard_rows(tables, kits).select(
+    rows = _with_bill(_standard_kits(tables, kits), _bills(tables))
+    standard = rows.join(_components(tables), "component_product_id", "left").select(
         "kit_number",
         "kit_edi",
         "kit_id",
@@ -105,7 +123,7 @@ def kit_standard(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
 def kit_standard_size(tables: Tables, kits=None) -> DataFrame:
     """Number of standard rows per kit (rows, not pieces)."""
     return (
-        _standard_rows(tables, kits)
+        _with_bill(_standard_kits(tables, kits), _bills(tables))
         .groupBy("kit_number")
         .agg(F.count(F.lit(1)).alias("total_pieces"))
     )
@@ -120,8 +138,7 @@ def build_standard(tables: Tables, kits=None) -> DataFrame:
     """
     quantity = F.col("quantity")
     return (
-        _standard_rows(tables, kits)
-        .where(F.col("component_number").isNotNull())
+        _listed_components(tables, kits)
         .groupBy(
             "kit_number", "component_product_id", F.col("component_number").alias("component")
         )
@@ -140,8 +157,7 @@ def kit_standard_map(tables: Tables, kits=None) -> DataFrame:
     smallest edi and description in byte order are shown.
     """
     entries = (
-        _standard_rows(tables, kits)
-        .where(F.col("component_number").isNotNull())
+        _listed_components(tables, kits)
         .groupBy("kit_number", F.col("component_number").alias("component"))
         .agg(
             F.min("component_edi").alias("edi"),
