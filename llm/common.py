@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import string
 import tempfile
 import uuid
@@ -68,3 +70,16 @@ def lower_az(text: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents`` of a folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The frame, after making sure that executors can import this package."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_llm_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="llm-"), "llm"), "zip", os.path.dirname(here), "llm"
+        )
+        context.addPyFile(archive)
+        context._llm_shipped = True
+    return df

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from llm import exact_dedup, mixing
+from llm import exact_dedup, materialise, mixing, topk, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op3_materialise": materialise.query,
     "op4_mix_sources": mixing.query,
+    "op5_toxicity": toxicity.query,
+    "op9_top_k": topk.query,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op9_top_k": topk.ORACLE,
 }
