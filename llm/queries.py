@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from llm import exact_dedup, materialise, mixing, topk, toxicity
+from llm import bpe, exact_dedup, materialise, mixing, pii, topk, toxicity
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_materialise": materialise.query,
     "op4_mix_sources": mixing.query,
     "op5_toxicity": toxicity.query,
+    "op7_bpe": bpe.query,
     "op9_top_k": topk.query,
 }
 
