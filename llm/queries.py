@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bpe, exact_dedup, materialise, mixing, pii, topk, toxicity
+from llm import bpe, exact_dedup, licenses, materialise, mixing, pii, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_materialise": materialise.query,
     "op4_mix_sources": mixing.query,
     "op5_toxicity": toxicity.query,
+    "op6_licenses": licenses.query,
     "op7_bpe": bpe.query,
     "op9_top_k": topk.query,
 }
