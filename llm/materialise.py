@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import documents, quoted, shipped
+from llm.hashing import mixed
 
 #: The byte vocabulary: a token is a byte of UTF-8; 0xFF and 0xFE never occur in it.
 END, PAD = 0xFF, 0xFE
@@ -31,13 +32,6 @@ def round_keys(key: str) -> np.ndarray:
     return np.frombuffer(digest, "<u8")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _half_bits(size: int) -> int:
     return max(1, ((size - 1).bit_length() + 1) // 2)
 
@@ -46,7 +40,7 @@ def _feistel(x: np.ndarray, half: int, keys: np.ndarray) -> np.ndarray:
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     left, right = x >> shift, x & mask
     for key in keys:
-        left, right = right, left ^ (_mixed(right + key) & mask)
+        left, right = right, left ^ (mixed(right + key) & mask)
     return (right << shift) | left
 
 

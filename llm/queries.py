@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bpe, exact_dedup, licenses, materialise, mixing, pii, topk, toxicity
+from llm import bpe, exact_dedup, licenses, materialise, mixing, pii, repeats, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_licenses": licenses.query,
     "op7_bpe": bpe.query,
     "op9_top_k": topk.query,
+    "op10_repeats": repeats.query,
 }
 
 ORACLES = {
