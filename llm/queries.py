@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bpe, exact_dedup, licenses, materialise, mixing, pii, repeats, topk, toxicity
+from llm import bpe, exact_dedup, jaccard_join, licenses, materialise, mixing, pii, repeats, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_licenses": licenses.query,
     "op7_bpe": bpe.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_top_k": topk.query,
     "op10_repeats": repeats.query,
 }
