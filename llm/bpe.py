@@ -22,9 +22,10 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
-from llm.common import documents, quoted, shipped, without
+from llm.common import documents, shipped, without
 
 #: The vocabulary's file; executors read it at the same place.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -361,21 +362,23 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _coded(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iterator[pa.RecordBatch]:
-    model = load(path)
-    for batch in batches:
-        ids = [a.astype("<u4").tobytes() for a in model.encode(_texts(batch.column(text_col)))]
-        columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != text_col]
-        names = [n for n in batch.schema.names if n != text_col]
-        yield pa.record_batch(
-            [*columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-            names=[*names, "n_tokens", "ids"],
-        )
+def _replaced(df: DataFrame, name: str, function, fields: str) -> DataFrame:
+    """``df`` with the column ``name`` replaced by what ``function`` makes of it.
+
+    Columns go by their place, as names may hold dots.
+    """
+    at = df.columns.index(name)
+    places = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    kept = [f for i, f in enumerate(places.schema.fields) if i != at]
+    schema = StructType([*kept, *StructType.fromDDL(fields).fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.record_batch([*columns, *function(batch.column(at))], names=schema.fieldNames())
 
-def _schema(df: DataFrame, drop: str, *more: str) -> str:
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != drop]
-    return ", ".join([*kept, *more])
+    made = shipped(places).mapInArrow(run, schema)
+    return made.toDF(*[c for i, c in enumerate(df.columns) if i != at], *StructType.fromDDL(fields).fieldNames())
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -385,24 +388,22 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> D
     texts have no tokens; equal texts get equal tokens; a text of any length is read in
     chunks; columns of ``docs`` named like a result column are replaced.
     """
-    docs = without(docs, ["n_tokens", "ids"])
-    schema = _schema(docs, text_col, "n_tokens long", "ids binary")
-    return shipped(docs).mapInArrow(lambda it: _coded(it, path, text_col), schema)
 
+    def coded(column: pa.Array) -> list[pa.Array]:
+        ids = [a.astype("<u4").tobytes() for a in load(path).encode(_texts(column))]
+        return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str) -> Iterator[pa.RecordBatch]:
-    model = load(path)
-    for batch in batches:
-        texts = ["".join(model.decode(np.frombuffer(i or b"", "<u4"))) for i in batch.column(ids_col).to_pylist()]
-        columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids_col]
-        names = [n for n in batch.schema.names if n != ids_col]
-        yield pa.record_batch([*columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+    return _replaced(without(docs, ["n_tokens", "ids"]), text_col, coded, "n_tokens long, ids binary")
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """``rows`` without its ids, with their text as ``decoded``; null ids are no tokens."""
-    rows = without(rows, ["decoded"])
-    return shipped(rows).mapInArrow(lambda it: _decoded(it, path, ids_col), _schema(rows, ids_col, "decoded string"))
+
+    def decoded(column: pa.Array) -> list[pa.Array]:
+        ids = (np.frombuffer(i or b"", "<u4") for i in column.to_pylist())
+        return [pa.array(["".join(load(path).decode(i)) for i in ids], pa.string())]
+
+    return _replaced(without(rows, ["decoded"]), ids_col, decoded, "decoded string")
 
 
 def _digested(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

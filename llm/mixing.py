@@ -138,51 +138,51 @@ def mix_sources(
     leaves = stored(narrow.groupBy(*_NODES).agg(F.sum(_TOKENS).alias("total")))
     plan = leaf_budgets(leaves, weights, share, max_epochs).where("budget > 0")
     plan = stored(
-        plan.withColumns({"_whole": F.expr("budget div total"), "_rest": F.expr("budget % total")})
+        plan.withColumns({"_mx_whole": F.expr("budget div total"), "_mx_rest": F.expr("budget % total")})
     )
 
     def keyed(frame: DataFrame, key: Column) -> DataFrame:
-        text = F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(key.cast("string"), F.lit("null")))
+        text = F.concat_ws(":", F.lit(str(seed)), F.col("_mx_whole").cast("string"), F.coalesce(key.cast("string"), F.lit("null")))
         return frame.withColumn("_mx_key", F.md5(text)).withColumn(
             "_mx_bucket", F.conv(F.substring("_mx_key", 1, BUCKET_DIGITS), 16, 10).cast("int")
         )
 
     sums = (
         keyed(narrow.join(plan, _NODES), F.col("_mx_id"))
-        .groupBy(*_NODES, "_rest", "_mx_bucket")
+        .groupBy(*_NODES, "_mx_rest", "_mx_bucket")
         .agg(F.sum(_TOKENS).alias("_sum"))
         .withColumn("_to", F.sum("_sum").over(W.partitionBy(*_NODES).orderBy("_mx_bucket")))
     )
     cuts = stored(
-        sums.where("_to >= _rest and _rest > 0")
+        sums.where("_to >= _mx_rest and _mx_rest > 0")
         .groupBy(*_NODES)
-        .agg(F.min(F.struct("_mx_bucket", (F.col("_to") - F.col("_sum")).alias("start"))).alias("_cut"))
+        .agg(F.min(F.struct("_mx_bucket", (F.col("_to") - F.col("_sum")).alias("start"))).alias("_mx_cut"))
         .join(plan, _NODES, "right")
     )
     drawn = keyed(rows.join(cuts, _NODES), quoted(id_col))
     order = [F.col("_mx_key"), F.col("_mx_sort"), F.col(_TOKENS)]
     below = W.partitionBy(*_NODES).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     edge = (
-        drawn.where(F.col("_mx_bucket") == F.col("_cut._mx_bucket"))
+        drawn.where(F.col("_mx_bucket") == F.col("_mx_cut._mx_bucket"))
         .withColumn("_mx_sort", quoted(id_col))
-        .withColumn("_mx_room", F.col("_rest") - F.col("_cut.start") - F.coalesce(F.sum(_TOKENS).over(below), F.lit(0)))
+        .withColumn("_mx_room", F.col("_mx_rest") - F.col("_mx_cut.start") - F.coalesce(F.sum(_TOKENS).over(below), F.lit(0)))
         .withColumn("_mx_part", F.when(F.col("_mx_room") > 0, F.least(F.col("_mx_room"), F.col(_TOKENS))))
     )
     plain = drawn.where(
-        F.col("_cut").isNull() | (F.col("_mx_bucket") != F.col("_cut._mx_bucket"))
-    ).withColumn("_mx_part", F.when(F.col("_mx_bucket") < F.col("_cut._mx_bucket"), F.col(_TOKENS)))
+        F.col("_mx_cut").isNull() | (F.col("_mx_bucket") != F.col("_mx_cut._mx_bucket"))
+    ).withColumn("_mx_part", F.when(F.col("_mx_bucket") < F.col("_mx_cut._mx_bucket"), F.col(_TOKENS)))
     kept = [quoted(c) for c in docs.columns]
-    both = plain.select(*kept, "_whole", _TOKENS, "_mx_part").union(
-        edge.select(*kept, "_whole", _TOKENS, "_mx_part")
+    both = plain.select(*kept, "_mx_whole", _TOKENS, "_mx_part").union(
+        edge.select(*kept, "_mx_whole", _TOKENS, "_mx_part")
     )
     takes = F.concat(
         F.transform(
-            F.expr("if(_whole > 0, sequence(0L, _whole - 1), cast(array() as array<bigint>))"),
+            F.expr("if(_mx_whole > 0, sequence(0L, _mx_whole - 1), cast(array() as array<bigint>))"),
             lambda e: F.struct(e.alias("epoch"), F.col(_TOKENS).alias("taken")),
         ),
         F.when(
             F.col("_mx_part").isNotNull(),
-            F.array(F.struct(F.col("_whole").alias("epoch"), F.col("_mx_part").alias("taken"))),
+            F.array(F.struct(F.col("_mx_whole").alias("epoch"), F.col("_mx_part").alias("taken"))),
         ).otherwise(F.expr("cast(array() as array<struct<epoch:bigint,taken:bigint>>)")),
     )
     return both.withColumn("_mx_take", F.explode(takes)).select(

@@ -393,14 +393,15 @@ def remove_repeats(
     )
     joined = plain.join(cleaned, plain["_rp_row"] == cleaned["row"], "left")
     made = [
-        F.col("n_bytes"),
-        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        plain["n_bytes"],
+        F.coalesce(cleaned["removed"], F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(cleaned["spans"], F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("digest", "_rp_digest").alias("kept_sha256"),
+        F.coalesce(cleaned["digest"], plain["_rp_digest"]).alias("kept_sha256"),
     ]
     if with_text:
-        made.append(F.coalesce(cleaned["kept"], F.col("_rp_text")).alias("kept"))
-    return joined.select(*[plain[c] for c in [x for x in docs.columns if with_text or x != text_col]], *made)
+        made.append(F.coalesce(cleaned["kept"], plain["_rp_text"]).alias("kept"))
+    kept = [c for c in docs.columns if with_text or c != text_col]
+    return joined.select(*[plain["`" + c.replace("`", "``") + "`"] for c in kept], *made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,21 +30,23 @@ TRAINING_ROWS = 20_000
 MAX_TERMS, MAX_PHRASES = 5_000, 1_000
 #: Lengths of word beginnings that may become terms.
 STEMS = range(3, 9)
-#: Least distinct texts behind a term or phrase, least z of its log-odds, least log-odds.
-MIN_TEXTS, MIN_Z, MIN_WEIGHT, MIN_PHRASE = 5, 3.0, 3.0, 3
+#: Least texts behind a term, least z of its log-odds, least log-odds outside exception
+#: phrases and with them, least texts behind an exception phrase.
+MIN_TEXTS, MIN_Z, MIN_WEIGHT, MIN_MIXED, MIN_PHRASE = 5, 3.0, 3.0, 1.0, 3
 
 #: Multipliers of the min-hashes that find copies among the rows to learn from.
 SKETCH_FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
-# Look-alikes by target letter: digits and signs written for letters, then Cyrillic and
-# Greek letters of the same shape. Fixed values.
+# Look-alikes by target letter: digits, signs and letters written for it, then Cyrillic and
+# Greek letters of the same shape. Fixed values. 1 is written for i and for l, so all three
+# are one letter; patterns are folded in the same way.
 LOOK_ALIKES = {
     "a": "4@аαΑА",
     "b": "8вВΒ",
     "c": "сСϲ",
     "e": "3еЕεΕ",
     "h": "нНΗ",
-    "i": "1іІιΙ",
+    "i": "1lLіІιΙ",
     "k": "кКκΚ",
     "m": "мМΜ",
     "n": "ηΝ",
@@ -87,9 +89,14 @@ def fold(text: str | None) -> str:
     return f" {(text or '').translate(_FOLDING)} "
 
 
+def fold_phrase(phrase: str) -> str:
+    """A phrase as a pattern: folded words between single blanks."""
+    return f" {' '.join(fold(phrase).split())} "
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """``terms``: pattern to weight. A pattern begins with a blank; one that also ends with
+    """``terms``: folded pattern to weight. A pattern begins with a blank; one that also ends with
     a blank is a whole word or phrase, any other a word beginning. ``exceptions``: phrases
     between blanks whose matches don't count. ``threshold``: the normalised sum that scores
     one half."""
@@ -252,24 +259,31 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = min(MIN_TEXTS, 1 + toxic // 10)
-    strong = (
-        _summed(sample, _word_terms)
-        .where(F.col("toxic") >= least)
-        .withColumns({"weight": weight, "z": weight / spread})
-        .where((F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= min(MIN_Z, 0.5 * least)))
-        .orderBy(F.desc("z"), "term")
-        .limit(MAX_TERMS)
-    )
-    terms = {r["term"]: (r["toxic"], r["weight"]) for r in strong.collect()}
-    lexicon = Lexicon(tuple(sorted(_specific(terms).items())))
-    spared = (
-        _summed(sample, lambda text: _phrases(text, lexicon))
+
+    def strong(counts: DataFrame, odds: float) -> dict[str, tuple[int, float]]:
+        chosen = (
+            counts.where(F.col("toxic") >= least)
+            .withColumns({"weight": weight, "z": weight / spread})
+            .where((F.col("weight") >= odds) & (F.col("z") >= min(MIN_Z, 0.5 * least)))
+            .orderBy(F.desc("z"), "term")
+            .limit(MAX_TERMS)
+        )
+        return {r["term"]: (r["toxic"], r["weight"]) for r in chosen.collect()}
+
+    # Words that also stand in harmless phrases look mixed until these are known.
+    mixed = Lexicon(tuple(sorted(_specific(strong(_summed(sample, _word_terms), MIN_MIXED)).items())))
+    harmless = (
+        _summed(sample, lambda text: _phrases(text, mixed))
         .where((F.col("toxic") == 0) & (F.col("clean") >= MIN_PHRASE))
         .orderBy(F.desc("clean"), "term")
         .limit(MAX_PHRASES)
     )
-    found = tuple(sorted({*exceptions, *(r["term"] for r in spared.collect())}))
-    lexicon = Lexicon(lexicon.terms, found)
+    phrases = {*map(fold_phrase, exceptions), *(r["term"] for r in harmless.collect())}
+    spared = Lexicon(mixed.terms, tuple(sorted(phrases)))
+    outside = _summed(sample, lambda text: {p for _, p, _ in matches(fold(text), spared)})
+    terms = tuple(sorted((t, w) for t, (_, w) in strong(outside, MIN_WEIGHT).items()))
+    found = tuple(p for p in spared.exceptions if any(t in p for t, _ in terms))
+    lexicon = Lexicon(terms, found)
     # One pair of numbers per sampled row.
     pairs = sample.select("toxic", _strength(lexicon)("text").alias("x")).collect()
     return Lexicon(lexicon.terms, found, _cut([(r["x"], r["toxic"]) for r in pairs]))

@@ -1,0 +1,65 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+
+from llm.repeats import remove_repeats, window_minima
+
+
+def by_hand(texts, least):
+    texts = [(t or "").encode() for t in texts]
+    counts = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 2, dtype=int)
+        for i in range(len(t) - least + 1):
+            if counts[t[i : i + least]] > 1:
+                gone[i + 1 : i + least + 1] = 1
+        kept = bytes(b for b, g in zip(t, gone[1:], strict=False) if not g)
+        spans = int((np.diff(gone) == 1).sum())
+        out.append((len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def found(frame, **more):
+    rows = remove_repeats(frame, **more).collect()
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+
+
+def corpus(rng):
+    passages = ["".join(rng.choice("abc") for _ in range(rng.randrange(5, 90))) for _ in range(10)]
+    noise = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40)))
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.6 else noise() for _ in range(rng.randrange(9))) for _ in range(150)]
+    return texts + ["a" * 300, "a" * 10, "ab" * 100, "", None, "abc" * 60, "é" * 45, "漢字" * 20, texts[3], texts[3]]
+
+
+def test_as_by_hand(docs):
+    texts = corpus(random.Random(3))
+    frame = docs(texts)
+    for least, anchor in ((40, 8), (24, 5)):
+        assert found(frame, least=least, anchor=anchor, with_text=False) == dict(enumerate(by_hand(texts, least)))
+    # The exact way for groups beyond a task's size.
+    assert found(frame, least=40, anchor=8, members=2) == dict(enumerate(by_hand(texts, 40)))
+
+
+def test_kept_bytes(docs):
+    passage = "".join(random.Random(4).choice("abcdef") for _ in range(60))
+    rows = remove_repeats(docs([f"one{passage}two", f"three{passage}four", "five"]), least=50, anchor=8).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in rows} == {0: b"onetwo", 1: b"threefour", 2: b"five"}
+
+
+def test_window_minima():
+    values = np.random.default_rng(5).integers(0, 50, 200).astype(np.uint64)
+    for width in (1, 2, 7, 200, 201):
+        expected = [values[i : i + width].min() for i in range(len(values) - width + 1)]
+        assert window_minima(values, width).tolist() == expected
+
+
+def test_awkward_rows(awkward, nothing):
+    rows = remove_repeats(awkward)
+    assert rows.count() == awkward.count() and rows.columns.count("kept") == 1 and "a.b" in rows.columns
+    for r in rows.collect():
+        if r["doc_id"] in (8, 9, 10):  # periodic, so every string starts again a period later
+            assert r["n_removed"] == r["n_bytes"] and r["n_spans"] == 1
+    assert remove_repeats(nothing).collect() == []
