@@ -187,6 +187,9 @@ wanted AS (
 kit_slots AS (SELECT kit_number, count(*) AS slots FROM wanted GROUP BY kit_number)
 """
 
+# The kit whose reports are asked for alone.
+ONE_KIT = "K-000002"
+
 INVALID_ONLY, ALL_ON_SITE = "kind = 4", "TRUE"
 
 # Pieces in the pool: each once, or as often as the report shows them.
@@ -348,6 +351,24 @@ PLAIN = {
                         AND h.component = n.component
         GROUP BY ALL""",
     "invalid_serial_requests": "SELECT kit_number, serial_number, build_pos FROM wanted",
+    "breakout_documents": """
+        SELECT w.kit_number, w.serial_number, coalesce(r.pieces_missing, 0) AS pieces_missing,
+               r.component_product_number, r.component_prod_id, r.component_description,
+               r.qty_in_kit, r.qty_avail_sh, r.qty_avail_e01,
+               coalesce(r.qty_in_kit = 0, FALSE) AS missing
+        FROM wanted w LEFT JOIN report r
+          ON r.kit_product_number = w.kit_number AND r.serial_number = w.serial_number""",
+}
+PLAIN |= {
+    "standard_documents": PLAIN["kit_standard_map"],
+    "kit_standard_one": f"SELECT * FROM standard WHERE kit_number = '{ONE_KIT}'",
+    "kit_standard_function": f"SELECT * FROM standard WHERE kit_number = '{ONE_KIT}'",
+    "kit_breakout_one": f"""
+        SELECT * REPLACE (CAST(percent_invalid AS DOUBLE) AS percent_invalid) FROM report
+        WHERE kit_product_number = '{ONE_KIT}'""",
+    "kit_breakout_function": f"""
+        SELECT * REPLACE (CAST(percent_invalid AS DOUBLE) AS percent_invalid) FROM report
+        WHERE kit_product_number = '{ONE_KIT}'""",
 }
 
 # name -> (statement, pool, requested serials)
@@ -371,6 +392,18 @@ REBUILT = {
         EXACT_POOL,
         INVALID_ONLY,
     ),
+    "component_count_documents": (
+        """SELECT kit_number, CAST(sum(pool) OVER (PARTITION BY kit_number) AS BIGINT)
+                  AS total_pieces, component, leftover FROM fill""",
+        EXACT_POOL,
+        INVALID_ONLY,
+    ),
+    "assembly_nested": (
+        """SELECT s.kit_number, s.build_pos, s.serial_number AS serial, s.status, l.component, l.qty
+           FROM slot s LEFT JOIN line l USING (kit_number, build_pos)""",
+        EXACT_POOL,
+        INVALID_ONLY,
+    ),
     "reassembly_summary": (SUMMARY, EXACT_POOL, INVALID_ONLY),
     "reassembly_summary_as_reported": (SUMMARY, REPORTED_POOL, INVALID_ONLY),
     "reassembly_summary_all_serials": (SUMMARY, EXACT_POOL, ALL_ON_SITE),

@@ -15,11 +15,8 @@ from pyspark.sql.window import Window
 RANK_BITS = 22
 # A tile joins about TILE_SIDE rows with TILE_SIDE rows of one key.
 TILE_SIDE = 2_000
-# Output rows per task of a join that multiplies rows, and the most tasks to ask for.
+# Output rows per task of a join that multiplies rows.
 ROWS_PER_TASK = 1_000_000
-MAX_TASKS = 200_000
-# Keys looked up by broadcast when splitting; see ``heavy_keys``.
-MAX_HEAVY_KEYS = 1_000
 
 
 def rank_in_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
@@ -73,52 +70,40 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Partition one side of a join by its keys, for the rows that come out of it.
 
     Spark sizes tasks by what goes into a join. Where a few bytes in become many rows
-    out, that makes too few of them.
+    out, that makes too few of them. The keys name tiles or blocks of bounded output, so
+    no task depends on a hot key being split later.
     """
-    tasks = min(rows // ROWS_PER_TASK, MAX_TASKS)
-    return df.repartition(tasks, *keys) if tasks > 1 else df
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, rows // ROWS_PER_TASK), *keys)
 
 
 def heavy_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys whose join outgrows one tile, with the number of tiles along each side.
 
-    ``left`` has per key the number of rows (``left_rows``); ``right`` has it too
-    (``right_rows``) and the number of distinct values that place a row along its
-    side (``right_values``). Where few values have many rows, the left side is cut
-    finer instead.
-
-    Only the MAX_HEAVY_KEYS largest are kept, which bounds the frame for a
-    broadcast. This loses no rows: a key left out is joined as a single tile, and
-    holds less than 1/MAX_HEAVY_KEYS of the output.
+    ``left`` and ``right`` have per key the number of rows (``left_rows``,
+    ``right_rows``). A key that is not in the result is joined as a single tile.
     """
     side = TILE_SIDE
-    tile = float(side) * side
     pairs = F.col("left_rows").cast("double") * F.col("right_rows")
-    right_tiles = F.ceil(F.col("right_values") / side)
     return (
         left.join(right, key)
-        .where(pairs > tile)
-        .orderBy(pairs.desc(), F.col(key))
-        .limit(MAX_HEAVY_KEYS)
+        .where(pairs > float(side) * side)
         .select(
             key,
-            F.least(F.col("left_rows"), F.ceil(pairs / tile / right_tiles))
-            .cast("long")
-            .alias("_left_tiles"),
-            right_tiles.cast("long").alias("_right_tiles"),
+            F.ceil(F.col("left_rows") / side).cast("long").alias("_left_tiles"),
+            F.ceil(F.col("right_rows") / side).cast("long").alias("_right_tiles"),
         )
     )
 
 
-def tile_rows(df: DataFrame, heavy: DataFrame, key: str, side: str, by: str) -> DataFrame:
+def tile_rows(df: DataFrame, heavy: DataFrame, key: str, side: str, *by: str) -> DataFrame:
     """Add the tile columns ``_lt`` and ``_rt`` to one side (left or right) of a join.
 
-    A row has one position along its own side, decided by the column ``by``. It
-    belongs to every tile along the other side and is copied there; the copies of a
-    row are about 1/TILE_SIDE of what it joins with.
+    A row has one position along its own side, decided by the columns ``by``, which
+    should tell the rows of a key apart. It belongs to every tile along the other side
+    and is copied there; the copies of a row are about 1/TILE_SIDE of what it joins with.
     """
-    # at most MAX_HEAVY_KEYS rows, hence safe to broadcast at any scale
-    df = df.join(F.broadcast(heavy), key, "left")
+    df = df.join(heavy, key, "left")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     tiles = {
         "left": F.coalesce("_left_tiles", one),
@@ -127,7 +112,7 @@ def tile_rows(df: DataFrame, heavy: DataFrame, key: str, side: str, by: str) ->
     own, other = ("_lt", "_rt") if side == "left" else ("_rt", "_lt")
     across = tiles["right" if side == "left" else "left"]
     return (
-        df.withColumn(own, F.pmod(F.xxhash64(by), tiles[side]))
+        df.withColumn(own, F.pmod(F.xxhash64(*by), tiles[side]))
         .withColumn(other, F.explode(F.sequence(zero, across - 1)))
         .drop("_left_tiles", "_right_tiles")
     )

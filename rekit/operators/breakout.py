@@ -8,6 +8,7 @@ repetition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rekit.functions.skew import heavy_keys, joined_rows, spread, tile_rows
 from rekit.operators.inventory import (
+    central_kits,
     kit_bins,
     kit_percent_invalid,
     kit_serials,
@@ -55,7 +57,7 @@ def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
     site keep one row per component."""
     key = "kit_product_number"
     components = kit_components(tables, kits)
-    serials = kit_serials(tables).select(key, "serial_number")
+    serials = kit_serials(tables, kits).select(key, "serial_number")
     bare = (
         standard_kits(tables, kits)
         .withColumnRenamed("kit_number", key)
@@ -68,24 +70,28 @@ def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
             kit_standard_size(tables, kits).select(
                 F.col("kit_number").alias(key),
                 F.col("total_pieces").alias("right_rows"),
-                F.col("total_pieces").alias("right_values"),
             )
         ),
         key,
     )
-    heavy = heavy_keys(*counts)
+    heavy = tables.shared(heavy_keys(*counts))
     tiled = tile_rows(
-        serials.unionByName(bare, allowMissingColumns=True),
-        heavy,
-        key,
-        "left",
-        by="serial_number",
+        serials.unionByName(bare, allowMissingColumns=True), heavy, key, "left", "serial_number"
     )
     # An inner join: a copied row that meets nothing in one tile must not show up.
     return (
-        (spread(tiled, joined_rows(*counts), key, "_lt", "_rt") if tables.storing else tiled)
+        spread(tiled, joined_rows(*counts), key, "_lt", "_rt")
         .join(
-            tile_rows(components, heavy, key, "right", by="component_prod_id"),
+            tile_rows(
+                components,
+                heavy,
+                key,
+                "right",
+                "component_product_number",
+                "component_prod_id",
+                "component_description",
+                "component_quantity_in_kit",
+            ),
             [key, "_lt", "_rt"],
         )
         .select(
@@ -101,8 +107,20 @@ def serial_kit_grid(tables: Tables, kits=None) -> DataFrame:
     )
 
 
-def _shown_bins(tables: Tables) -> DataFrame:
-    return kit_bins(tables).where(F.col("kit_bin").isNotNull())
+def _shown_bins(tables: Tables, kits=None) -> DataFrame:
+    return kit_bins(tables, kits).where(F.col("kit_bin").isNotNull())
+
+
+def _component_ids(tables: Tables, kits) -> DataFrame | None:
+    """Products that the bills of the given kits name; None for all kits."""
+    if kits is None:
+        return None
+    bills = tables.product_component.withColumnRenamed("product_id", "kit_id")
+    return tables.shared(
+        bills.join(central_kits(tables, kits), "kit_id", "left_semi")
+        .select(F.col("component_product_id").alias("product_id"))
+        .distinct()
+    )
 
 
 def _repetition(tables: Tables, kits=None) -> DataFrame:
@@ -114,7 +132,7 @@ def _repetition(tables: Tables, kits=None) -> DataFrame:
     """
     rows = F.count(F.lit(1))
     loose = (
-        loose_availability(tables)
+        loose_availability(tables, _component_ids(tables, kits))
         .groupBy(
             F.col("product_number").alias("component_product_number"),
             F.col("edi_number").alias("component_prod_id"),
@@ -122,12 +140,12 @@ def _repetition(tables: Tables, kits=None) -> DataFrame:
         .agg(rows.alias("loose_rows"))
     )
     percent = (
-        kit_percent_invalid(tables)
+        kit_percent_invalid(tables, kits)
         .groupBy(F.col("kit_prod_number").alias("kit_product_number"), "kit_edi")
         .agg(rows.alias("percent_rows"))
     )
     bins = (
-        _shown_bins(tables)
+        _shown_bins(tables, kits)
         .groupBy(F.col("kit_prod_number").alias("kit_product_number"))
         .agg(rows.alias("bin_rows"))
     )
@@ -176,7 +194,7 @@ def _report_serials(tables: Tables, kits=None, requests: DataFrame | None = None
     covered = reported_kits(tables, kits).join(
         standard_kits(tables, kits), "kit_number", "left_semi"
     )
-    present = kit_serials(tables).withColumnRenamed("kit_product_number", "kit_number")
+    present = kit_serials(tables, kits).withColumnRenamed("kit_product_number", "kit_number")
     rows = present.join(covered, "kit_number", "left_semi").select("kit_number", "serial_number")
     if requests is None:
         bare = covered.join(present.select("kit_number").distinct(), "kit_number", "left_anti")
@@ -189,19 +207,22 @@ def _report_serials(tables: Tables, kits=None, requests: DataFrame | None = None
 def _report_components(tables: Tables, kits=None) -> DataFrame:
     """Component rows of the report as far as they do not depend on the serial: one per
     component, bin with loose pieces and kit bin."""
-    loose = loose_availability(tables).withColumnsRenamed(
+    wanted = _component_ids(tables, kits)
+    loose = loose_availability(tables, wanted).withColumnsRenamed(
         {"product_number": "component_product_number", "edi_number": "component_prod_id"}
     )
-    second = warehouse_availability(tables).withColumnRenamed("prod_id", "component_prod_id")
+    named = named_components(tables, wanted)
+    edis = None if wanted is None else named.select(F.col("component_prod_id").alias("prod_id"))
+    second = warehouse_availability(tables, edis).withColumnRenamed("prod_id", "component_prod_id")
     details = (
-        named_components(tables)
+        named
         .join(second, "component_prod_id", "left")
         .join(loose, ["component_product_number", "component_prod_id"], "left")
     )
-    percent = kit_percent_invalid(tables).select(
+    percent = kit_percent_invalid(tables, kits).select(
         F.col("kit_prod_number").alias("kit_product_number"), "kit_edi", "percent_invalid"
     )
-    bins = _shown_bins(tables).select(
+    bins = _shown_bins(tables, kits).select(
         F.col("kit_prod_number").alias("kit_product_number"), "kit_bin"
     )
     return (
@@ -213,7 +234,7 @@ def _report_components(tables: Tables, kits=None) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Report:
-    """What the report and its counts are made of, each part computed once.
+    """What the report and its counts are made of; a part that is used twice is stored.
 
     ``components`` is there only if the report rows themselves are asked for.
     """
@@ -222,7 +243,7 @@ class _Report:
     repetition: DataFrame
     contents: DataFrame
     components: DataFrame | None
-    stored: bool
+    shared: Callable[[DataFrame], DataFrame]
 
     def counts(self) -> tuple[DataFrame, DataFrame, str]:
         """Serial rows per kit, and component rows per serial."""
@@ -231,9 +252,7 @@ class _Report:
             self.serials.groupBy(F.col("kit_number").alias(key)).agg(
                 F.sum("serial_rows").alias("left_rows")
             ),
-            self.repetition.groupBy(key).agg(
-                F.sum("times").alias("right_rows"), F.count(F.lit(1)).alias("right_values")
-            ),
+            self.repetition.groupBy(key).agg(F.sum("times").alias("right_rows")),
             key,
         )
 
@@ -257,10 +276,12 @@ def _report(
     else:
         repetition = _repetition(tables, kits)
     contents = serial_contents(tables, kits).where(F.col("serial_number").isNotNull())
+    # The counts alone read serials and contents once.
+    twice = tables.shared if with_rows else lambda df: df
     return _Report(
-        tables.shared(_report_serials(tables, kits, requests)),
+        twice(_report_serials(tables, kits, requests)),
         tables.shared(repetition),
-        tables.shared(
+        twice(
             contents.select(
                 F.col("kit_prod_number").alias("kit_product_number"),
                 "serial_number",
@@ -269,7 +290,7 @@ def _report(
             )
         ),
         components,
-        tables.storing,
+        tables.shared,
     )
 
 
@@ -331,17 +352,30 @@ def _repeat(serials: DataFrame) -> DataFrame:
     ).drop("serial_rows")
 
 
-def _grid(report: _Report, serials: DataFrame) -> DataFrame:
+def _grid(report: _Report, serials: DataFrame, at_once: bool = True) -> DataFrame:
     """Join serials (kit_product_number, serial_number, ...) with the components of
-    their kit and with what they hold of them."""
+    their kit and with what they hold of them.
+
+    ``at_once`` sizes the tasks for all rows; without it they are left to Spark, for a
+    reader that asks for a kit at a time.
+    """
     counts, key = report.counts(), "kit_product_number"
-    heavy = heavy_keys(*counts)
-    serials = tile_rows(serials, heavy, key, "left", by="serial_number")
-    if report.stored:
+    heavy = report.shared(heavy_keys(*counts))
+    serials = tile_rows(serials, heavy, key, "left", "serial_number")
+    if at_once:
         serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
     return (
         serials.join(
-            tile_rows(report.components, heavy, key, "right", by="component_prod_id"),
+            tile_rows(
+                report.components,
+                heavy,
+                key,
+                "right",
+                "component_product_number",
+                "component_prod_id",
+                "component_bin",
+                "kit_bin",
+            ),
             [key, "_lt", "_rt"],
         )
         .join(report.contents, [key, "serial_number", "component_prod_id"], "left")
@@ -349,15 +383,17 @@ def _grid(report: _Report, serials: DataFrame) -> DataFrame:
     )
 
 
-def kit_breakout(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
+def kit_breakout(
+    tables: Tables, kits=None, ordered: bool = False, at_once: bool = True
+) -> DataFrame:
     """The breakout report of all kits, or of the given ones.
 
-    ``ordered`` sorts it: largest share of invalid kits first with unknown shares
+    ``at_once`` is as for the grid below it. ``ordered`` sorts it: largest share of invalid kits first with unknown shares
     leading, then kit, serial and component number with NULLs last.
     """
     report = _report(tables, kits)
     serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
-    rows = _grid(report, serials).select(*REPORT_COLUMNS)
+    rows = _grid(report, serials, at_once).select(*REPORT_COLUMNS)
     if ordered:
         rows = rows.orderBy(
             F.desc_nulls_first("percent_invalid"),

@@ -124,16 +124,15 @@ def kit_breakout_corrected(tables: Tables, kits=None) -> DataFrame:
     rows = F.count(F.lit(1))
     counts = (
         units.groupBy(key).agg(rows.alias("left_rows")),
-        standard.groupBy(key).agg(rows.alias("right_rows"), rows.alias("right_values")),
+        standard.groupBy(key).agg(rows.alias("right_rows")),
         key,
     )
-    heavy = heavy_keys(*counts)
-    serials = tile_rows(serials, heavy, key, "left", by="serial_number")
-    if tables.storing:
-        serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
+    heavy = tables.shared(heavy_keys(*counts))
+    serials = tile_rows(serials, heavy, key, "left", "serial_number")
+    serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
     return (
         serials.join(
-            tile_rows(components, heavy, key, "right", by="component_product_id"),
+            tile_rows(components, heavy, key, "right", "component_product_id"),
             [key, "_lt", "_rt"],
         )
         .join(contents, [key, "serial_number", "component_product_id"], "left")

@@ -1,13 +1,12 @@
 """Nested forms of the results, for JSON output.
 
-A document holds a bounded number of entries. A kit (or serial) with more is
-written as several documents of the same shape, told apart by ``part``; their
-entries together are the whole.
+Every frame has one row per entry, with what holds for the whole kit or serial beside it.
+The shape is the same at every size, and no kit has to fit into one row or task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rekit.operators.breakout import _grid, _repeat, _report, _shortfall, _with_absent
@@ -15,117 +14,66 @@ from rekit.operators.reassembly import assembly_build_lines, line_count
 from rekit.operators.standard import kit_standard_map
 from rekit.sources.tables import Tables
 
-# Entries per document on average, and serials per assembly document.
-DOCUMENT_ENTRIES = 10_000
-DOCUMENT_SLOTS = 100
-
-
-def _part(size: Column, *by: str) -> Column:
-    """Spread entries evenly over as many parts as their number calls for."""
-    parts = F.greatest(F.ceil(size / DOCUMENT_ENTRIES), F.lit(1))
-    return F.pmod(F.xxhash64(*by), parts.cast("long"))
-
 
 def standard_documents(tables: Tables, kits=None) -> DataFrame:
-    """kit_number, part, total_pieces, standard: map of component to edi, description
-    and quantity."""
-    entry = F.struct(
-        "component", F.struct("edi", "description", "component_qty_standard").alias("standard")
-    )
-    return (
-        kit_standard_map(tables, kits)
-        .groupBy(
-            "kit_number", _part(F.col("total_pieces"), "component").alias("part"), "total_pieces"
-        )
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("standard"))
+    """kit_number, total_pieces, component, standard: edi, description and quantity."""
+    return kit_standard_map(tables, kits).select(
+        "kit_number",
+        "total_pieces",
+        "component",
+        F.struct("edi", "description", "component_qty_standard").alias("standard"),
     )
 
 
 def breakout_documents(tables: Tables, requests: DataFrame) -> DataFrame:
-    """kit_number, serial_number, part, breakout, diff: the report rows of a requested
-    serial, its missing pieces and the components it holds none of."""
+    """kit_number, serial_number, pieces_missing, breakout, missing: a report row of a
+    requested serial, and whether the serial holds none of its component.
+
+    A requested serial that is not in the report keeps one row without a report row.
+    """
     report = _report(tables, requests=requests)
     serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
-    names = ["component_product_number", "component_prod_id", "component_description"]
-    line = F.struct(*names, "qty_in_kit", "qty_avail_sh", "qty_avail_e01")
+    line = F.struct(
+        "component_product_number",
+        "component_prod_id",
+        "component_description",
+        "qty_in_kit",
+        "qty_avail_sh",
+        "qty_avail_e01",
+    )
     rows = _grid(report, serials).select(
         F.col("kit_product_number").alias("kit_number"),
         "serial_number",
-        _part(F.col("report_rows"), "component_product_number", "component_bin", "kit_bin").alias(
-            "part"
-        ),
         "pieces_missing",
-        line.alias("line"),
-        F.when(F.col("qty_in_kit") == 0, F.struct(*names)).alias("missing"),
+        line.alias("breakout"),
+        (F.col("qty_in_kit") == 0).alias("missing"),
     )
-    zero = F.lit(0).cast("long")
-    return (
-        _with_absent(rows, report, requests)
-        .groupBy(
-            "kit_number",
-            "serial_number",
-            F.coalesce("part", zero).alias("part"),
-            F.coalesce("pieces_missing", zero).alias("pieces_missing"),
-        )
-        .agg(
-            # NULLs, as of serials not in the report, are left out of the lists
-            F.array_sort(F.collect_list("line")).alias("breakout"),
-            F.array_sort(F.collect_list("missing")).alias("components_missing"),
-        )
-        .select(
-            "kit_number",
-            "serial_number",
-            "part",
-            "breakout",
-            F.array(F.struct("pieces_missing", "components_missing")).alias("diff"),
-        )
+    return _with_absent(rows, report, requests).select(
+        "kit_number",
+        "serial_number",
+        F.coalesce("pieces_missing", F.lit(0).cast("long")).alias("pieces_missing"),
+        "breakout",
+        F.coalesce("missing", F.lit(False)).alias("missing"),
     )
 
 
 def component_count_documents(fill: DataFrame) -> DataFrame:
-    """kit_number, part, total_pieces, components: what is left of each component after
+    """kit_number, total_pieces, component, leftover: what is left of each component after
     the rebuild, beside the number of pieces there were before it."""
-    totals = fill.groupBy("kit_number").agg(
-        F.sum("pool").alias("total_pieces"), F.count(F.lit(1)).alias("_size")
-    )
-    return (
-        fill.join(totals, "kit_number")
-        .groupBy("kit_number", _part(F.col("_size"), "component").alias("part"), "total_pieces")
-        .agg(
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("component", "leftover")))
-            ).alias("components")
-        )
+    totals = fill.groupBy("kit_number").agg(F.sum("pool").alias("total_pieces"))
+    return fill.join(totals, "kit_number").select(
+        "kit_number", "total_pieces", "component", "leftover"
     )
 
 
 def assembly_documents(fill: DataFrame, status: DataFrame) -> DataFrame:
-    """kit_number, slot_block, part, assembly: serials in build order, each with its
-    status and what it received."""
-    lines = assembly_build_lines(
-        fill, status.select("kit_number", "build_pos", "components_in_kit"), line_count(fill)
-    )
-    built = (
-        lines.groupBy(
-            "kit_number",
-            "build_pos",
-            _part(F.col("components_in_kit"), "component").alias("part"),
-        )
-        .agg(F.array_sort(F.collect_list(F.struct("component", "qty"))).alias("build"))
-    )
-    empty = F.array().cast("array<struct<component:string,qty:bigint>>")
-    slot = F.struct(
-        "build_pos",
-        F.col("serial_number").alias("serial"),
-        "status",
-        F.coalesce("build", empty).alias("build"),
+    """kit_number, build_pos, serial, status, build: a component that a rebuilt serial
+    received and how many of it; a serial that received nothing keeps a row without."""
+    columns = ["kit_number", "build_pos", "serial_number", "status"]
+    lines = assembly_build_lines(fill, status.select(*columns), line_count(fill)).select(
+        *columns, F.struct("component", "qty").alias("build")
     )
-    return (
-        status.join(built, ["kit_number", "build_pos"], "left")
-        .groupBy(
-            "kit_number",
-            F.floor((F.col("build_pos") - 1) / DOCUMENT_SLOTS).alias("slot_block"),
-            F.coalesce("part", F.lit(0).cast("long")).alias("part"),
-        )
-        .agg(F.array_sort(F.collect_list(slot)).alias("assembly"))
+    bare = status.where(F.col("components_in_kit") == 0).select(*columns)
+    return lines.unionByName(bare, allowMissingColumns=True).withColumnRenamed(
+        "serial_number", "serial"
     )

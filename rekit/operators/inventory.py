@@ -51,16 +51,23 @@ def only_kits(df: DataFrame, column: str, kits) -> DataFrame:
     return df.where(F.col(column).isin(list(kits)))
 
 
-def kit_units(tables: Tables) -> DataFrame:
+def kit_units(tables: Tables, kits=None) -> DataFrame:
     """Stock rows of kits, valid or not and wherever they are, with their names.
 
     Everything about kits and serials starts from these, so the stock table is read
-    once for all of it.
+    once for all of it. Kits given as a list of numbers have rows of their own: their
+    products restrict the scan of the stock table.
     """
     codes = tables.codes
+    some = kits is not None and not isinstance(kits, DataFrame)
 
     def build():
-        units = tables.stock.where(_kit_unit(codes)).select(
+        stock = tables.stock.where(_kit_unit(codes))
+        if some:
+            products = tables.product.where(F.col("product_number").isin(list(kits)))
+            ids = products.select(F.col("id").alias("product_id"))
+            stock = stock.join(ids, "product_id", "left_semi")
+        units = stock.select(
             F.col("id").alias("unit_id"),
             F.col("product_id").alias("kit_id"),
             "serial_id",
@@ -78,21 +85,23 @@ def kit_units(tables: Tables) -> DataFrame:
             .join(_serials(tables), "serial_id", "left")
         )
 
-    return tables.once("kit_units", build)
+    name = "kit_units" + (f":{sorted(map(str, kits))}" if some else "")
+    return tables.once(name, build)
 
 
 def _serials(tables: Tables) -> DataFrame:
     return tables.product_serial.select(F.col("id").alias("serial_id"), "serial_number")
 
 
-def _central_units(tables: Tables) -> DataFrame:
-    return kit_units(tables).where(_centralized(tables.codes))
+def _central_units(tables: Tables, kits=None) -> DataFrame:
+    return kit_units(tables, kits).where(_centralized(tables.codes))
 
 
-def _site_units(tables: Tables) -> DataFrame:
+def _site_units(tables: Tables, kits=None) -> DataFrame:
     """Kit units on site in a kit bin, of any inventory type."""
     codes = tables.codes
-    return kit_units(tables).where(_on_site(codes) & F.col("zone").startswith(codes.kit_zone))
+    on_site = _on_site(codes) & F.col("zone").startswith(codes.kit_zone)
+    return only_kits(kit_units(tables, kits).where(on_site), "kit_number", kits)
 
 
 def unique_kits(tables: Tables) -> DataFrame:
@@ -103,14 +112,17 @@ def unique_kits(tables: Tables) -> DataFrame:
 def central_kits(tables: Tables, kits=None) -> DataFrame:
     """The same with their names: kit_id, kit_number, kit_edi, kit_description."""
     return only_kits(
-        _central_units(tables).select("kit_id", "kit_number", "kit_edi", "kit_description"),
+        _central_units(tables, kits).select("kit_id", "kit_number", "kit_edi", "kit_description"),
         "kit_number",
         kits,
     ).distinct()
 
 
-def loose_availability(tables: Tables) -> DataFrame:
-    """Available loose pieces per component and bin of the loose-piece zone."""
+def loose_availability(tables: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Available loose pieces per component and bin of the loose-piece zone.
+
+    ``products`` (product_id) restricts it before anything is summed up.
+    """
     codes = tables.codes
     pieces = tables.stock.where(
         (F.col("stock_type") == codes.loose_piece)
@@ -118,6 +130,8 @@ def loose_availability(tables: Tables) -> DataFrame:
         & _on_site(codes)
         & (F.col("quantity_available") > 0)
     )
+    if products is not None:
+        pieces = pieces.join(products, "product_id", "left_semi")
     # Summed per product id first: names are looked up once per product and bin.
     per_id = (
         _in_bin(pieces, tables, codes.loose_zone)
@@ -135,12 +149,12 @@ def loose_availability(tables: Tables) -> DataFrame:
     )
 
 
-def _validity_sums(tables: Tables, *extra: str) -> DataFrame:
+def _validity_sums(tables: Tables, *extra: str, kits=None) -> DataFrame:
     """On-hand sums of valid and invalid units; NULL where a status is absent."""
     codes = tables.codes
     stock_type, on_hand = F.col("stock_type"), F.col("quantity_on_hand")
     return (
-        _site_units(tables)
+        _site_units(tables, kits)
         .where(_centralized(codes))
         .groupBy("kit_number", "kit_edi", "kit_description", *extra)
         .agg(
@@ -161,9 +175,9 @@ def kit_validity_by_type(tables: Tables) -> DataFrame:
     )
 
 
-def kit_percent_invalid(tables: Tables) -> DataFrame:
+def kit_percent_invalid(tables: Tables, kits=None) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return _validity_sums(tables).select(
+    return _validity_sums(tables, kits=kits).select(
         F.col("kit_number").alias("kit_prod_number"),
         "kit_edi",
         "kit_description",
@@ -180,34 +194,32 @@ def serial_contents(tables: Tables, kits=None) -> DataFrame:
     do contain something get their names looked up.
     """
     codes = tables.codes
-    pieces = tables.stock.where(
-        (F.col("stock_type") == codes.kit_content)
-        & (F.col("container_type") == codes.in_stock_row)
-        & _on_site(codes)
-    ).select("product_id", "container_id", "quantity_available")
+    # Summed by ids before any name is looked up; the pieces are read once.
+    pieces = (
+        tables.stock.where(
+            (F.col("stock_type") == codes.kit_content)
+            & (F.col("container_type") == codes.in_stock_row)
+            & _on_site(codes)
+        )
+        .groupBy("container_id", "product_id")
+        .agg(F.sum("quantity_available").alias("quantity_available"))
+    )
     bins = tables.bin.select(F.col("id").alias("bin_id"), bin_label().alias("kit_bin"))
     kit_products = only_kits(
         _products(tables, "kit").where(F.col("kit_number").isNotNull()), "kit_number", kits
     )
-    holders = (
-        tables.stock.select(
-            F.col("id").alias("container_id"),
-            F.col("product_id").alias("kit_id"),
-            "serial_id",
-            F.when(F.col("container_type") == codes.in_bin, F.col("container_id")).alias("bin_id"),
-        )
-        .join(pieces.select("container_id").distinct(), "container_id", "left_semi")
-        .join(kit_products, "kit_id")
-        .join(_serials(tables), "serial_id", "left")
-        .join(bins, "bin_id", "left")
-    )
+    holders = tables.stock.select(
+        F.col("id").alias("container_id"),
+        F.col("product_id").alias("kit_id"),
+        "serial_id",
+        F.when(F.col("container_type") == codes.in_bin, F.col("container_id")).alias("bin_id"),
+    ).join(kit_products, "kit_id")
+    components = _products(tables, "component").withColumnRenamed("component_id", "product_id")
     return (
         pieces.join(holders, "container_id")
-        .join(
-            _products(tables, "component").withColumnRenamed("component_id", "product_id"),
-            "product_id",
-            "left",
-        )
+        .join(_serials(tables), "serial_id", "left")
+        .join(bins, "bin_id", "left")
+        .join(components, "product_id", "left")
         .groupBy(
             F.col("kit_number").alias("kit_prod_number"),
             "kit_edi",
@@ -222,32 +234,37 @@ def serial_contents(tables: Tables, kits=None) -> DataFrame:
     )
 
 
-def warehouse_availability(tables: Tables) -> DataFrame:
-    """Net pieces per product in the second warehouse, on the snapshot day."""
+def warehouse_availability(tables: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Net pieces per product in the second warehouse, on the snapshot day.
+
+    ``products`` (prod_id) restricts it before anything is summed up.
+    """
+    snapshot = tables.daily_snapshot.where(
+        (F.col("snapshot_dte") == tables.snapshot_date())
+        & (F.col("warehouse_id") == tables.codes.second_warehouse)
+    )
+    if products is not None:
+        snapshot = snapshot.join(products, "prod_id", "left_semi")
     return (
-        tables.daily_snapshot.where(
-            (F.col("snapshot_dte") == tables.snapshot_date())
-            & (F.col("warehouse_id") == tables.codes.second_warehouse)
-        )
-        .groupBy("prod_id")
+        snapshot.groupBy("prod_id")
         .agg(F.sum(net_available()).alias("qty_avail_e01"))
     )
 
 
-def kit_serials(tables: Tables) -> DataFrame:
+def kit_serials(tables: Tables, kits=None) -> DataFrame:
     """Kit serials on site in a kit bin."""
     return (
-        _site_units(tables)
+        _site_units(tables, kits)
         .where(_centralized(tables.codes))
         .select(F.col("kit_number").alias("kit_product_number"), "kit_edi", "serial_number")
         .distinct()
     )
 
 
-def kit_bins(tables: Tables) -> DataFrame:
+def kit_bins(tables: Tables, kits=None) -> DataFrame:
     """Kit bins in which units of a kit are stored."""
     return (
-        _site_units(tables)
+        _site_units(tables, kits)
         .where(F.col("kit_number").isNotNull())
         .select(
             F.col("kit_number").alias("kit_prod_number"), "kit_edi", "kit_description", "kit_bin"
@@ -263,11 +280,11 @@ def _not_excluded(column: str, codes: InventoryCodes) -> Column:
 def reported_kits(tables: Tables, kits=None) -> DataFrame:
     """Numbers of the kits the report covers: not excluded, and with a kit bin."""
     numbers = (
-        _site_units(tables)
+        _site_units(tables, kits)
         .where(F.col("kit_bin").isNotNull() & _not_excluded("kit_number", tables.codes))
         .select("kit_number")
     )
-    return only_kits(numbers, "kit_number", kits).distinct()
+    return numbers.distinct()
 
 
 def reported_units(tables: Tables, kits=None) -> DataFrame:
@@ -276,7 +293,7 @@ def reported_units(tables: Tables, kits=None) -> DataFrame:
     Columns: unit_id, kit_number, serial_number, stock_type, kit_bin.
     """
     return (
-        _site_units(tables)
+        _site_units(tables, kits)
         .where(_centralized(tables.codes))
         .select("unit_id", "kit_number", "serial_number", "stock_type", "kit_bin")
         .join(reported_kits(tables, kits), "kit_number", "left_semi")

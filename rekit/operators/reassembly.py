@@ -24,6 +24,8 @@ VALID, INVALID, NO_STANDARD = "valid", "invalid", "no_standard"
 # Slots per block in running counts, and per join key when listing builds.
 COUNT_BITS = 16
 LINE_BITS = 12
+# Components per join key when listing builds, about.
+LINE_COMPONENTS = 1_024
 
 
 def component_pool(tables: Tables, requests: DataFrame, as_reported: bool = False) -> DataFrame:
@@ -145,11 +147,18 @@ def assembly_build_lines(
     """What goes into each rebuilt serial: one row per component received.
 
     ``slots`` are requests or serial statuses; their further columns are kept. A
-    component is sent once to every block of slots it reaches, not once per slot.
+    component is sent once to every block of slots it reaches, not once per slot. The
+    components of a kit are dealt into parts, and a slot is sent once to every part, so a
+    task holds about 2**LINE_BITS * LINE_COMPONENTS rows of a kit at most.
     ``lines``, if known, is the number of rows to expect.
     """
-    reach = fill.where(F.col("fill") > 0).select(
+    served = fill.where(F.col("fill") > 0)
+    parts = served.groupBy("kit_number").agg(
+        F.ceil(F.count(F.lit(1)) / LINE_COMPONENTS).cast("long").alias("_parts")
+    )
+    reach = served.join(parts, "kit_number").select(
         "kit_number",
+        F.pmod(F.xxhash64("component"), F.col("_parts")).alias("_part"),
         "component",
         F.col("std_qty").alias("qty"),
         "fill",
@@ -157,12 +166,17 @@ def assembly_build_lines(
             F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("fill") - 1, LINE_BITS))
         ).alias("block"),
     )
-    placed = slots.withColumn("block", F.shiftright(F.col("build_pos") - 1, LINE_BITS))
-    placed = spread(placed, lines or 0, "kit_number", "block")
+    placed = (
+        slots.withColumn("block", F.shiftright(F.col("build_pos") - 1, LINE_BITS))
+        .join(parts, "kit_number")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        .drop("_parts")
+    )
+    placed = spread(placed, lines or 0, "kit_number", "block", "_part")
     return (
-        placed.join(reach, ["kit_number", "block"])
+        placed.join(reach, ["kit_number", "block", "_part"])
         .where(F.col("build_pos") <= F.col("fill"))
-        .drop("block", "fill")
+        .drop("block", "_part", "fill")
     )
 
 

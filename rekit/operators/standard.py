@@ -41,8 +41,13 @@ def kit_universe(tables: Tables) -> DataFrame:
     )
 
 
-def named_components(tables: Tables) -> DataFrame:
-    return _products(tables, "component").select(
+def named_components(tables: Tables, products: DataFrame | None = None) -> DataFrame:
+    """Names of components; ``products`` (product_id) restricts them."""
+    named = _products(tables, "component")
+    if products is not None:
+        ids = products.withColumnRenamed("product_id", "component_id")
+        named = named.join(ids, "component_id", "left_semi")
+    return named.select(
         F.col("component_id").alias("component_product_id"),
         F.col("component_number").alias("component_product_number"),
         F.col("component_edi").alias("component_prod_id"),
@@ -154,15 +159,19 @@ def kit_standard_map(tables: Tables, kits=None) -> DataFrame:
     number of standard rows beside them.
 
     A map has one entry per component: repeated rows are added up and the
-    smallest edi and description in byte order are shown.
+    smallest edi and description in byte order are shown. One unknown quantity makes the
+    sum unknown, as in the standard that a rebuild uses.
     """
+    quantity = F.col("quantity")
     entries = (
         _listed_components(tables, kits)
         .groupBy("kit_number", F.col("component_number").alias("component"))
         .agg(
             F.min("component_edi").alias("edi"),
             F.min("component_description").alias("description"),
-            F.sum("quantity").alias("component_qty_standard"),
+            F.when(F.count(quantity) == F.count(F.lit(1)), F.sum(quantity)).alias(
+                "component_qty_standard"
+            ),
         )
     )
     return entries.join(kit_standard_size(tables, kits), "kit_number")

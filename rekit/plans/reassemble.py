@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import datetime
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rekit.operators import documents, reassembly
 from rekit.operators.breakout import kit_breakout
 from rekit.operators.standard import kit_standard
-from rekit.session import store, tune
+from rekit.session import own_scratch, store, tune
 from rekit.sources import sinks
 from rekit.sources.requests import (
     invalid_serial_requests,
@@ -24,35 +25,32 @@ from rekit.sources.tables import Tables, read_parquet
 
 @dataclass(frozen=True)
 class Reassembly:
-    """The results of a rebuild; every member is a lazy frame.
+    """The results of a rebuild, as frames over the stored requests and fills.
 
-    ``fill`` is used once by the summary but several times by everything else, which
-    therefore starts from ``stored``.
+    What several results need is worked out when the first of them is asked for, once.
     """
 
     requests: DataFrame
     fill: DataFrame
     as_reported: bool = False
-    is_stored: bool = False
 
-    @property
-    def stored(self) -> Reassembly:
-        return self if self.is_stored else replace(self, fill=store(self.fill), is_stored=True)
-
-    @property
+    @cached_property
     def status(self) -> DataFrame:
-        return reassembly.assembly_serial_status(self.fill, self.requests, self.as_reported)
+        return store(
+            reassembly.assembly_serial_status(self.fill, self.requests, self.as_reported)
+        )
+
+    @cached_property
+    def line_count(self) -> int:
+        return reassembly.line_count(self.fill)
 
     @property
     def lines(self) -> DataFrame:
-        fill = self.stored.fill
-        return reassembly.assembly_build_lines(fill, self.requests, reassembly.line_count(fill))
+        return reassembly.assembly_build_lines(self.fill, self.requests, self.line_count)
 
     @property
     def sheets(self) -> DataFrame:
-        run = self.stored
-        lines = reassembly.line_count(run.fill)
-        return reassembly.assembly_serial_sheets(run.fill, run.status, lines)
+        return reassembly.assembly_serial_sheets(self.fill, self.status, self.line_count)
 
     @property
     def summary(self) -> DataFrame:
@@ -60,14 +58,15 @@ class Reassembly:
 
     @property
     def documents(self) -> DataFrame:
-        return documents.assembly_documents(self.fill, store(self.status))
+        return documents.assembly_documents(self.fill, self.status)
 
 
 def reassemble(tables: Tables, requests: DataFrame, as_reported: bool = False) -> Reassembly:
     """Rebuild kits from requests (kit_number, serial_number, build_pos)."""
     requests = tables.shared(requests)
     pool = reassembly.component_pool(tables, requests, as_reported)
-    return Reassembly(requests, reassembly.component_fill(pool, requests), as_reported)
+    fill = tables.shared(reassembly.component_fill(pool, requests))
+    return Reassembly(requests, fill, as_reported)
 
 
 def reassemble_kit(tables: Tables, kit_number: str, serials, as_reported=False) -> Reassembly:
@@ -79,8 +78,8 @@ def reassemble_kit(tables: Tables, kit_number: str, serials, as_reported=False)
 def save(tables: Tables, raw_requests: DataFrame | None, out: str, as_reported=False) -> None:
     """Run a rebuild and write all of its outputs below ``out``.
 
-    Requests and fills are written first and read back, so the outputs derived from
-    them start from stored tables instead of computing the pool again.
+    Requests and fills are stored first, so the outputs derived from them don't compute the
+    pool again.
     """
     spark = tables.spark
     if raw_requests is None:
@@ -92,21 +91,17 @@ def save(tables: Tables, raw_requests: DataFrame | None, out: str, as_reported=F
     requests = spark.read.parquet(f"{out}/requests")
     result = reassemble(tables, requests, as_reported)
     sinks.write_parquet(result.fill, f"{out}/component_fill")
-    fill = spark.read.parquet(f"{out}/component_fill")
-    result = Reassembly(requests, fill, as_reported, is_stored=True)
     sinks.write_parquet(result.status, f"{out}/assembly_status")
-    status = spark.read.parquet(f"{out}/assembly_status")
-
     sinks.write_parquet(result.summary, f"{out}/summary")
-    sinks.write_csv(reassembly.assembly_serial_report(status), f"{out}/serial_report")
-    sheets = reassembly.assembly_serial_sheets(fill, status, reassembly.line_count(fill))
-    sinks.write_csv(sheets, f"{out}/serial_sheets")
-    sinks.write_json(documents.standard_documents(tables), f"{out}/std")
+    sinks.write_csv(reassembly.assembly_serial_report(result.status), f"{out}/serial_report")
+    sinks.write_csv(result.sheets, f"{out}/serial_sheets")
+    kits = requests.select("kit_number").distinct() if raw_requests is not None else None
+    sinks.write_json(documents.standard_documents(tables, kits), f"{out}/std")
     sinks.write_json(documents.breakout_documents(tables, requests), f"{out}/breakout")
     sinks.write_json(
         documents.component_count_documents(result.fill), f"{out}/total_components"
     )
-    sinks.write_json(documents.assembly_documents(result.fill, status), f"{out}/new_kit_assembly")
+    sinks.write_json(result.documents, f"{out}/new_kit_assembly")
 
 
 def save_reports(tables: Tables, out: str, kits=None) -> None:
@@ -117,21 +112,43 @@ def save_reports(tables: Tables, out: str, kits=None) -> None:
     )
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--tables", required=True, help="folder with the six Parquet tables")
-    parser.add_argument("--requests", help="CSV with kit_number, serial_number, build_pos; "
+    wanted = parser.add_mutually_exclusive_group()
+    wanted.add_argument("--requests", help="CSV with kit_number, serial_number, build_pos; "
                         "without it all invalid serials on site")
+    wanted.add_argument("--kit", help="one kit, rebuilt from --serials in the order given")
+    parser.add_argument("--serials", nargs="+", default=[], help="serial numbers of --kit")
     parser.add_argument("--out", required=True)
+    parser.add_argument("--reports", action="store_true", help="also write both reports")
     parser.add_argument("--as-of", type=datetime.date.fromisoformat, help="snapshot day")
     parser.add_argument("--as-reported", action="store_true")
-    arguments = parser.parse_args()
+    arguments = parser.parse_args(argv)
+    if bool(arguments.kit) != bool(arguments.serials):
+        parser.error("--kit and --serials belong together")
     spark = tune(SparkSession.builder.appName("rekit").getOrCreate())
+    with own_scratch(spark):
+        _run(spark, arguments)
+
+
+def _run(spark: SparkSession, arguments: argparse.Namespace) -> None:
     tables = read_parquet(spark, arguments.tables, as_of=arguments.as_of)
-    requests = read_requests(spark, arguments.requests) if arguments.requests else None
+    requests, kits = None, None
+    if arguments.kit:
+        requests, kits = requests_for(spark, arguments.kit, arguments.serials), [arguments.kit]
+    elif arguments.requests:
+        requests = read_requests(spark, arguments.requests)
+        kits = requests.select("kit_number").distinct()
     save(tables, requests, arguments.out, arguments.as_reported)
+    if arguments.reports:
+        save_reports(tables, arguments.out, kits)
     result = spark.read.parquet(f"{arguments.out}/summary")
-    result.orderBy("kit_number").show(truncate=False)
+    totals = result.selectExpr("count(*)", "sum(slots)", "sum(valid_kits)").first()
+    print(f"{totals[0]} kits, {totals[1] or 0} serials requested, {totals[2] or 0} valid kits: "
+          f"{arguments.out}/summary")
+    if arguments.kit:
+        result.show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -28,12 +28,12 @@ def register(tables: Tables) -> None:
     """Create ``kit_std_breakout(kit)`` and ``kit_breakout(kit)`` for this session.
 
     The kit number is a function argument, never part of the SQL text; Catalyst
-    pushes the comparison down through the joins.
+    pushes the comparison down through the joins, to the stored parts that the reports
+    are made of. A call sees the tables as they were when this was called.
     """
     spark = tables.spark
-    tables = tables.with_settings(storing=False)
     kit_standard(tables).createOrReplaceTempView("rekit_kit_standard")
-    kit_breakout(tables).createOrReplaceTempView("rekit_kit_breakout")
+    kit_breakout(tables, at_once=False).createOrReplaceTempView("rekit_kit_breakout")
     for function, view, column, order in _FUNCTIONS:
         schema = spark.table(view).schema
         returns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)

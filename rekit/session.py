@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +28,54 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where it names none."""
+    """The shared folder the cluster names. Where all of Spark is one process and none is
+    named, the warehouse serves; on a cluster a folder must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when Spark ends."""
+    context = spark.sparkContext
+    if getattr(context, "_rekit_scratch", None) is None:
+        path = f"{checkpoint_dir(spark)}/rekit/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        files, folder = _files(spark, path)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        context._rekit_scratch = path
+    return context._rekit_scratch
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application stored, at the end of a run. Frames that read it are
+    gone with it."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rekit-"))
-    return context.getCheckpointDir()
+    if getattr(context, "_rekit_scratch", None) is not None:
+        files, folder = _files(spark, context._rekit_scratch)
+        files.delete(folder, True)
+        context._rekit_scratch = None
+
+
+@contextlib.contextmanager
+def own_scratch(spark: SparkSession):
+    """Store what is stored meanwhile in a folder of its own, and delete it at the end."""
+    context = spark.sparkContext
+    before = getattr(context, "_rekit_scratch", None)
+    context._rekit_scratch = None
+    try:
+        yield
+    finally:
+        clean(spark)
+        context._rekit_scratch = before
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -46,6 +86,6 @@ def store(df: DataFrame) -> DataFrame:
     size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rekit/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

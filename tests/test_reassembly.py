@@ -6,6 +6,7 @@ import pytest
 
 from rekit.operators import reassembly
 from rekit.plans.reassemble import Reassembly, reassemble, reassemble_kit
+from rekit.session import store
 from rekit.sources.requests import requests_for, split_requests
 
 POOL = (
@@ -20,7 +21,7 @@ def rebuild(spark, pool, serials, as_reported=False):
     requests = spark.createDataFrame(
         [(kit, s, i) for kit, found in serials.items() for i, s in enumerate(found, 1)], REQUESTS
     )
-    return Reassembly(requests, reassembly.component_fill(pool, requests), as_reported).stored
+    return Reassembly(requests, store(reassembly.component_fill(pool, requests)), as_reported)
 
 
 def one_by_one(pool, serials):
@@ -209,7 +210,7 @@ def test_pool_without_and_with_repeated_rows(make_tables, rows):
 def test_serial_not_on_site_still_gets_a_slot(make_tables, rows):
     tables = kit_tables(make_tables, [(1, 1)], [(1, 4)], [(1, 1, 2)])
     result = reassemble_kit(tables, "K", ["77", "1"])
-    assert rows(result.stored.status, "serial_number", "status") == [(1, "valid"), (77, "valid")]
+    assert rows(result.status, "serial_number", "status") == [(1, "valid"), (77, "valid")]
 
 
 def test_excluded_kit_has_a_standard_but_an_empty_pool(make_tables, rows):
@@ -217,7 +218,7 @@ def test_excluded_kit_has_a_standard_but_an_empty_pool(make_tables, rows):
     for as_reported in (False, True):
         result = reassemble_kit(tables, "ZPB-1", ["1"], as_reported)
         assert rows(result.fill, "component", "pool") == [("C-1", 0)]
-        assert rows(result.stored.status, "status") == [("invalid",)]
+        assert rows(result.status, "status") == [("invalid",)]
 
 
 def test_repeated_standard_rows(make_tables, rows):
@@ -225,16 +226,16 @@ def test_repeated_standard_rows(make_tables, rows):
     tables = kit_tables(make_tables, [(1, 1), (1, 2)], [(1, 4)], [(1, 1, 9)])
     exact = reassemble_kit(tables, "K", ["1"])
     assert rows(exact.fill, "std_qty", "pool", "fill") == [(3, 9, 1)]
-    assert rows(exact.stored.status, "status") == [("valid",)]
+    assert rows(exact.status, "status") == [("valid",)]
     reported = reassemble_kit(tables, "K", ["1"], as_reported=True)
-    assert rows(reported.stored.status, "status") == [("invalid",)]
+    assert rows(reported.status, "status") == [("invalid",)]
     assert reported.summary.first().valid_kits == 0
 
 
 def test_kit_without_components(make_tables, rows):
     tables = kit_tables(make_tables, [], [(1, 4)], [])
     result = reassemble_kit(tables, "K", ["1"])
-    assert rows(result.stored.status, "status") == [("no_standard",)]
+    assert rows(result.status, "status") == [("no_standard",)]
 
 
 def test_split_requests(spark, rows):

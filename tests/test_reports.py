@@ -1,10 +1,12 @@
 """Orders, nested forms, files, SQL functions and plans."""
 
 import json
+import os
 import re
 
 import pytest
 
+from rekit import session
 from rekit.functions import expressions
 from rekit.operators import breakout, corrected, documents, inventory, reassembly, standard
 from rekit.plans import reassemble, sql_functions
@@ -140,54 +142,47 @@ def test_report_order(make_tables):
 # Nested forms -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("entries", [1, 10_000])
-def test_documents_hold_what_the_flat_forms_do(
-    site, wanted, rows, monkeypatch, entries
-):
-    """Whether a kit fits one document or is spread over many."""
-    monkeypatch.setattr(documents, "DOCUMENT_ENTRIES", entries)
-    monkeypatch.setattr(documents, "DOCUMENT_SLOTS", 2)
-
-    found = {}
-    for doc in documents.standard_documents(site).collect():
-        assert (doc.kit_number, doc.total_pieces) == ("K", 2)
-        found |= {k: v.component_qty_standard for k, v in doc.standard.items()}
-    assert found == {"C-1": 2, "C-2": 2}
-
-    lines, missing = [], {}
-    for doc in documents.breakout_documents(site, wanted).collect():
-        lines += [(doc.kit_number, doc.serial_number, *line) for line in doc.breakout]
-        assert len(doc.diff) == 1
-        kept = missing.setdefault(doc.serial_number, [doc.diff[0].pieces_missing, 0])
-        kept[1] += len(doc.diff[0].components_missing)
+def test_documents_hold_what_the_flat_forms_do(site, wanted, rows):
+    found = documents.standard_documents(site).collect()
+    assert {(d.kit_number, d.total_pieces) for d in found} == {("K", 2)}
+    assert {d.component: d.standard.component_qty_standard for d in found} == {"C-1": 2, "C-2": 2}
+
+    found = documents.breakout_documents(site, wanted).collect()
+    lines = [(d.kit_number, d.serial_number, *d.breakout) for d in found if d.breakout]
+    missing = {d.serial_number: [d.pieces_missing, 0] for d in found}
+    for d in found:
+        missing[d.serial_number][1] += d.missing
     flat = breakout.serial_breakout(site, wanted).where("component_product_number is not null")
     assert sorted(lines, key=repr) == sorted(map(tuple, flat.collect()), key=repr)
     assert sorted((s, *v) for s, v in missing.items()) == rows(
         breakout.serial_diff(site, wanted), "serial_number", "pieces_missing", "components_missing"
     )
 
-    run = reassemble.reassemble(site, wanted).stored
-    left, totals = {}, set()
-    for doc in documents.component_count_documents(run.fill).collect():
-        left |= doc.components
-        totals.add(doc.total_pieces)
-    assert left == {r.component: r.leftover for r in run.fill.collect()}
-    assert totals == {5}
-
-    built, seen = [], {}
-    for doc in run.documents.collect():
-        for slot in doc.assembly:
-            seen[slot.serial] = slot.status
-            built += [(slot.serial, line.component, line.qty) for line in slot.build]
+    run = reassemble.reassemble(site, wanted)
+    found = documents.component_count_documents(run.fill).collect()
+    assert {d.component: d.leftover for d in found} == {
+        r.component: r.leftover for r in run.fill.collect()
+    }
+    assert {d.total_pieces for d in found} == {5}
+
+    found = run.documents.collect()
+    built = [(d.serial, d.build.component, d.build.qty) for d in found if d.build]
     assert sorted(built) == rows(run.lines, "serial_number", "component", "qty")
-    assert sorted(seen.items()) == rows(run.status, "serial_number", "status")
+    assert sorted({(d.serial, d.status) for d in found}) == rows(
+        run.status, "serial_number", "status"
+    )
 
 
-def test_assembly_documents_are_in_build_order(spark):
+def test_assembly_documents_keep_serials_without_pieces(spark):
     run = rebuild(spark, [("K", "A", 1, 1)], {"K": [9, 3, 7]})
-    (doc,) = run.documents.collect()
-    assert [s.serial for s in doc.assembly] == [9, 3, 7]
-    assert [len(s.build) for s in doc.assembly] == [1, 0, 0]
+    found = sorted((d.build_pos, d.serial, d.build is not None) for d in run.documents.collect())
+    assert found == [(1, 9, True), (2, 3, False), (3, 7, False)]
+
+
+def test_an_unknown_quantity_makes_a_sum_unknown(make_tables, rows):
+    tables = kit_tables(make_tables, bom=[(1, 2), (1, None), (2, 3)], units=[(1, 4)], contents=[])
+    for operator, quantity in ((standard.kit_standard_map, "component_qty_standard"), (standard.build_standard, "std_qty")):
+        assert rows(operator(tables), "component", quantity) == [("C-1", None), ("C-2", 3)]
 
 
 # Files and whole runs ---------------------------------------------------------------
@@ -200,7 +195,7 @@ def test_whole_run(spark, make_tables, tmp_path, rows):
     out = f"{tmp_path}/out"
     reassemble.save(loaded, None, out)
     requests = invalid_serial_requests(loaded)
-    run = reassemble.reassemble(loaded, requests).stored
+    run = reassemble.reassemble(loaded, requests)
     assert rows(spark.read.parquet(f"{out}/requests")) == rows(requests.select("*"))
     assert rows(spark.read.parquet(f"{out}/summary")) == rows(run.summary)
     assert rows(spark.read.parquet(f"{out}/assembly_status")) == rows(run.status)
@@ -285,4 +280,37 @@ def test_one_kit_reaches_the_scan(spark, make_tables, tmp_path):
     """Asking for one kit filters the scan of kit units, not only the finished report."""
     sources.write_parquet(make_tables(**warehouse(1)), str(tmp_path))
     tables = sources.read_parquet(spark, str(tmp_path), as_of=DAY)
-    assert "EqualTo(kit_number,K-1)" in plan(standard.kit_standard(tables, kits=["K-1"]))
+    everything = tables.stock.count()
+    units = inventory.kit_units(tables, kits=["K-1"])
+    assert 0 < units.count() < everything
+    assert {r.kit_number for r in units.collect()} == {"K-1"}
+    text = plan(inventory.kit_units(tables.with_settings(storing=False), kits=["K-1"]))
+    # The kit's products meet the scan of the stock table, before bins and serials.
+    assert "EqualTo(product_number,K-1)" in text and "LeftSemi" in text
+    for operator in (standard.kit_standard, breakout.kit_breakout, breakout.serial_kit_grid):
+        whole = [tuple(r) for r in operator(tables).collect() if r[0] == "K-1"]
+        one = [tuple(r) for r in operator(tables, kits=["K-1"]).collect()]
+        assert sorted(one, key=repr) == sorted(whole, key=repr)
+        assert whole or operator is not standard.kit_standard
+
+
+def test_command_line(spark, make_tables, tmp_path, capsys):
+    sources.write_parquet(make_tables(**warehouse(100)), f"{tmp_path}/in")
+    serial = invalid_serial_requests(sources.read_parquet(spark, f"{tmp_path}/in", as_of=DAY)).first()
+    arguments = ["--tables", f"{tmp_path}/in", "--as-of", str(DAY)]
+    one = ["--kit", serial.kit_number, "--serials", str(serial.serial_number)]
+    reassemble.main([*arguments, "--out", f"{tmp_path}/one", *one, "--reports"])
+    assert "1 kits, 1 serials requested" in capsys.readouterr().out
+    for name in ("kit_std", "kit_report", "summary", "new_kit_assembly"):
+        assert spark.read.text(f"{tmp_path}/one/{name}").count() > 0
+    reassemble.main([*arguments, "--out", f"{tmp_path}/all"])
+    assert spark.read.parquet(f"{tmp_path}/all/summary").count() > 1
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    before = session.scratch(spark)
+    with session.own_scratch(spark):
+        folder = session.scratch(spark).removeprefix("file:")
+        assert session.store(spark.range(3)).count() == 3 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert session.scratch(spark) == before

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rekit.functions import skew
-from rekit.operators import breakout, corrected, inventory, standard
+from rekit.operators import breakout, corrected, inventory, reassembly, standard
 from rekit.sources.tables import Tables
 from tests.test_report_random import Check, same, warehouse
 
@@ -67,14 +67,41 @@ def test_reports_in_tiny_tiles(spark, make_tables, monkeypatch, seed):
 def test_heavy_keys(spark):
     left = spark.createDataFrame([("a", 9000), ("b", 10), ("c", 1)], "k string, left_rows bigint")
     right = spark.createDataFrame(
-        [("a", 40, 40), ("b", 10, 10), ("c", 9_000_000, 4500)],
-        "k string, right_rows bigint, right_values bigint",
+        [("a", 40), ("b", 10), ("c", 9_000_000)], "k string, right_rows bigint"
     )
     heavy = {r.k: (r._left_tiles, r._right_tiles) for r in skew.heavy_keys(left, right, "k").collect()}
-    assert heavy == {"c": (1, 3)}
+    assert heavy == {"c": (1, 4500)}
     more = left.withColumn("left_rows", F.col("left_rows") * 100)
     heavy = {r.k: (r._left_tiles, r._right_tiles) for r in skew.heavy_keys(more, right, "k").collect()}
-    assert heavy == {"a": (9, 1), "c": (75, 3)}
+    assert heavy == {"a": (450, 1), "c": (1, 4500)}
+
+
+def test_every_heavy_key_is_found(spark):
+    """However many there are, none is left to a single task."""
+    counts = spark.range(5_000).selectExpr("id as k", "10000L as left_rows")
+    other = spark.range(5_000).selectExpr("id as k", "if(id < 1500, 1000L, 1L) as right_rows")
+    assert skew.heavy_keys(counts, other, "k").count() == 1_500
+
+
+def test_rows_that_share_a_value_are_told_apart(spark):
+    """Components with the same or no edi fill all tiles."""
+    rows = spark.range(4_000).selectExpr("1 as k", "cast(null as string) as edi", "'C-' || id as number")
+    heavy = spark.createDataFrame([(1, 1, 10)], "k int, _left_tiles bigint, _right_tiles bigint")
+    tiles = skew.tile_rows(rows, heavy, "k", "right", "number", "edi").groupBy("_rt").count().collect()
+    assert len(tiles) == 10 and max(r["count"] for r in tiles) < 600
+
+
+def test_build_lines_of_a_kit_are_cut_along_both_sides(spark):
+    """3,600 serials by 2,800 components of one kit: no task has most of the lines."""
+    fill = spark.range(2_800).selectExpr(
+        "'K' as kit_number", "'C-' || id as component", "1L as std_qty", "3600L as fill"
+    )
+    slots = spark.range(3_600).selectExpr("'K' as kit_number", "id as serial_number", "id + 1 as build_pos")
+    lines = reassembly.assembly_build_lines(fill, slots, 3_600 * 2_800)
+    per_task = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 3_600 * 2_800
+    assert max(r["count"] for r in per_task) <= 3_600 * 2 * reassembly.LINE_COMPONENTS
+    assert lines.select("serial_number", "component").distinct().count() == 3_600 * 2_800
 
 
 def test_the_corrected_report_in_tiny_tiles(make_tables, monkeypatch, rows):
@@ -212,8 +239,8 @@ def test_a_hot_kit_is_cut_into_tiles(hot, monkeypatch):
     grid = breakout.serial_kit_grid(hot)
     seen = {}
 
-    def tiles(df, heavy, key, side, by, original=skew.tile_rows):
-        seen[side] = original(df, heavy, key, side, by)
+    def tiles(df, heavy, key, side, *by, original=skew.tile_rows):
+        seen[side] = original(df, heavy, key, side, *by)
         return seen[side]
 
     monkeypatch.setattr(breakout, "tile_rows", tiles)
