@@ -57,7 +57,7 @@ def corpus(rng, copies):
 
 
 def test_components_as_by_hand(docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 40)  # the large group takes many blocks
+    monkeypatch.setattr(jaccard_join, "BLOCK", 60)  # the large group takes many blocks
     pairs = corpus(random.Random(5), 150)
     rows = jaccard_components(docs(pairs)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == by_hand(pairs)

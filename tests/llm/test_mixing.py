@@ -55,7 +55,7 @@ def by_hand(rows, weights, share, epochs, seed):
                 break
             out.append((r[0], whole, min(rest, size(r[1]))))
             rest -= size(r[1])
-    return sorted(out)
+    return sorted(out, key=lambda x: (str(type(x[0])), x))
 
 
 def test_as_by_hand(kept):

@@ -1,11 +1,11 @@
 import random
 
-from test_jaccard_join import by_hand as components_by_hand
-from test_mixing import by_hand as mix_by_hand
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm import bpe, mixing, toxicity
+from tests.llm.test_jaccard_join import by_hand as components_by_hand
+from tests.llm.test_mixing import by_hand as mix_by_hand
 
 
 def test_run_against_a_plain_version(spark, kept, tmp_path):

@@ -1,0 +1,59 @@
+"""The registered queries: check SQL where there is some, and the contracts' shapes."""
+
+import hashlib
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+
+COLUMNS = {
+    "op1_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op2_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op7_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op8_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op9_top_k": ["query_id", "rank", "vec_id", "score"],
+    "op10_repeats": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in ("documents", "embeddings", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(entry.LLM_ORACLES))
+def test_query_equals_check_sql(spark, duck, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    expected = duck.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in expected.description]
+    assert sorted(df.columns) == sorted(names)
+    got = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
+    assert got == sorted(expected.fetchall(), key=repr) != []
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_contract_columns(spark, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    assert df.columns[: len(COLUMNS[name])] == COLUMNS[name]
+
+
+def test_every_operator_and_the_pipeline_are_registered():
+    names = {n.split("_")[0] for n in entry.LLM_QUERIES}
+    assert names == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+
+
+def test_queries_on_whole_texts(spark):
+    """Digests of all rows against plain Python."""
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+    decoded = {r["doc_id"]: r["decoded_sha256"] for r in entry.queries()["op7_bpe"](spark, SF_DIR).collect()}
+    assert decoded == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
+    repeats = entry.queries()["op10_repeats"](spark, SF_DIR).collect()
+    assert {r["doc_id"]: r["n_bytes"] for r in repeats} == {d: len(t.encode()) for d, t in texts.items()}
