@@ -72,9 +72,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch, about, unless the session says otherwise: texts may be long.
+BATCH_BYTES = 8 << 20
+
+
 def shipped(df: DataFrame) -> DataFrame:
-    """The frame, after making sure that executors can import this package."""
-    context = df.sparkSession.sparkContext
+    """The frame, after making sure that executors can import this package and get their
+    rows in batches of bounded size."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not getattr(context, "_llm_shipped", False):
         here = os.path.dirname(os.path.abspath(__file__))
         archive = shutil.make_archive(
