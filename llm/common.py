@@ -21,16 +21,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    A scratch folder is made only for a local master, where all of Spark is one process.
+    Where all of Spark is one process and none is named, the warehouse serves.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when Spark ends."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_scratch", None) is None:
+        path = f"{shared_dir(spark)}/llm/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        context._llm_scratch = path
+    return context._llm_scratch
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
     plans a join.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
