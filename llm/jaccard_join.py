@@ -23,13 +23,14 @@ from llm.hashing import Hashes, mixed, raw
 #: Words per shingle; sets are linked from this many per cent of their union on.
 SHINGLE, PER_CENT = 5, 80
 #: Bytes of text that are worked on at once; signatures per bucket, about; members of a
-#: block in which candidates are compared.
-CHUNK, BUCKET, BLOCK = 1 << 20, 4_000_000, 512
+#: block in which candidates are compared, half of them from each of two deals.
+CHUNK, BUCKET, BLOCK = 1 << 20, 4_000_000, 1024
 #: Sets up to this size choose two of three parts, larger ones a single part of so many
 #: parts per element.
 PAIRED, PARTS = 64, 0.25
-#: A shingle in this share of a batch's sets, and in so many at least, is frequent.
-FREQUENT, FREQUENT_LEAST = 0.005, 3
+#: A shingle in this share of sets is frequent. Tasks count so many shingles at a time and
+#: report those of half that share, and in so many sets at least.
+FREQUENT, COUNTED, FREQUENT_LEAST = 0.0005, 4_000_000, 3
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25],
@@ -197,39 +198,45 @@ def _class(owner: np.ndarray, found: np.ndarray, texts: int) -> tuple[np.ndarray
     return sizes, out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _frequent(shingles: list[np.ndarray], sets: int) -> pa.RecordBatch:
+    values, counts = np.unique(np.concatenate(shingles), return_counts=True)
+    often = counts >= max(FREQUENT_LEAST, FREQUENT / 2 * sets)
+    values, counts = values[often].view(np.int64), counts[often]
+    zeros = pa.array(np.zeros(len(values), np.int64))
+    return pa.record_batch(
+        [pa.array(np.ones(len(values), dtype=bool)), zeros, pa.array(counts), pa.array(values), zeros],
+        names=["frequent", "row", "n", "c1", "c2"],
+    )
+
+
 def _described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(frequent, row, n, c1, c2): each text's size and class, and a batch's frequent
-    shingles (as c1) with their counts (as n)."""
+    """(frequent, row, n, c1, c2): each text's size and class, and from time to time the
+    shingles frequent so far (as c1) with their counts (as n). Equal sets count once."""
+    shingles, held, seen = [], 0, set()
     for batch in batches:
         texts, rows = raw(batch.column("text")), batch.column("row").to_numpy()
-        parts, shingles, firsts = [], [], []
-        seen: set[int] = set()
         for first, lot in _lots(texts):
             owner, found = shingle_sets(lot, length)
-            sizes, c1, c2 = _class(owner, found, len(lot))
-            parts.append((rows[first : first + len(lot)], sizes, c1, c2))
-            # Equal sets count once.
+            columns = [rows[first : first + len(lot)], *_class(owner, found, len(lot))]
+            yield pa.record_batch(
+                [
+                    pa.array(np.zeros(len(lot), dtype=bool)),
+                    *[pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns],
+                ],
+                names=["frequent", "row", "n", "c1", "c2"],
+            )
             fresh = np.zeros(len(lot), dtype=bool)
-            for i, value in enumerate(c1.tolist()):
+            for i, value in enumerate(columns[2].tolist()):
                 if value not in seen:
                     seen.add(value)
                     fresh[i] = True
             shingles.append(found[fresh[owner]])
-        for columns in parts:
-            n = len(columns[0])
-            yield pa.record_batch(
-                [pa.array(np.zeros(n, dtype=bool)), *[pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns]],
-                names=["frequent", "row", "n", "c1", "c2"],
-            )
-        if shingles:
-            values, counts = np.unique(np.concatenate(shingles), return_counts=True)
-            often = counts >= max(FREQUENT_LEAST, FREQUENT * len(seen))
-            values, counts = values[often].view(np.int64), counts[often]
-            zeros = pa.array(np.zeros(len(values), np.int64))
-            yield pa.record_batch(
-                [pa.array(np.ones(len(values), dtype=bool)), zeros, pa.array(counts), pa.array(values), zeros],
-                names=["frequent", "row", "n", "c1", "c2"],
-            )
+            held += len(shingles[-1])
+            if held >= COUNTED:
+                yield _frequent(shingles, len(seen))
+                shingles, held, seen = [], 0, set()
+    if shingles:
+        yield _frequent(shingles, len(seen))
 
 
 def _signed(
@@ -287,16 +294,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(row, blocks, items): the texts' sets, packed."""
     for batch in batches:
-        texts = raw(batch.column("text"))
-        for first, lot in _lots(texts):
+        for first, lot in _lots(raw(batch.column("text"))):
             owner, found = shingle_sets(lot, length)
             cuts = np.cumsum(np.bincount(owner, minlength=len(lot)))[:-1]
             blobs = [p.astype("<u8").tobytes() for p in np.split(found, cuts)]
             part = batch.slice(first, len(lot))
             yield pa.record_batch(
-                [part.column("row"), part.column("cluster"), part.column("band"), part.column("whole"), pa.array(blobs, pa.binary())],
-                names=["row", "cluster", "band", "whole", "items"],
+                [part.column("row"), part.column("blocks"), pa.array(blobs, pa.binary())],
+                names=["row", "blocks", "items"],
             )
 
 
@@ -366,37 +373,51 @@ def _compared(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
         yield batch_of(out)
 
 
-def _blocks(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(block, row, items): every two sets of a cluster that may be similar meet in a block.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(row, blocks): names of the blocks that a member of a cluster takes part in, so that
+    every two members that may be similar meet in one.
 
-    A cluster of at most BLOCK sets is one block. In larger ones sets are dealt by band and
-    place, and two deals of one band or of neighbouring bands make a block: at most
-    2 * BLOCK sets, about.
+    A cluster of at most BLOCK members is one block. In larger ones the members of a band
+    are dealt out, half a block each; two deals of one band or of neighbouring bands are a
+    block, and a deal without any other to meet is one by itself.
     """
-    small = sets.where("whole").select(F.concat_ws(":", "cluster").alias("block"), "row", "items")
-    deals = clusters.where("not whole").select(
-        "cluster", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("deals")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("all"))
+    deals = stored(
+        members.groupBy("cluster", "band")
+        .agg(F.count("*").alias("own"))
+        .join(sizes, "cluster")
+        .where(F.col("all") > BLOCK)
+        .select("cluster", "band", F.ceil(F.col("own") * 2 / BLOCK).cast("int").alias("deals"))
+    )
+    above = deals.select("cluster", (F.col("band") - 1).alias("band"), F.col("deals").alias("above"))
+    below = deals.select("cluster", (F.col("band") + 1).alias("band"), F.col("deals").alias("below"))
+    told = deals.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+    told = told.na.fill(0, ["above", "below"])
+    dealt = members.join(told, ["cluster", "band"], "left").withColumn(
+        "deal", F.pmod(F.xxhash64("row"), F.col("deals")).cast("int")
     )
-    mine = sets.where("not whole").join(deals, ["cluster", "band"])
-    mine = mine.withColumn("deal", F.pmod(F.xxhash64("row"), F.col("deals")).cast("int"))
-    deal = lambda n: F.sequence(F.lit(0), n - 1)
+    own, band = F.col("deal"), F.col("band")
 
     def name(low: Column, i: Column, high: Column, j: Column) -> Column:
-        return F.concat_ws(":", "cluster", low.cast("string"), i.cast("string"), high.cast("string"), j.cast("string"))
+        parts = ["cluster", *[c.cast("string") for c in (low, i, high, j)]]
+        return F.concat_ws(":", *parts)
 
-    band, own = F.col("band"), F.col("deal")
-    with_own = mine.select(
-        "row", "items", F.explode(F.transform(deal(F.col("deals")), lambda j: name(band, F.least(own, j), band, F.greatest(own, j)))).alias("block")
-    )
-    above = deals.select("cluster", (F.col("band") - 1).alias("band"), F.col("deals").alias("other"))
-    below = deals.select("cluster", (F.col("band") + 1).alias("band"), F.col("deals").alias("other"))
-    with_above = mine.join(above, ["cluster", "band"]).select(
-        "row", "items", F.explode(F.transform(deal(F.col("other")), lambda j: name(band, own, band + 1, j))).alias("block")
+    def each(n: Column, block) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), block)).otherwise(none)
+
+    alone = (F.col("deals") == 1) & (F.col("above") == 0) & (F.col("below") == 0)
+    within = F.filter(
+        each(F.col("deals"), lambda j: F.when((j != own) | alone, name(band, F.least(own, j), band, F.greatest(own, j)))),
+        lambda b: b.isNotNull(),
     )
-    with_below = mine.join(below, ["cluster", "band"]).select(
-        "row", "items", F.explode(F.transform(deal(F.col("other")), lambda j: name(band - 1, j, band, own))).alias("block")
+    many = F.concat(
+        within,
+        each(F.col("above"), lambda j: name(band, own, band + 1, j)),
+        each(F.col("below"), lambda j: name(band - 1, j, band, own)),
     )
-    return small.unionByName(with_own).unionByName(with_above).unionByName(with_below)
+    whole = F.array(F.col("cluster").cast("string"))
+    return dealt.select("row", F.when(F.col("deals").isNull(), whole).otherwise(many).alias("blocks"))
 
 
 def jaccard_components(
@@ -440,7 +461,7 @@ def jaccard_components(
     )
     n_classes, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = told.where("frequent").groupBy("c1").agg(F.sum("n").alias("n"))
-    often = often.where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT / 2 * n_classes)).select("c1")
+    often = often.where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT * n_classes)).select("c1")
     frequent = np.sort(np.array([r["c1"] for r in often.collect()], dtype=np.int64).view(np.uint64))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET))
     signed = texts.select("text").mapInArrow(
@@ -455,20 +476,11 @@ def jaccard_components(
             F.col("rep").alias("row"), F.col("component").alias("cluster"), band.alias("band")
         )
     )
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("all"))
-    per_band = stored(
-        members.groupBy("cluster", "band").agg(F.count("*").alias("members"))
-        .join(sizes, "cluster")
-        .select("cluster", "band", "members", (F.col("all") <= BLOCK).alias("whole"))
-    )
-    wanted = members.join(per_band.drop("members"), ["cluster", "band"])
-    compared = stored(
-        texts.join(wanted, "row")
-        .select("row", "text", "cluster", "band", "whole")
-        .mapInArrow(lambda it: _set_rows(it, length), "row long, cluster long, band int, whole boolean, items binary")
-    )
     links = (
-        _blocks(compared, per_band)
+        texts.join(_blocks(members), "row")
+        .select("row", "text", "blocks")
+        .mapInArrow(lambda it: _set_rows(it, length), "row long, blocks array<string>, items binary")
+        .select(F.explode("blocks").alias("block"), "row", "items")
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
         .sortWithinPartitions("block")
         .mapInArrow(lambda it: _compared(it, per_cent), "a long, b long")
