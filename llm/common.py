@@ -44,15 +44,15 @@ def scratch(spark: SparkSession) -> str:
     return context._llm_scratch
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
-    It is then computed once, outlives a lost executor, and Spark knows its size when it
+    ``options`` are the writer's. It is then computed once, outlives a lost executor, and Spark knows its size when it
     plans a join.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Training-order materialisation: a keyed permutation gives every sequence its slot.
 
-Texts become sequences of a fixed number of tokens. A Feistel network with cycle-walking
+Texts become token ids, cut into sequences of a fixed number. A Feistel network with cycle-walking
 permutes the sequences' numbers; range partitions of slots hold shards of fixed stride,
 so a reader finds any slot by arithmetic and can go on anywhere.
 """
@@ -16,13 +16,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, quoted, shipped
-from llm.hashing import mixed
+from llm.bpe import VOCABULARY, load
+from llm.common import documents, quoted, shipped, stored
+from llm.hashing import mixed, raw
 
-#: The byte vocabulary: a token is a byte of UTF-8; 0xFF and 0xFE never occur in it.
-END, PAD = 0xFF, 0xFE
 #: Tokens per sequence, sequences per shard, bytes of a range partition at most.
 SEQUENCE, SHARD, PARTITION_BYTES = 1024, 4096, 32 << 20
+#: A token's bytes: little-endian, unsigned. The largest number is padding, no token.
+TOKEN = np.dtype("<u2")
+PAD = np.iinfo(TOKEN).max
 
 ROUNDS = 6
 
@@ -60,39 +62,49 @@ def permute(index: np.ndarray, size: int, key: str, inverse: bool = False) -> np
     return out
 
 
-def sequences(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+def sequences(tokens: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all sequences, one after the other, and the number of each text's.
 
-    A text's tokens are its bytes and an end token; its last sequence is padded.
+    ``tokens`` are a text's ids with the end token; its last sequence is padded.
     """
-    chunks = [t.as_buffer() if t.is_valid else b"" for t in texts]
+    chunks = [np.frombuffer(t, TOKEN) for t in raw(tokens)]
     sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-    counts = sizes // length + 1
-    out = np.full(int(counts.sum()) * length, PAD, dtype=np.uint8)
+    counts = -(-sizes // length)
+    out = np.full(int(counts.sum()) * length, PAD, dtype=TOKEN)
     starts = (np.cumsum(counts) - counts) * length
     for chunk, start, size in zip(chunks, starts, sizes, strict=True):
-        out[start : start + size] = np.frombuffer(chunk, np.uint8)
-        out[start + size] = END
+        out[start : start + size] = chunk
     return out, counts
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    model = load(path)
+    if len(model.texts) > PAD or not model.specials:
+        raise ValueError("the vocabulary must fit two bytes and have an end token")
+    end = np.array([max(model.specials.values())], TOKEN)
+    for batch in batches:
+        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        ids = [np.concatenate([a.astype(TOKEN), end]).tobytes() for a in model.encode(texts)]
+        yield pa.record_batch([batch.column("_id"), pa.array(ids, pa.binary())], names=["_id", "_tokens"])
+
+
 def _placed(
     batches: Iterator[pa.RecordBatch], first: dict[int, tuple[int, int]], size: int, length: int, key: str
 ) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, doc, part, tokens) of a partition's texts."""
+    """Rows (slot, doc, part, tokens) of a partition's tokens."""
     at = end = None
     for batch in batches:
         if not batch.num_rows:
             continue
         if at is None:
             at, end = first[batch.column("_pid")[0].as_py()]
-        tokens, counts = sequences(batch.column("_text"), length)
+        tokens, counts = sequences(batch.column("_tokens"), length)
         total = int(counts.sum())
         if at + total > end:
             raise RuntimeError("the input gave other rows than when it was counted")
         slots = permute(np.arange(at, at + total), size, key)
         at += total
-        offsets = pa.array(np.arange(total + 1, dtype=np.int32) * length)
+        offsets = pa.array(np.arange(total + 1, dtype=np.int32) * (length * TOKEN.itemsize))
         yield pa.record_batch(
             [
                 pa.array(slots.astype(np.int64)),
@@ -114,33 +126,38 @@ def materialise(
     id_col: str = "doc_id",
     text_col: str = "text",
     partition_bytes: int = PARTITION_BYTES,
+    path: str = VOCABULARY,
 ) -> DataFrame:
     """All sequences in training order: slot, shard, byte_offset, doc_id, part, tokens.
 
-    One pass counts the sequences of each input partition; only these counts, one number
-    per partition, reach the driver. The second pass numbers the sequences from there, so
-    the input must give the same partitions twice, as a scan of files does; a partition
-    that doesn't is an error, never a wrong order. Slots are 0 to the number of sequences
-    less one. ``tokens`` has ``length`` bytes; ``byte_offset`` is its place in the shard.
+    Texts are encoded once, each with the vocabulary's end token, and the ids stored. One
+    pass over these counts the sequences of each partition; only the counts, one number
+    per partition, reach the driver. A second pass numbers the sequences from there; a
+    partition that gives other rows than when it was counted is an error, never a wrong
+    order. Slots are 0 to the number of sequences less one. ``tokens`` has ``length`` ids of
+    two bytes; ``byte_offset`` is its place in the shard.
 
     Defined cases: null and empty texts are one sequence with an end token; equal rows get
     slots of their own; an empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(
-        F.spark_partition_id().alias("_pid"), quoted(id_col).alias("_id"), quoted(text_col).alias("_text")
-    )
-    sized = F.expr(f"octet_length(coalesce(_text, '')) div {length} + 1")
+    texts = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+    id_type = texts.schema["_id"].dataType.simpleString()
+    source = stored(
+        shipped(texts).mapInArrow(lambda it: _encoded(it, path), f"_id {id_type}, _tokens binary"),
+        compression="zstd",
+    ).withColumn("_pid", F.spark_partition_id())
+    width = length * TOKEN.itemsize
+    sized = F.expr(f"(octet_length(_tokens) + {width} - 1) div {width}")
     counted = source.groupBy("_pid").agg(F.sum(sized).alias("n")).orderBy("_pid").collect()
     first, size = {}, 0
     for row in counted:
         first[row["_pid"]] = (size, size + row["n"])
         size += row["n"]
-    id_type = source.schema["_id"].dataType.simpleString()
-    rows = shipped(source).withColumn("_text", F.col("_text").cast("binary")).mapInArrow(
+    rows = source.mapInArrow(
         lambda it: _placed(it, first, size, length, key),
         f"slot long, doc_id {id_type}, part long, tokens binary",
     )
-    per_range = max(1, partition_bytes // (shard * length)) * shard
+    per_range = max(1, partition_bytes // (shard * width)) * shard
     ranges = max(1, -(-size // per_range))
     return (
         rows.repartitionById(ranges, F.expr(f"cast(slot div {per_range} as int)"))
@@ -148,7 +165,7 @@ def materialise(
         .select(
             "slot",
             F.expr(f"slot div {shard}").alias("shard"),
-            F.expr(f"slot % {shard} * {length}").alias("byte_offset"),
+            F.expr(f"slot % {shard} * {width}").alias("byte_offset"),
             "doc_id",
             "part",
             "tokens",
@@ -202,10 +219,11 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
 def read_from(folder: str, slot: int, size: int, length: int = SEQUENCE, shard: int = SHARD) -> Iterator[bytes]:
     """Sequences from a slot on, in order: where a stopped training run goes on."""
     files, root = pafs.FileSystem.from_uri(folder)
+    width = length * TOKEN.itemsize
     while slot < size:
         with files.open_input_file(_shard_name(root, slot // shard)) as file:
-            file.seek(slot % shard * length)
-            while tokens := file.read(length):
+            file.seek(slot % shard * width)
+            while tokens := file.read(width):
                 yield tokens
                 slot += 1
 

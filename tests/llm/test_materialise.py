@@ -3,7 +3,10 @@ import hashlib
 import numpy as np
 import pytest
 
-from llm.materialise import END, PAD, materialise, permute, read_from, write_shards
+from llm import bpe
+from llm.materialise import PAD, TOKEN, materialise, permute, read_from, write_shards
+
+END = 50256
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000, 4096])
@@ -19,7 +22,13 @@ def texts_of(rows):
     parts = {}
     for r in rows:
         parts.setdefault(r["doc_id"], {})[r["part"]] = bytes(r["tokens"])
-    return {d: b"".join(p[i] for i in range(len(p))).rstrip(bytes([PAD])) for d, p in parts.items()}
+    out = {}
+    for doc, found in parts.items():
+        ids = np.frombuffer(b"".join(found[i] for i in range(len(found))), TOKEN)
+        ids = ids[ids != PAD]
+        assert ids[-1] == END and list(ids).count(END) == 1
+        out[doc] = "".join(bpe.load(bpe.VOCABULARY).decode(ids[:-1].astype(np.uint32)))
+    return out
 
 
 def test_round_trip_through_shards(spark, docs, tmp_path):
@@ -27,8 +36,9 @@ def test_round_trip_through_shards(spark, docs, tmp_path):
     ordered = materialise(docs(texts), "key", length=16, shard=4, partition_bytes=128)
     rows = ordered.collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert all(r["shard"] == r["slot"] // 4 and r["byte_offset"] == r["slot"] % 4 * 16 for r in rows)
-    assert texts_of(rows) == {i: (t or "").encode() + bytes([END]) for i, t in enumerate(texts)}
+    assert all(r["shard"] == r["slot"] // 4 and r["byte_offset"] == r["slot"] % 4 * 32 for r in rows)
+    assert {len(r["tokens"]) for r in rows} == {32}
+    assert texts_of(rows) == {i: t or "" for i, t in enumerate(texts)}
     manifest = write_shards(ordered, f"file://{tmp_path}/shards").collect()
     by_slot = [bytes(r["tokens"]) for r in sorted(rows, key=lambda r: r["slot"])]
     assert sum(m["sequences"] for m in manifest) == len(rows)
@@ -48,5 +58,5 @@ def test_order_does_not_depend_on_other_columns_or_runs(docs):
 def test_awkward_rows(awkward, nothing):
     rows = materialise(awkward, "k", 1024).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert sum(bytes(r["tokens"]).count(END) for r in rows) == awkward.count()
+    assert sum(list(np.frombuffer(r["tokens"], TOKEN)).count(END) for r in rows) == awkward.count()
     assert materialise(nothing, "k").collect() == []
