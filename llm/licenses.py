@@ -9,7 +9,6 @@ template are its candidates; they match if they hold most of its shingles, exact
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +22,7 @@ SHINGLE = 5
 CONTAINMENT, RECALL = 0.8, 0.9999
 
 _WORD = r"[\p{L}\p{N}]+"
-_FIVE = "array<bigint>"
+_HASHES = "array<bigint>"
 
 # License notices by name. Fixed values.
 TEMPLATES = {
@@ -86,7 +85,7 @@ def _shingle_hashes(words: Column) -> Column:
         F.sequence(F.lit(0), F.size(words) - SHINGLE),
         lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]),
     )
-    return F.when(F.size(words) >= SHINGLE, each).otherwise(F.expr(f"cast(array() as {_FIVE})"))
+    return F.when(F.size(words) >= SHINGLE, each).otherwise(F.expr(f"cast(array() as {_HASHES})"))
 
 
 def _shingle_texts(words: Column) -> Column:
@@ -103,19 +102,27 @@ def _band(hashes: Column, band: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
     """One row per template: name, its shingles' texts and hashes, window size, bands."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    rows = rows.withColumn("words", _words(F.col("text"))).where(F.size("words") >= SHINGLE)
-    sized = rows.select(
-        "license",
-        F.array_distinct(_shingle_texts(F.col("words"))).alias("shingles"),
-        F.array_distinct(_shingle_hashes(F.col("words"))).alias("hashes"),
+    pairs = [F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in templates.items()]
+    rows = (
+        spark.range(1).select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+        if pairs
+        else spark.range(0).selectExpr("'' as license", "'' as text")
     )
-    counts = sorted({max(1, len(t.split())) for t in templates.values()})
-    # Window size and bands for every number of shingles that a template could have.
-    numbers = range(1, 2 * max(counts, default=1) + 1)
-    settings = F.create_map(*[x for n in numbers for x in (F.lit(n), F.array(F.lit(window_size(n)), F.lit(bands_needed(n))))])
-    chosen = F.element_at(settings, F.size("hashes"))
-    return sized.withColumns({"window": chosen[0], "bands": chosen[1]})
+    sized = (
+        rows.withColumn("words", _words(F.col("text")))
+        .where(F.size("words") >= SHINGLE)
+        .select(
+            "license",
+            F.array_distinct(_shingle_texts(F.col("words"))).alias("shingles"),
+            F.array_distinct(_shingle_hashes(F.col("words"))).alias("hashes"),
+        )
+    )
+    numbers = [r[0] for r in sized.select(F.size("hashes")).distinct().collect()]
+    window, bands = F.lit(1), F.lit(1)
+    for n in numbers:
+        window = F.when(F.size("hashes") == n, F.lit(window_size(n))).otherwise(window)
+        bands = F.when(F.size("hashes") == n, F.lit(bands_needed(n))).otherwise(bands)
+    return sized.withColumns({"window": window, "bands": bands})
 
 
 def scan_licenses(
@@ -138,10 +145,7 @@ def scan_licenses(
     for itself; an empty table, or templates of fewer than five words, give no rows;
     other columns are not read.
     """
-    spark = docs.sparkSession
-    if not any(len(re.findall(r"[^\W_]+", t)) >= SHINGLE for t in templates.values()):
-        templates = {}
-    table = template_table(spark, templates)
+    table = template_table(docs.sparkSession, templates)
     minima = (
         table.select(
             "license",
@@ -160,13 +164,12 @@ def scan_licenses(
     # A few numbers per template of the caller's.
     told = [r["least"] for r in minima.select("least").distinct().collect()]
     sizes = {r["window"]: r["bands"] for r in table.groupBy("window").agg(F.max("bands").alias("bands")).collect()}
-    result = "doc_id, license, containment, first_word, last_word"
     rows = docs.select(
         quoted(id_col).alias("doc_id"),
         F.monotonically_increasing_id().alias("_row"),
         _words(quoted(text_col)).alias("words"),
     ).withColumn("hashes", _shingle_hashes(F.col("words")))
-    marked = F.array(*[F.lit(h) for h in told]).cast(_FIVE)
+    marked = F.array(*[F.lit(h) for h in told]).cast(_HASHES)
     rows = rows.where(F.arrays_overlap("hashes", marked))
     if not sizes:
         none = "doc_id, cast('' as string) license, 0D containment, 0L first_word, 0L last_word"
@@ -223,7 +226,7 @@ def scan_licenses(
             F.struct("containment", -F.col("at")),
         ).alias("x")
     )
-    return best.select("x.doc_id", "license", "x.containment", "x.first_word", "x.last_word").selectExpr(*result.split(", "))
+    return best.select("x.doc_id", "license", "x.containment", "x.first_word", "x.last_word")
 
 
 def _windows(size: int, bands: int) -> Column:
