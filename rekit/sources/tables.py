@@ -34,6 +34,10 @@ class InventoryCodes:
     excluded_prefix: str = "ZPB"
 
 
+#: Tables that grow with the business; the others describe products and places.
+GROWING = ("stock", "product_serial", "daily_snapshot")
+
+
 class Tables:
     """The six tables; each is loaded when it is first asked for.
 
@@ -121,8 +125,7 @@ def jdbc_options(table: str, split: dict | None = None, **options) -> dict:
     REKIT_JDBC_URL / REKIT_JDBC_USER / REKIT_JDBC_PASSWORD, never from code.
 
     ``split`` = ``{"column", "lower", "upper", "partitions"}`` reads a table in
-    parallel ranges; without it one task reads everything, so give it for every
-    table that grows.
+    parallel ranges; without it one task reads everything.
     """
     merged = {
         key: os.environ[variable]
@@ -159,14 +162,18 @@ def read_jdbc(
     """Load the tables from a relational database.
 
     ``names`` maps our table names to the database's; ``renames`` maps database
-    column names to ours per table.
+    column names to ours per table. ``splits`` must name the growing tables, which one
+    task could not read. Each table is read once, when it is first asked for, and stored,
+    so all parts of a report see the same rows.
     """
+    if missing := sorted(set(GROWING) - set(splits or {})):
+        raise ValueError(f"say how to split {', '.join(missing)}")
 
     def load(name):
         reader = spark.read.format("jdbc").options(
             **jdbc_options(names[name], (splits or {}).get(name), **options)
         )
         frame = reader.load().withColumnsRenamed((renames or {}).get(name, {}))
-        return frame.select([F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]])
+        return store(frame.select([F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]]))
 
     return Tables(spark, load, **(settings or {}))

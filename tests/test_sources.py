@@ -66,6 +66,11 @@ def test_codes_are_settings(make_tables, rows):
     assert rows(inventory.unique_kits(other)) == [(2,)]
 
 
+def test_jdbc_wants_growing_tables_split(spark):
+    with pytest.raises(ValueError, match="daily_snapshot, product_serial"):
+        sources.read_jdbc(spark, {}, splits={"stock": {}})
+
+
 def test_jdbc_options(monkeypatch):
     for name in ("URL", "USER", "PASSWORD"):
         monkeypatch.delenv(f"REKIT_JDBC_{name}", raising=False)
