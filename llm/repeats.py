@@ -310,7 +310,8 @@ def remove_repeats(
             lambda it: _entries(it, least, anchor), "key long, content long, row long, base long, sides long"
         )
     )
-    repeated = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Stored, so that both sides of the join are plain shuffles, whose hot keys Spark splits.
+    repeated = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     entries = stored(entries.join(repeated, "key", "left_semi"))
     classes = stored(
         entries.groupBy("key", "content").agg(
