@@ -83,21 +83,20 @@ def leaf_budgets(
     denominator) of all tokens; a leaf can give its tokens ``max_epochs`` times.
     """
     caps = leaves.withColumn("leaf_cap", (F.col("total") * max_epochs).cast(_EXACT))
-    budgets = caps.agg(
-        F.expr(f"cast(least(sum(total) * {share[0]} div {share[1]}, sum(leaf_cap)) as {_EXACT})").alias("budget")
-    ).withColumn("_root", F.lit(0))
-    parents: list[str] = ["_root"]
+    # One number: what the root may give.
+    target = F.expr(f"cast(least(sum(total) * {share[0]} div {share[1]}, sum(leaf_cap)) as {_EXACT})")
+    whole = F.lit(str(caps.agg(target).first()[0] or 0)).cast(_EXACT)
+    budgets, parents = None, []
     for depth, name in enumerate(_NODES):
         path = _NODES[: depth + 1]
         nodes = (
-            caps.withColumn("_root", F.lit(0))
-            .groupBy("_root", *path)
+            caps.groupBy(*path)
             .agg(F.sum("leaf_cap").cast(_EXACT).alias("cap"))
             .withColumn("weight", _weight(F.col(name), weights[depth]))
-            .join(budgets, parents)
         )
-        budgets = _fill(nodes, parents, name).select("_root", *path, F.col("_got").alias("budget"))
-        parents = ["_root", *path]
+        nodes = nodes.join(budgets, parents) if parents else nodes.withColumn("budget", whole)
+        budgets = _fill(nodes, parents, name).select(*path, F.col("_got").alias("budget"))
+        parents = path
     return caps.join(budgets, _NODES, "left").select(
         *_NODES, "total", F.coalesce("budget", F.lit(0)).cast("long").alias("budget")
     )
@@ -137,8 +136,11 @@ def mix_sources(
     narrow = stored(docs.select(quoted(id_col).alias("_mx_id"), *names, tokens.alias(_TOKENS)))
     leaves = stored(narrow.groupBy(*_NODES).agg(F.sum(_TOKENS).alias("total")))
     plan = leaf_budgets(leaves, weights, share, max_epochs).where("budget > 0")
+    # One row per leaf of the tree, so one file: its size tells Spark that it is small.
     plan = stored(
-        plan.withColumns({"_mx_whole": F.expr("budget div total"), "_mx_rest": F.expr("budget % total")})
+        plan.withColumns(
+            {"_mx_whole": F.expr("budget div total"), "_mx_rest": F.expr("budget % total")}
+        ).coalesce(1)
     )
 
     def keyed(frame: DataFrame, key: Column) -> DataFrame:
@@ -158,6 +160,7 @@ def mix_sources(
         .groupBy(*_NODES)
         .agg(F.min(F.struct("_mx_bucket", (F.col("_to") - F.col("_sum")).alias("start"))).alias("_mx_cut"))
         .join(plan, _NODES, "right")
+        .coalesce(1)
     )
     drawn = keyed(rows.join(cuts, _NODES), quoted(id_col))
     order = [F.col("_mx_key"), F.col("_mx_sort"), F.col(_TOKENS)]
