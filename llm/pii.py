@@ -234,12 +234,11 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text")
         F.regexp_extract_all(F.lower(F.coalesce(quoted(text_col), F.lit(""))), F.lit(_WORD), F.lit(0))
     )
     frequencies = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.agg(F.count("*").alias("n"))
-    share = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
+    n = F.lit(found.count())
+    share = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     return (
         candidates.join(frequencies, "term")
-        .crossJoin(F.broadcast(n))  # one row
-        .where(F.col("n_e") < F.col("n"))
+        .where(F.col("n_e") < n)
         # A row counts once per surrounding, so n_te may exceed n_t where texts repeat.
         .withColumn("share", F.least(F.lit(1.0), share))
         .where(F.col("share") >= GENERALISE)
