@@ -84,7 +84,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch, about, unless the session says otherwise: texts may be long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shipped(df: DataFrame) -> DataFrame:

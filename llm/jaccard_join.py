@@ -30,7 +30,7 @@ CHUNK, BUCKET, BLOCK = 1 << 20, 4_000_000, 1024
 PAIRED, PARTS = 64, 0.25
 #: A shingle in this share of sets is frequent. Tasks count so many shingles at a time and
 #: report those of half that share, and in so many sets at least.
-FREQUENT, COUNTED, FREQUENT_LEAST = 0.0005, 4_000_000, 3
+FREQUENT, COUNTED, FREQUENT_LEAST = 0.0005, 2_000_000, 3
 
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25],
@@ -497,8 +497,11 @@ def jaccard_components(
         # A row without a set is its own component; labels are rows, so these are free.
         .select("row", "id", "n", F.coalesce("label", "row").alias("label"))
     )
-    heads = placed.groupBy("label").agg(
-        F.min("id").alias("head_id"), F.min(F.struct("id", "row")).alias("head")
+    # Stored, so that Spark can split a large component in the join.
+    heads = stored(
+        placed.groupBy("label").agg(
+            F.min("id").alias("head_id"), F.min(F.struct("id", "row")).alias("head")
+        )
     )
     decided = placed.join(heads, "label").select(
         F.col("row").alias("_jj_at"),
