@@ -103,7 +103,8 @@ def _byte_names() -> dict[str, int]:
 class Bpe:
     """A vocabulary with its merges, and what was learnt about pieces so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         names = _byte_names()
@@ -152,7 +153,7 @@ class Bpe:
     def _fit(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their text is encoded."""
         if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > 4 * self.remembered:
                 self.fits.clear()
             known = self.merged(self.texts[left] + self.texts[right]) == (left, right)
             self.fits[left, right] = known
@@ -217,7 +218,7 @@ class Bpe:
         """
         if len(piece) > WHOLE:
             return tuple(self.streamed(piece[i : i + 4096] for i in range(0, len(piece), 4096)))
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= self.remembered:
             self.older, self.known = self.known, {}
         self.known[piece] = out = self.older.get(piece) or self.merged(piece)
         return out
@@ -354,8 +355,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def load(path: str, remembered: int = REMEMBERED) -> Bpe:
+    return Bpe(path, remembered)
 
 
 def _texts(column: pa.Array) -> list[str]:

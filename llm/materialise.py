@@ -24,6 +24,8 @@ from llm.hashing import mixed, raw
 SEQUENCE, SHARD, PARTITION_BYTES = 1024, 4096, 32 << 20
 #: A token's bytes: little-endian, unsigned. The largest number is padding, no token.
 TOKEN = np.dtype("<u2")
+#: Pieces that a task remembers while it encodes; nothing else takes its memory here.
+REMEMBERED = 500_000
 PAD = np.iinfo(TOKEN).max
 
 ROUNDS = 6
@@ -78,7 +80,7 @@ def sequences(tokens: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    model = load(path)
+    model = load(path, REMEMBERED)
     if len(model.texts) > PAD or not model.specials:
         raise ValueError("the vocabulary must fit two bytes and have an end token")
     end = np.array([max(model.specials.values())], TOKEN)
