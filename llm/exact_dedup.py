@@ -19,10 +19,12 @@ def shared_prefixes(keyed: DataFrame) -> DataFrame:
     occurs once ends there; only rows of the other lengths are grouped by prefix.
     """
     lengths = keyed.groupBy(_LENGTH).count().where("count > 1").select(_LENGTH)
+    # Rows of one length and prefix are counted where they are read, before the join on
+    # length: copies of one text don't meet in a task.
     return (
-        keyed.join(lengths, _LENGTH, "left_semi")
-        .groupBy(_LENGTH, _PREFIX)
+        keyed.groupBy(_LENGTH, _PREFIX)
         .count()
+        .join(lengths, _LENGTH, "left_semi")
         .where("count > 1")
         .select(_LENGTH, _PREFIX, F.lit(True).alias(_HIT))
     )
