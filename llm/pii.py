@@ -1,17 +1,17 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Patterns find the protected entities: e-mail and network addresses, card and phone
-numbers. Words beside a mention can give the entity away after it is masked. How strongly
+numbers. Words of the same text can give the entity away after it is masked. How strongly
 they do is estimated from the corpus: the pointwise mutual information of word and entity
 over the entity's information content. Words above one threshold are generalised, above
-another removed.
+another removed, wherever they stand in a text with the entity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import documents, quoted, stored, without
@@ -19,10 +19,9 @@ from llm.common import documents, quoted, stored, without
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Characters beside a mention in which words may give it away.
-WINDOW = 80
-#: Different surroundings in which a word must stand beside the same entity to count.
-MIN_CONTEXTS = 3
+#: Different texts that must hold both word and entity. In a single text every word that
+#: stands nowhere else would give all of the entity, so one text is no evidence.
+SUPPORT = 2
 #: Share of the entity's information from which a word is generalised, and removed.
 GENERALISE, REMOVE = 0.6, 0.9
 
@@ -38,7 +37,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_WORD = r"\p{L}[\p{L}\p{M}]{3,}"
+_WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -105,45 +104,34 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def _words_beside(text: Column, span: Column, spans: Column) -> Column:
-    """Words within WINDOW characters of a span, whole and outside all spans: (s, e, t)."""
-    begin = F.greatest(span["s"] - WINDOW, F.lit(0))
-    before = F.substring(text, begin + 1, span["s"] - begin)
-    # A word that the window cuts is left out.
-    before_words = _let(
-        F.when(begin > 0, F.regexp_replace(before, r"^[\p{L}\p{M}]+", "")).otherwise(before),
-        lambda cut: F.transform(
-            _placed(cut, _WORD, F.regexp_extract_all(cut, F.lit(_WORD), F.lit(0))),
-            lambda w: F.struct(
-                (span["s"] - F.char_length(cut) + w["s"]).alias("s"),
-                (span["s"] - F.char_length(cut) + w["e"]).alias("e"),
-                F.lower(w["v"]).alias("t"),
-            ),
-        ),
-    )
-    after = F.substring(text, span["e"] + 1, F.lit(WINDOW))
-    after_words = _let(
-        F.when(F.char_length(after) == WINDOW, F.regexp_replace(after, r"[\p{L}\p{M}]+$", "")).otherwise(after),
-        lambda cut: F.transform(
-            _placed(cut, _WORD, F.regexp_extract_all(cut, F.lit(_WORD), F.lit(0))),
-            lambda w: F.struct(
-                (span["e"] + w["s"]).alias("s"), (span["e"] + w["e"]).alias("e"), F.lower(w["v"]).alias("t")
-            ),
-        ),
-    )
-    return F.filter(
-        F.concat(before_words, after_words),
-        lambda w: ~F.exists(spans, lambda x: (w["s"] < x["e"]) & (w["e"] > x["s"])),
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans, so that all other places stay."""
+
+    def add(done: Column, x: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(x["s"] - done["at"], F.lit(0)))
+        blanks = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(done["at"], x["s"]), F.lit(0)))
+        return F.struct(
+            F.greatest(done["at"], x["e"]).alias("at"), F.concat(done["out"], gap, blanks).alias("out")
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans, zero, add, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
     )
 
 
+def _said(text: Column) -> Column:
+    """The words of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+
+
 def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``_spans`` and ``_mentions``.
+    """Every row of ``docs`` with ``_spans``, ``_masked`` and ``_key``.
 
-    ``_spans``: (s, rank, e, kind) of the patterns' matches, by start, then kind.
-    ``_mentions``: per span (entity, context, words), with the words beside it.
+    ``_spans``: (s, rank, e, kind, entity) of the patterns' matches, by start, then kind.
+    ``_masked``: the text with blanks in place of them; ``_key``: a digest of the text.
     """
-    docs = without(docs, ["_text", "_spans", "_mentions", *[f"_{k}" for k in KINDS]])
+    docs = without(docs, ["_text", "_spans", "_masked", "_key", *[f"_{k}" for k in KINDS]])
     columns = docs.columns
     frame = docs.withColumn("_text", F.coalesce(quoted(text_col), F.lit("")))
     text = F.col("_text")
@@ -171,116 +159,86 @@ def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = F.greatest(*[F.size(f"_{k}") for k in KINDS]) > 0
     found = F.array_sort(F.concat(*[spans_of(i, k) for i, k in enumerate(KINDS)]))
     frame = frame.withColumn("_spans", F.when(some, found).otherwise(none_placed))
-    spans = F.col("_spans")
-    mentions = F.transform(
-        spans,
-        lambda x: _let(
-            _words_beside(text, x, spans),
-            lambda words: F.struct(
-                x["entity"].alias("entity"),
-                F.xxhash64(F.transform(words, lambda w: w["t"])).alias("context"),
-                words.alias("words"),
-            ),
-        ),
-    )
-    none_said = F.expr(
-        "cast(array() as array<struct<entity:string,context:bigint,words:array<struct<s:int,e:int,t:string>>>>)"
+    masked = F.when(F.size("_spans") > 0, _masked(text, F.col("_spans"))).otherwise(text)
+    return frame.select(*[quoted(c) for c in columns], "_spans", masked.alias("_masked"), F.md5(text).alias("_key"))
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """(_row, entity), once for each entity of a row."""
+    return found.where(F.size("_spans") > 0).select(
+        "_row", F.explode(F.array_distinct(F.col("_spans.entity"))).alias("entity")
     )
-    frame = frame.withColumn("_mentions", F.when(F.size(spans) > 0, mentions).otherwise(none_said))
-    return frame.select(*[quoted(c) for c in columns], "_spans", "_mentions")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, share): words that give an entity away, from counts over all rows.
+def disclosing_terms(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(entity, term, share): words that give an entity away, from counts over all texts.
 
-    With n rows, n_e of them with the entity, n_t with the word anywhere and n_te with the
-    word beside the entity: share = log(n_te * n / (n_t * n_e)) / log(n / n_e), the part
-    of the entity's information that the word gives. Only words seen beside the entity in
-    ``MIN_CONTEXTS`` different surroundings count, so copies of one text are no evidence.
+    With n different texts, n_e of them with the entity, n_t with the word outside spans
+    and n_te with both, wherever they stand: share = log(n_te * n / (n_t * n_e)) /
+    log(n / n_e), the part of the entity's information that the word gives. Copies of a
+    text count once. n_te must be ``SUPPORT``. All counts come from ``found``, which has a
+    number ``_row`` in each row; ``docs`` is not read.
     """
-    said = found.where(F.size("_mentions") > 0)
-    beside = said.select(
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "_mentions",
-                        lambda m: F.transform(
-                            m["words"],
-                            lambda w: F.struct(
-                                m["entity"].alias("entity"), w["t"].alias("term"), m["context"].alias("context")
-                            ),
-                        ),
-                    )
-                )
-            )
-        ).alias("x")
-    ).select("x.*")
-    # Rows of one surrounding first, so that copies meet as one row with a count.
+    first = found.groupBy("_key").agg(F.min("_row").alias("_row"))
+    copies = stored(found.select("_row").join(first, "_row", "left_anti"))
+    texts = found.join(copies, "_row", "left_anti")
+    n = texts.select("_row").count()
+    held = _entities(texts)
+    known = held.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n))
+    held = stored(held.join(known, "entity"))
+    most = held.agg(F.max("n_e")).first()[0] or 0
+    words = lambda rows: rows.select("_row", F.explode(F.array_distinct(_said(F.col("_masked")))).alias("term"))
+    # As n_te is n_e at most, a word of more texts than this can't reach the threshold.
+    limit = lambda n_e: F.pow(n_e, F.lit(GENERALISE)) * F.pow(F.lit(n), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    counts = (
+        words(texts)
+        .groupBy("term")
+        .agg(F.count("*").alias("n_t"))
+        .where((F.col("n_t") >= SUPPORT) & (F.col("n_t") <= limit(F.lit(most))))
+    )
+    holding = texts.where(F.size("_spans") > 0).join(held.select("_row").distinct(), "_row", "left_semi")
+    beside = words(holding).join(counts, "term")
     pairs = (
-        beside.groupBy("entity", "term", "context")
-        .count()
+        held.join(beside, "_row")
+        .where(F.col("n_t") <= limit(F.col("n_e")))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("contexts"), F.sum("count").alias("n_te"))
-        .where(F.col("contexts") >= MIN_CONTEXTS)
-    )
-    entities = (
-        said.select(F.explode(F.array_distinct(F.col("_mentions.entity"))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_e"))
-    )
-    candidates = stored(pairs.join(entities, "entity"))
-    words = F.array_distinct(
-        F.regexp_extract_all(F.lower(F.coalesce(quoted(text_col), F.lit(""))), F.lit(_WORD), F.lit(0))
+        .agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+        .where(F.col("n_te") >= SUPPORT)
     )
-    frequencies = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(found.count())
     share = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     return (
-        candidates.join(frequencies, "term")
-        .where(F.col("n_e") < n)
-        # A row counts once per surrounding, so n_te may exceed n_t where texts repeat.
-        .withColumn("share", F.least(F.lit(1.0), share))
-        .where(F.col("share") >= GENERALISE)
-        .select("entity", "term", "share")
+        pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
     )
 
 
 def mark_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """``found`` with ``_terms``: (s, e, share) of the disclosing words beside mentions."""
-    by_entity = terms.groupBy("entity").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")
+    """``found`` with ``_terms``: (s, e, share) of all the words that disclose an entity of
+    the row, each with its largest share."""
+    told = stored(
+        _entities(found).join(terms, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
     )
-    told = (
-        found.select("_row", F.explode(F.array_distinct(F.col("_mentions.entity"))).alias("entity"))
-        .join(by_entity, "entity")
-        .groupBy("_row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("entity", "shares"))).alias("_told"))
+    # Words and the text between them alternate: a running sum of lengths gives the places.
+    gaps = F.transform(F.split("_masked", _WORD, -1), F.char_length)
+    hits = F.regexp_extract_all("_masked", F.lit(_WORD), F.lit(0))
+    pieces = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(hits)),
+        hits,
+        lambda gap, hit: F.struct(gap.alias("gap"), F.char_length(hit).alias("size"), F.lower(hit).alias("term")),
     )
-    marked = F.flatten(
-        F.transform(
-            "_mentions",
-            lambda m: F.filter(
-                F.transform(
-                    m["words"],
-                    lambda w: F.struct(
-                        w["s"].alias("s"),
-                        w["e"].alias("e"),
-                        F.element_at(F.element_at(F.col("_told"), m["entity"]), w["t"]).alias("share"),
-                    ),
-                ),
-                lambda x: x["share"].isNotNull(),
-            ),
-        )
-    )
-    # A word beside several mentions counts with its largest share.
-    best = F.filter(
-        marked, lambda x: ~F.exists(marked, lambda y: (y["s"] == x["s"]) & (y["share"] > x["share"]))
+    upto = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = (
+        found.where(F.size("_spans") > 0)
+        .select("_row", "_masked")
+        .join(told.select("_row").distinct(), "_row", "left_semi")
+        .select("_row", F.posexplode(pieces).alias("pos", "x"))
+        .select("_row", "pos", "x.*")
+        .withColumn("e", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int"))
+        .join(told, ["_row", "term"])
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_list(F.struct((F.col("e") - F.col("size")).alias("s"), "e", "share"))).alias("_terms"))
     )
     none = F.expr("cast(array() as array<struct<s:int,e:int,share:double>>)")
-    return found.join(told, "_row", "left").withColumn(
-        "_terms", F.when(F.col("_told").isNull(), none).otherwise(F.array_sort(F.array_distinct(best)))
-    )
+    return found.join(marked, "_row", "left").withColumn("_terms", F.coalesce("_terms", none))
 
 
 def _sanitised(text: Column) -> Column:
@@ -320,14 +278,15 @@ def sanitise(docs: DataFrame, text_col: str = "text", with_text: bool = True) ->
     kind; the patterns' spans come as they are, disclosing words as kind ``term``.
 
     Defined cases: a null text counts as empty and has no spans; equal rows get equal
-    spans; an entity in every row has no information and no terms; an empty table gives an
+    spans; an entity in every text has no information and no terms, and one in a single text
+    has none either, however many copies it has; an empty table gives an
     empty result; columns of ``docs`` named like a result column are replaced.
     """
-    docs = without(docs, ["spans", "sanitised", "_row", "_told", "_terms"])
+    docs = without(docs, ["spans", "sanitised", "_row", "_terms"])
     found = find_entities(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
     columns = [c for c in docs.columns if with_text or c != text_col]
-    found = stored(found.select(*[quoted(c) for c in columns], "_row", "_spans", "_mentions"))
-    marked = mark_terms(found, disclosing_terms(found, docs, text_col))
+    found = stored(found.select(*[quoted(c) for c in columns], "_row", "_spans", "_masked", "_key"), compression="zstd")
+    marked = mark_terms(found, disclosing_terms(found))
     parts = [
         F.transform(
             "_spans", lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))

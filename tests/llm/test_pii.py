@@ -95,6 +95,16 @@ def test_shares_from_counts(docs, spark):
     assert "zebulon" not in shares and share(5, 3) < 0.6
 
 
+def test_words_of_the_whole_text_of_any_length(docs):
+    far = "plain words " * 20
+    texts = [f"Bo Zebulon {w} {far} zeb@mail.org {far} ZEBULON and BO" for w in ("alpha", "bravo")]
+    rows = {r["doc_id"]: r for r in sanitise(docs(texts + [far + "and more"] * 3 + [f"and {i}" for i in range(40)])).collect()}
+    for i, text in enumerate(texts):
+        marked = [text[s["s"] : s["e"]] for s in rows[i]["spans"] if s["kind"] == "term"]
+        assert [w for w in marked if w.lower() in ("bo", "zebulon")] == ["Bo", "Zebulon", "ZEBULON", "BO"]
+        assert "and" not in marked and "zebulon" not in rows[i]["sanitised"].lower()
+
+
 def test_copies_are_no_evidence(docs):
     found = sanitise(docs(["Zebulon wrote from zeb@mail.org"] * 9 + ["none"] * 5)).collect()
     assert not any(s["kind"] == "term" for r in found for s in r["spans"])
