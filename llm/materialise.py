@@ -8,16 +8,19 @@ so a reader finds any slot by arithmetic and can go on anywhere.
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import VOCABULARY, load
-from llm.common import documents, quoted, shipped, stored
+from llm.common import documents, quoted, scratch, shipped, stored
 from llm.hashing import mixed, raw
 
 #: Tokens per sequence, sequences per shard, bytes of a range partition at most.
@@ -218,6 +221,60 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def _indexed(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Write the shards of a range; its rows without tokens, with their shards' manifest."""
+    held = []
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held.append(batch.drop_columns(["tokens"]))
+            yield batch
+
+    manifests = list(_written(seen(), folder))
+    if not manifests:
+        return
+    manifest = pa.Table.from_batches(manifests)
+    for rows in held:
+        own = manifest.take(pc.index_in(rows.column("shard"), manifest["shard"].combine_chunks()))
+        for name in ("sequences", "sha256"):
+            rows = rows.append_column(name, own[name].combine_chunks())
+        yield rows
+
+
+def _read_back(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_indexed`` with the tokens that their shard holds at their offset."""
+    files, root = pafs.FileSystem.from_uri(folder)
+    file = shard = None
+    for batch in batches:
+        tokens = []
+        for at, offset in zip(batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), strict=True):
+            if at != shard:
+                if file:
+                    file.close()
+                file, shard = files.open_input_file(_shard_name(root, at)), at
+            file.seek(offset)
+            tokens.append(file.read(width))
+        yield batch.append_column("tokens", pa.array(tokens, pa.binary()))
+    if file:
+        file.close()
+
+
+def through_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
+    """Write the shards of ``materialise`` into a shared folder (a URI) and read them back.
+
+    The rows are those of ``ordered`` with the tokens as the files hold them, and
+    ``sequences`` and ``sha256`` of their shard. A range of slots is held by its task
+    without the tokens.
+    """
+    types = {c: t for c, t in ordered.dtypes if c != "tokens"} | {"sequences": "bigint", "sha256": "string"}
+    schema = ", ".join(f"{c} {t}" for c, t in types.items())
+    index = stored(shipped(ordered).mapInArrow(lambda it: _indexed(it, folder), schema))
+    width = length * TOKEN.itemsize
+    return index.mapInArrow(lambda it: _read_back(it, folder, width), f"{schema}, tokens binary").select(
+        *ordered.columns, "sequences", "sha256"
+    )
+
+
 def read_from(folder: str, slot: int, size: int, length: int = SEQUENCE, shard: int = SHARD) -> Iterator[bytes]:
     """Sequences from a slot on, in order: where a stopped training run goes on."""
     files, root = pafs.FileSystem.from_uri(folder)
@@ -234,4 +291,6 @@ KEY = "epoch-0"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(documents(spark, sf_dir), KEY)
+    # Arrow takes a local folder's URI with an empty host only.
+    folder = re.sub("^file:/(?!/)", "file:///", f"{scratch(spark)}/{uuid.uuid4().hex}")
+    return through_shards(materialise(documents(spark, sf_dir), KEY), folder)

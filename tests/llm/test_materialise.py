@@ -1,10 +1,14 @@
+import glob
 import hashlib
+import os
+import re
 
 import numpy as np
 import pytest
 
 from llm import bpe
-from llm.materialise import PAD, TOKEN, materialise, permute, read_from, write_shards
+from llm.common import scratch
+from llm.materialise import KEY, PAD, TOKEN, materialise, permute, query, read_from, write_shards
 
 END = 50256
 
@@ -60,3 +64,18 @@ def test_awkward_rows(awkward, nothing):
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert sum(list(np.frombuffer(r["tokens"], TOKEN)).count(END) for r in rows) == awkward.count()
     assert materialise(nothing, "k").collect() == []
+
+
+def test_query_writes_the_shards_it_returns(spark):
+    rows = sorted(query(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(len(rows))) and rows
+    shards = {}
+    for r in rows:
+        shards.setdefault((r["shard"], r["sequences"], r["sha256"]), []).append(bytes(r["tokens"]))
+    assert len({k[0] for k in shards}) == len(shards)
+    for (_, sequences, digest), tokens in shards.items():
+        assert len(tokens) == sequences and hashlib.sha256(b"".join(tokens)).hexdigest() == digest
+    plain = {(r["slot"], r["doc_id"], r["part"], bytes(r["tokens"])) for r in materialise(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), KEY).collect()}
+    assert plain == {(r["slot"], r["doc_id"], r["part"], bytes(r["tokens"])) for r in rows}
+    files = os.path.join(re.sub("^file:/*", "/", scratch(spark)), "*", "shard-*.bin")
+    assert sum(os.path.getsize(f) for f in glob.glob(files)) >= sum(len(r["tokens"]) for r in rows)
