@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, quoted
+from llm.common import documents, quoted, stored
 
 SHINGLE = 5
 #: Part of a template's shingles that a text must hold, and the probability with which a
@@ -24,7 +24,23 @@ CONTAINMENT, RECALL = 0.8, 0.9999
 _WORD = r"[\p{L}\p{N}]+"
 _HASHES = "array<bigint>"
 
-# License notices by name. Fixed values.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "{} as published by the Free Software Foundation, either version {} of the License, "
+    "or (at your option) any later version."
+)
+_GNU_LINE = "This work is licensed under the GNU {}, version {}."
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+_CC_LINE = "This work is licensed under a Creative Commons {} 4.0 International License."
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form "
+    "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+
+# License notices by name; a suffix from _FORMS tells notices of one license apart. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -56,7 +72,41 @@ TEMPLATES = {
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions"
     ),
+    "AGPL-3.0": _GNU_LINE.format(_AGPL, 3),
+    "AGPL-3.0-header": _GNU.format(_AGPL, 3),
+    "BSD-2-Clause-text": _BSD_2 + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "BSD-3-Clause-text": _BSD_2
+    + (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."
+    ),
+    "CC-BY-NC-4.0-line": _CC_LINE.format("Attribution-NonCommercial"),
+    "CC-BY-SA-4.0-line": _CC_LINE.format("Attribution-ShareAlike"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+        "rights to this software to the public domain worldwide."
+    ),
+    "GPL-2.0": _GNU_LINE.format(_GPL, 2),
+    "GPL-2.0-header": _GNU.format(_GPL, 2),
+    "ISC-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "LGPL-2.1": _GNU_LINE.format(_LGPL, "2.1"),
+    "LGPL-2.1-header": _GNU.format(_LGPL, "2.1"),
+    "LGPL-3.0": _GNU_LINE.format(_LGPL, 3),
+    "LGPL-3.0-header": _GNU.format(_LGPL, 3),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
 }
+_FORMS = "-(header|line|permission|text)$"
 
 
 def window_size(shingles: int) -> int:
@@ -130,6 +180,7 @@ def scan_licenses(
     templates: Mapping[str, str] = TEMPLATES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    decide: bool = False,
 ) -> DataFrame:
     """(doc_id, license, containment, first_word, last_word): the templates in each text.
 
@@ -137,6 +188,10 @@ def scan_licenses(
     the template's shingles the first one, with the places of the first and the last word
     of these shingles in the text, counted from 0.
 
+    With ``decide``, a place where another license was found over the same words, with all
+    the shingles found of this one and more, doesn't count: GPL 2 and 3 differ by a number.
+    If neither license has more of the text, both count.
+
     A window can only share a band with a template if it holds the shingle that is the
     template's minimum there. Texts without any of those shingles are left out first; this
     loses nothing. The table of templates is the caller's and small; it is broadcast.
@@ -215,6 +270,8 @@ def scan_licenses(
         )
         .where(F.col("containment") >= CONTAINMENT)
     )
+    if decide:
+        hits = _decided(hits)
     best = hits.groupBy("_row", "license").agg(
         F.max_by(
             F.struct(
@@ -229,6 +286,35 @@ def scan_licenses(
     return best.select("x.doc_id", "license", "x.containment", "x.first_word", "x.last_word")
 
 
+def _decided(hits: DataFrame) -> DataFrame:
+    """The hits that no other license explains better over the same words."""
+    hits = stored(
+        hits.select(
+            "_row",
+            "doc_id",
+            "at",
+            "license",
+            "places",
+            "containment",
+            F.regexp_replace("license", _FORMS, "").alias("name"),
+            F.array_intersect("own", "shingles").alias("found"),
+            (F.col("at") + F.array_min("places")).alias("from"),
+            (F.col("at") + F.array_max("places") + SHINGLE - 1).alias("to"),
+        )
+    )
+    rivals = hits.select(*[F.col(c).alias(f"r_{c}") for c in ("_row", "name", "found", "from", "to")])
+    return hits.join(
+        rivals,
+        (F.col("_row") == F.col("r__row"))
+        & (F.col("name") != F.col("r_name"))
+        & (F.col("from") <= F.col("r_to"))
+        & (F.col("to") >= F.col("r_from"))
+        & (F.size("r_found") > F.size("found"))
+        & (F.size(F.array_except("found", "r_found")) == 0),
+        "left_anti",
+    )
+
+
 def _windows(size: int, bands: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(max(1, size // 2))),
@@ -242,4 +328,4 @@ def _windows(size: int, bands: int) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir))
+    return scan_licenses(documents(spark, sf_dir), decide=True)

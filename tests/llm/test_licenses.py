@@ -1,8 +1,9 @@
 import random
+import re
 
 import regex
 
-from llm.licenses import CONTAINMENT, TEMPLATES, bands_needed, scan_licenses, window_size
+from llm.licenses import _FORMS, CONTAINMENT, TEMPLATES, bands_needed, scan_licenses, window_size
 
 
 def shingles(text):
@@ -41,6 +42,21 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - shared / (size + n - shared)) ** bands_needed(n) >= 0.9999
 
 
+def test_rivals_over_the_same_words(docs):
+    names = sorted(TEMPLATES)
+    plain = scan_licenses(docs([TEMPLATES[n] for n in names]), decide=True).collect()
+    found = {}
+    for r in plain:
+        found.setdefault(names[r["doc_id"]], set()).add(re.sub(_FORMS, "", r["license"]))
+    assert found == {n: {re.sub(_FORMS, "", n)} for n in names}
+    both = f"{TEMPLATES['GPL-3.0-header']} lorem ipsum {TEMPLATES['GPL-2.0-header']}"
+    gpl_2 = TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2")
+    rows = scan_licenses(docs([both, gpl_2]), decide=True).collect()
+    assert sorted((r["doc_id"], r["license"], r["containment"]) for r in rows) == [
+        (0, "GPL-2.0-header", 1), (0, "GPL-3.0-header", 1), (1, "GPL-2.0-header", 1)
+    ]
+
+
 def test_awkward_rows(awkward, nothing, docs):
     assert scan_licenses(awkward).collect() == []
     assert scan_licenses(nothing).collect() == []
