@@ -7,10 +7,12 @@ import shutil
 import string
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words: space and the ASCII control characters tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -101,3 +103,32 @@ def shipped(df: DataFrame) -> DataFrame:
         context.addPyFile(archive)
         context._llm_shipped = True
     return df
+
+
+def in_batches(
+    df: DataFrame, name: str, function: Callable[[pa.Array], list[pa.Array]], fields: str
+) -> DataFrame:
+    """``df`` with the column ``name`` replaced by the columns that ``function`` makes of it.
+
+    ``function`` gets the column a batch at a time. Columns go by their place, as names may
+    hold dots; other columns named like one of ``fields`` are replaced.
+    """
+    made = StructType.fromDDL(fields)
+    taken = {f.lower() for f in made.fieldNames()} - {name.lower()}
+    df = without(df, taken)
+    at = df.columns.index(name)
+    places = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    schema = StructType([*(f for i, f in enumerate(places.schema.fields) if i != at), *made.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.record_batch([*columns, *function(batch.column(at))], names=schema.fieldNames())
+
+    rows = shipped(places).mapInArrow(run, schema)
+    return rows.toDF(*[c for i, c in enumerate(df.columns) if i != at], *made.fieldNames())
+
+
+def raw_bytes(column: pa.Array) -> list[bytes]:
+    """The bytes of each text or binary value; null is empty."""
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
