@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from llm import bpe, exact_dedup, jaccard_join, licenses, materialise, mixing, pii, repeats, topk, toxicity
+from llm import (
+    bpe,
+    exact_dedup,
+    fertility,
+    jaccard_join,
+    licenses,
+    materialise,
+    mixing,
+    pii,
+    repeats,
+    runs,
+    topk,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_top_k": topk.query,
     "op10_repeats": repeats.query,
+    "op11_periodic_runs": runs.query,
+    "op12_whitening": whitening.query,
+    "op13_fertility": fertility.query,
 }
 
 ORACLES = {

@@ -17,6 +17,15 @@ COLUMNS = {
     "op8_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op9_top_k": ["query_id", "rank", "vec_id", "score"],
     "op10_repeats": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11_periodic_runs": [
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+    ],
+    "op12_whitening": [
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error",
+    ],
+    "op13_fertility": [
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    ],
 }
 
 
@@ -46,7 +55,7 @@ def test_contract_columns(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = {n.split("_")[0] for n in entry.LLM_QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_queries_on_whole_texts(spark):
