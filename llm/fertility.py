@@ -192,7 +192,9 @@ def bands(measured: DataFrame, by: str) -> DataFrame:
         low, middle, high = (F.col(f"_{name}")[i] for i in range(3))
         limits.append((middle - F.greatest(WIDTH * (middle - low), F.lit(least))).alias(f"_{name}_low"))
         limits.append((middle + F.greatest(WIDTH * (high - middle), F.lit(least))).alias(f"_{name}_high"))
-    return rows.select(*limits)
+    # Stored, so that Spark knows the size: few rows are sent to all tasks, and documents of a
+    # common language don't meet in one.
+    return stored(rows.select(*limits))
 
 
 def _outside(measured: DataFrame, limits: DataFrame, by: str, out: str) -> DataFrame:
