@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ from llm.common import documents, shipped, without
 
 #: The vocabulary's file; executors read it at the same place.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Characters that are encoded at once; pieces remembered; bytes of a piece up to which its
-#: merges are applied to the whole.
-CHUNK, REMEMBERED, WHOLE = 1 << 20, 150_000, 256
+#: Characters that are encoded at once; pieces remembered, and up to how many bytes; bytes that
+#: the transducer takes in at a time.
+CHUNK, REMEMBERED, SHORT, BLOCK = 1 << 20, 150_000, 256, 4096
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 # White space as regular expressions over Unicode define it. Fixed values.
@@ -136,7 +137,7 @@ class Bpe:
         self.fits: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a short piece: the first of the best merges, until none is left."""
+        """Tokens of a text of two tokens: the first of the best merges, until none is left."""
         ids = [self.single[b] for b in piece]
         rank_of, none = self.ranks.get, len(self.results)
         ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]  # noqa: B905
@@ -152,41 +153,54 @@ class Bpe:
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their text is encoded."""
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 4 * self.remembered:
-                self.fits.clear()
-            known = self.merged(self.texts[left] + self.texts[right]) == (left, right)
-            self.fits[left, right] = known
+        if len(self.fits) > 4 * self.remembered:
+            self.fits.clear()
+        self.fits[left, right] = known = self.merged(self.texts[left] + self.texts[right]) == (left, right)
         return known
 
     @functools.cached_property
-    def _endings(self) -> set[bytes]:
-        return {t[i:] for t in self.ids for i in range(len(t))}
+    def _backward(self) -> dict:
+        """Tokens as a tree of their bytes from the last to the first; -1 leads to the token."""
+        root: dict = {}
+        for text, token in self.ids.items():
+            node = root
+            for byte in reversed(text):
+                node = node.setdefault(byte, {})
+            node[-1] = token
+        return root
+
+    def _step(self, text: bytes, last: list, done: int | None) -> None:
+        """Take in the places of ``text`` that ``last`` doesn't have yet.
+
+        For each place, the last token of the text up to there is the one that fits the last
+        token before it; exactly one does, most often the longest. -1: no token ends there.
+        """
+        root, fits = self._backward, self.fits
+        for p in range(len(last), len(text) + 1):
+            node, at, ways = root, p - 1, []
+            while at >= 0 and (node := node.get(text[at])):
+                # Where the text kept begins, a token was certain: none before matters
+                # but the one that ended there, kept as ``done``.
+                if (token := node.get(-1)) is not None and last[at] != -1:
+                    ways.append((last[at] if at else done, token))
+                at -= 1
+            found = -1
+            for way in reversed(ways):
+                if way[0] is None or (fits[way] if way in fits else self._fit(*way)):
+                    found = way[1]
+                    break
+            last.append(found)
 
     def streamed(self, blocks: Iterator[bytes]) -> Iterator[int]:
         """Tokens of one piece of any length, as soon as they are certain.
 
-        For each place, the last token of the text up to there is the one that fits the
-        last token before it; exactly one does. Every way on passes one of the places in
-        the lookahead, so what their chains share is certain and leaves the memory.
+        Every way on passes one of the places in the lookahead, so what their chains share
+        is certain and leaves the memory.
         """
-        text, last, done = b"", [None], 0  # last[p]: token that ends at p; text from done
+        text, last, done = b"", [None], None  # last[p]: token that ends at p; text from done
         for block in blocks:
             text += block
-            for p in range(len(last), len(text) + 1):
-                found = None
-                for size in range(1, min(p, self.lookahead) + 1):
-                    part = text[p - size : p]
-                    if part not in self._endings:
-                        break
-                    token = self.ids.get(part)
-                    # Where the text kept begins, a token was certain: none before matters
-                    # but the one that ended there, kept as its token.
-                    if token is not None and last[p - size] != -1:
-                        before = last[p - size] if p > size else done or None
-                        if before is None or self._fit(before, token):
-                            found = token
-                last.append(-1 if found is None else found)
+            self._step(text, last, done)
             open_places = [p for p in range(max(0, len(text) - self.lookahead + 1), len(text) + 1) if last[p] != -1]
             shared = self._shared(last, open_places)
             if shared > 0:
@@ -212,22 +226,30 @@ class Bpe:
         return out[::-1]
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a piece; those of short pieces are remembered for a while.
+        """Tokens of a piece, from the transducer; those of short pieces are remembered for a while.
 
         What was not asked for since the memory was last full is forgotten next time.
         """
-        if len(piece) > WHOLE:
-            return tuple(self.streamed(piece[i : i + 4096] for i in range(0, len(piece), 4096)))
-        if len(self.known) >= self.remembered:
-            self.older, self.known = self.known, {}
-        self.known[piece] = out = self.older.get(piece) or self.merged(piece)
+        out = self.older.get(piece)
+        if out is None:
+            if len(piece) > BLOCK:
+                out = tuple(self.streamed(piece[i : i + BLOCK] for i in range(0, len(piece), BLOCK)))
+            elif (token := self.ids.get(piece)) is not None:
+                out = (token,)  # fits nothing but the beginning, and is the longest way there
+            else:  # one block: the end is known before anything is certain
+                last: list = [None]
+                self._step(piece, last, None)
+                out = tuple(self._chain(last, len(piece)))
+        if len(piece) <= SHORT:
+            if len(self.known) >= self.remembered:
+                self.older, self.known = self.known, {}
+            self.known[piece] = out
         return out
 
     def chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of texts without special tokens, one after the other, and their numbers.
 
-        Equal pieces are looked up once: they are told apart by a 64-bit hash of their
-        bytes, worked out for all pieces together.
+        Equal pieces, by their bytes, are looked up once.
         """
         joined = "".join(texts)
         if not joined:
@@ -240,17 +262,12 @@ class Bpe:
         data = joined.encode()
         begins = offsets[at]
         stops = np.append(begins[1:], len(data))
-        raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            power, inverse = _powers(len(data))
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * power[: len(data)])])
-            keys = (sums[stops] - sums[begins]) * inverse[begins]
-            keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        found = []
-        for a, b in zip(begins[one].tolist(), stops[one].tolist(), strict=True):
-            piece = data[a:b]
-            found.append(self.known.get(piece) or self.piece(piece))
+        # Equal pieces share a number, in the order that they come up first.
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        pieces = map(data.__getitem__, map(slice, begins.tolist(), stops.tolist()))
+        which = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(begins))
+        found = [self.known.get(piece) or self.piece(piece) for piece in numbers]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
@@ -335,25 +352,6 @@ def _cut(text: str, special: int | None) -> Iterator[tuple[str, int | None]]:
     yield text[at:], special
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-@functools.lru_cache(maxsize=1)
-def _powers_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(1 << bits, base, dtype=np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps))
-    return made[0], made[1]
-
-
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, at least ``size`` of each."""
-    return _powers_to(max(21, size.bit_length()))
-
-
 @functools.lru_cache(maxsize=1)
 def load(path: str, remembered: int = REMEMBERED) -> Bpe:
     return Bpe(path, remembered)

@@ -1,5 +1,13 @@
 import pytest
 
+
+def thue_morse(size):
+    """Two different texts of a and b that share every polynomial hash that wraps around, from
+    1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm import bpe
+from tests.llm.conftest import thue_morse
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,23 @@ def test_like_the_library_on_long_pieces(model, library):
     check(model, library, texts)
 
 
+def test_pieces_whose_hashes_collide(model, library, docs):
+    for size in (1024, 2048, 4096):
+        one, other = thue_morse(size)
+        check(model, library, [one + "1" + other, other + " " + one])
+    one, other = thue_morse(1024)
+    texts = [f"w1 w2 w3 w4 {one}", f"w1 w2 w3 w4 {other}"]
+    rows = {r["doc_id"]: r["decoded_sha256"] for r in bpe.digests(docs(texts, parts=1)).collect()}
+    assert rows == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_short_pieces_by_the_transducer_as_by_merges(model):
+    rng = random.Random(5)
+    for _ in range(5000):
+        piece = bytes(rng.choice(b"etaoinsr' 19=.,\xc3\xa9") for _ in range(rng.randrange(1, 30)))
+        assert model.piece(piece) == model.merged(piece)
+
+
 def test_streaming_emits_before_the_end(model):
     text = ("etaoin" * 3000).encode()
     seen = []
