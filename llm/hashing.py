@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,8 +17,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digest(data: bytes | memoryview) -> int:
+    """64 bits of a cryptographic digest, for deciding that bytes are equal."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+class Digests(dict):
+    """Digests by word; fills itself, and starts anew when it holds ``most`` words."""
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = digest(word)
+        return found
+
+
 class Hashes:
-    """Hashes of any ranges of some bytes, from running sums."""
+    """Hashes of any ranges of some bytes, from running sums.
+
+    They serve to choose places and groups alike wherever the same bytes stand. They wrap around, so
+    different bytes of regular structure can share one: equality isn't decided by them.
+    """
 
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import documents, quoted, shipped, stored, without
-from llm.hashing import Hashes, mixed, raw
+from llm.hashing import Hashes, digest, mixed, raw
 
 #: Bytes of a string that counts, bytes of an anchor.
 LEAST, ANCHOR = 400, 64
@@ -52,7 +52,8 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, least: int, anchor: int) -
     side: the anchor begins at most half way (near) or later (far) in the string. ``base``
     is the anchor for near runs and half way before it for far ones, so that all strings
     of a run hold the bytes behind ``base`` that ``key`` is the hash of. ``left``, ``right``:
-    bytes of the run's strings before and from ``base`` on. ``content``: hash of all.
+    bytes of the run's strings before and from ``base`` on. ``content``: digest of all, which
+    runs of a key are equal by.
     """
     empty = {n: np.empty(0, np.int64) for n in ("base", "left", "right", "key", "content")}
     n, width = len(data), least - anchor + 1
@@ -81,7 +82,9 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, least: int, anchor: int) -
         begin, stop = starts[first], starts[last] + least
         shared = np.where(far, half + 1 + anchor, least - half)
         key = mixed(hashes.of(base, base + shared) + far.astype(np.uint64))
-        content = mixed(hashes.of(begin, stop) + (base - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        whole = memoryview(data)
+        content = np.fromiter((digest(whole[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), np.uint64, len(begin))
+        content = mixed(content + (base - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return {
         "base": base,
         "left": base - begin,
@@ -227,14 +230,13 @@ def _expanded(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 
 def _each_string(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(string, row, start): the hash of every string of each member."""
+    """(string, row, start): the digest of every string of each member."""
     for batch in batches:
         for row in batch.to_pylist():
-            data = np.frombuffer(row["before"] + row["after"], np.uint8)
+            data = memoryview(row["before"] + row["after"])
             starts = np.arange(len(data) - least + 1)
             key = np.uint64(row["key"] & (2**64 - 1))
-            with np.errstate(over="ignore"):
-                strings = mixed(Hashes(data).of(starts, starts + least) ^ key)
+            strings = mixed(np.array([digest(data[i : i + least]) for i in starts.tolist()], np.uint64) ^ key)
             yield pa.record_batch(
                 [
                     pa.array(strings.astype(np.int64)),

@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 
+from llm import repeats
 from llm.repeats import remove_repeats, window_minima
+from tests.llm.conftest import thue_morse
 
 
 def by_hand(texts, least):
@@ -63,3 +65,22 @@ def test_awkward_rows(awkward, nothing):
         if r["doc_id"] in (8, 9, 10):  # periodic, so every string starts again a period later
             assert r["n_removed"] == r["n_bytes"] and r["n_spans"] == 1
     assert remove_repeats(nothing).collect() == []
+
+
+def test_passages_whose_hashes_collide(docs):
+    one, other = thue_morse(2048)
+    texts = [f"{a}{b}{c}" for a, b, c in (("x" * 50, one, "1"), ("y" * 50, other, "2"), ("z" * 50, other, "3"))]
+    for least in (40, 400, 1500):
+        frame = docs(texts)
+        assert found(frame, least=least, anchor=8, with_text=False) == dict(enumerate(by_hand(texts, least)))
+        assert found(frame, least=least, anchor=8, members=1, with_text=False) == dict(enumerate(by_hand(texts, least)))
+
+
+def test_query_as_by_hand(spark):
+    """Every document, with the contract's 400 bytes."""
+    path = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    expected = dict(zip(texts, by_hand(list(texts.values()), 400), strict=True))
+    rows = repeats.query(spark, path).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == expected
+    assert any(e[1] for e in expected.values())
