@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 
 from llm.common import documents, quoted, shipped, stored, without
 from llm.components import connected
-from llm.hashing import Hashes, mixed, raw
+from llm.hashing import Digests, mixed, raw
 
 #: Words per shingle; sets are linked from this many per cent of their union on.
 SHINGLE, PER_CENT = 5, 80
 #: Bytes of text that are worked on at once; signatures per bucket, about; members of a
 #: block in which candidates are compared, half of them from each of two deals.
 CHUNK, BUCKET, BLOCK = 1 << 20, 4_000_000, 1024
+#: Shingles of a block's members, about; signatures, and classes, that a task gathers before it
+#: deals them out to the buckets. A place among the classes has 16 bits.
+BLOCK_SHINGLES, DEALT, DEALT_CLASSES = 8_000_000, 1_000_000, 60_000
 #: Sets up to this size choose two of three parts, larger ones a single part of so many
 #: parts per element.
 PAIRED, PARTS = 64, 0.25
@@ -36,10 +39,11 @@ _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25],
     dtype=np.uint64,
 )
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+
+@functools.cache
+def _digests() -> Digests:
+    """Digests of the words a task has met."""
+    return Digests()
 
 
 def _salted(values: np.ndarray, salt: int) -> np.ndarray:
@@ -49,27 +53,26 @@ def _salted(values: np.ndarray, salt: int) -> np.ndarray:
 def shingle_sets(texts: list[memoryview], length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle hash) of the distinct shingles, by text and hash.
 
-    Words are runs of bytes that are no white space, A to Z lower-cased. A text of fewer
-    words is one shingle; a text without words has none.
+    Words are runs of bytes that are no white space, A to Z lower-cased, and count by a
+    cryptographic digest. A text of fewer words is one shingle; a text without words has none.
     """
-    data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACES[data]
-    # Each text is followed by a blank of its own, so no word crosses texts.
-    word = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    if not len(word):
+    words, counts = [], []
+    for text in texts:
+        own = bytes(text).lower().split()
+        words += own
+        counts.append(len(own))
+    if not words:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    text = np.searchsorted(stops, word, "right")
+    counts = np.array(counts, dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), counts)
+    words = np.fromiter(map(_digests().__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
-        words = Hashes(data).of(word, end)
         factors = [_FACTORS[i % 5] ^ np.uint64(i) for i in range(length)]
         n = max(0, len(words) - length + 1)
         total = sum((words[i : i + n] * factors[i] for i in range(length)), np.zeros(n, np.uint64))
         inside = text[:n] == text[len(text) - n :] if n else np.zeros(0, dtype=bool)
         owner, found = text[:n][inside], mixed(total[inside])
         # Texts of fewer words.
-        counts = np.bincount(text, minlength=len(texts))
         first = np.cumsum(counts) - counts
         few = np.flatnonzero((counts > 0) & (counts < length))
         if len(few):
@@ -239,15 +242,36 @@ def _described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         yield _frequent(shingles, len(seen))
 
 
+def _dealt(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """(bucket, classes, signs) of some classes and their signatures: per bucket the classes that
+    sign in it, and 48 bits of each signature with the place of its class in 16 more."""
+    classes, signs = (np.concatenate(part) for part in zip(*held, strict=True))
+    bucket = (signs % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((classes, bucket))
+    classes, signs, bucket = classes[order], signs[order], bucket[order]
+    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    new = first | np.concatenate([[True], classes[1:] != classes[:-1]])
+    number = np.cumsum(new) - 1
+    starts = np.flatnonzero(first)
+    place = number - np.repeat(number[starts], np.diff(np.append(starts, len(signs))))
+    packed = (signs // np.uint64(buckets) << np.uint64(16)) | place.astype(np.uint64)
+    blobs = [p.tobytes() for p in np.split(packed.astype("<u8"), starts[1:])]
+    own = [p.tobytes() for p in np.split(classes[new].astype("<i8"), number[starts[1:]])]
+    return pa.record_batch(
+        [pa.array(bucket[starts].astype(np.int32)), pa.array(own, pa.binary()), pa.array(blobs, pa.binary())],
+        names=["bucket", "classes", "signs"],
+    )
+
+
 def _signed(
     batches: Iterator[pa.RecordBatch], length: int, per_cent: int, frequent: np.ndarray, buckets: int
 ) -> Iterator[pa.RecordBatch]:
-    """(bucket, classes, signs): per lot of texts the signatures that fall into a bucket,
-    48 bits each, with the place of their class among ``classes`` in 16 more."""
+    """The texts' signatures, as ``_dealt`` packs them, some million at a time."""
+    held, signs_held, classes_held = [], 0, 0
     for batch in batches:
         for _, lot in _lots(raw(batch.column("text"))):
-            for at in range(0, len(lot), 1 << 16):
-                part = lot[at : at + (1 << 16)]
+            for at in range(0, len(lot), DEALT_CLASSES // 2):
+                part = lot[at : at + DEALT_CLASSES // 2]
                 owner, found = shingle_sets(part, length)
                 _, c1, _ = _class(owner, found, len(part))
                 values, one = np.unique(c1, return_index=True)
@@ -258,17 +282,14 @@ def _signed(
                 owner, signs = signatures(owner[keep], found[keep], len(part), frequent, per_cent)
                 if not len(owner):
                     continue
-                bucket = (signs % np.uint64(buckets)).astype(np.int64)
-                place = np.searchsorted(values, c1[owner]).astype(np.uint64)
-                packed = (signs // np.uint64(buckets) << np.uint64(16)) | place
-                order = np.argsort(bucket, kind="stable")
-                names, starts = np.unique(bucket[order], return_index=True)
-                own = values.astype("<i8").tobytes()
-                blobs = [p.tobytes() for p in np.split(packed[order].astype("<u8"), starts[1:])]
-                yield pa.record_batch(
-                    [pa.array(names.astype(np.int32)), pa.array([own] * len(names), pa.binary()), pa.array(blobs, pa.binary())],
-                    names=["bucket", "classes", "signs"],
-                )
+                if held and (signs_held + len(signs) > DEALT or classes_held + len(values) > DEALT_CLASSES):
+                    yield _dealt(held, buckets)
+                    held, signs_held, classes_held = [], 0, 0
+                held.append((c1[owner], signs))
+                signs_held += len(signs)
+                classes_held += len(values)
+    if held:
+        yield _dealt(held, buckets)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +315,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(row, blocks, items): the texts' sets, packed."""
+    """(row, copies, blocks, items): the texts' sets, packed."""
     for batch in batches:
         for first, lot in _lots(raw(batch.column("text"))):
             owner, found = shingle_sets(lot, length)
@@ -302,13 +323,13 @@ def _set_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             blobs = [p.astype("<u8").tobytes() for p in np.split(found, cuts)]
             part = batch.slice(first, len(lot))
             yield pa.record_batch(
-                [part.column("row"), part.column("blocks"), pa.array(blobs, pa.binary())],
-                names=["row", "blocks", "items"],
+                [part.column("row"), part.column("copies"), part.column("blocks"), pa.array(blobs, pa.binary())],
+                names=["row", "copies", "blocks", "items"],
             )
 
 
-def linked(sets: list[np.ndarray], per_cent: int = PER_CENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: all pairs are compared, in numbers."""
+def similar_sets(sets: list[np.ndarray], per_cent: int = PER_CENT) -> np.ndarray:
+    """Which pairs of sets are linked, as a matrix: all pairs are compared, in numbers."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -326,7 +347,13 @@ def linked(sets: list[np.ndarray], per_cent: int = PER_CENT) -> list[tuple[int,
         common += table @ table.T
     inter = common.astype(np.int64)
     similar = 100 * inter >= per_cent * (sizes[:, None] + sizes[None, :] - inter)
-    group, forest = list(range(n)), []
+    np.fill_diagonal(similar, False)
+    return similar
+
+
+def forest(similar: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold together what all links hold together."""
+    group, out = list(range(len(similar))), []
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -338,32 +365,40 @@ def linked(sets: list[np.ndarray], per_cent: int = PER_CENT) -> list[tuple[int,
         a, b = root(int(i)), root(int(j))
         if a != b:
             group[max(a, b)] = min(a, b)
-            forest.append((int(i), int(j)))
-    return forest
+            out.append((int(i), int(j)))
+    return out
 
 
 def _compared(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of blocks of candidates; a block's rows come one after the other."""
+    """(a, b, links) of blocks of candidates: links (a, b) of a spanning forest, and, with b null,
+    how many rows a's set is linked with in the block. A block's rows come one after the other.
+
+    Members of one deal meet in several blocks; links among them count where it is at home.
+    """
     held: list[tuple] = []
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int | None, int]] = []
 
     def done():
-        rows = [r for _, r, _ in held]
-        sets = [np.frombuffer(s, "<u8") for *_, s in held]
-        out.extend((rows[i], rows[j]) for i, j in linked(sets, per_cent))
+        rows = [r["row"] for r in held]
+        similar = similar_sets([np.frombuffer(r["items"], "<u8") for r in held], per_cent)
+        out.extend((rows[i], rows[j], 0) for i, j in forest(similar))
+        deal, home = np.array([r["deal"] for r in held]), np.array([r["home"] for r in held])
+        counted = similar & ((deal[:, None] != deal[None, :]) | home[:, None])
+        links = counted @ np.array([r["copies"] for r in held], dtype=np.int64)
+        out.extend((rows[i], None, int(links[i])) for i in np.flatnonzero(links))
         held.clear()
 
-    def batch_of(pairs):
-        a, b = zip(*pairs, strict=True)
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def batch_of(found):
+        a, b, links = zip(*found, strict=True)
+        return pa.record_batch(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"]
+        )
 
     for batch in batches:
-        for block, row, items in zip(
-            batch.column("block").to_pylist(), batch.column("row").to_pylist(), batch.column("items").to_pylist(), strict=True
-        ):
-            if held and held[0][0] != block:
+        for row in batch.to_pylist():
+            if held and held[0]["block"] != row["block"]:
                 done()
-            held.append((block, row, items))
+            held.append(row)
         if out:
             yield batch_of(out)
             out = []
@@ -374,20 +409,21 @@ def _compared(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(row, blocks): names of the blocks that a member of a cluster takes part in, so that
-    every two members that may be similar meet in one.
+    """(row, copies, blocks): names of the blocks that a member of a cluster takes part in, so
+    that every two members that may be similar meet in one.
 
-    A cluster of at most BLOCK members is one block. In larger ones the members of a band
-    are dealt out, half a block each; two deals of one band or of neighbouring bands are a
-    block, and a deal without any other to meet is one by itself.
+    A cluster of at most BLOCK members and BLOCK_SHINGLES shingles is one block. In larger ones
+    the members of a band are dealt out, half a block each; two deals of one band or of
+    neighbouring bands are a block, and a deal without any other to meet is one by itself.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("all"))
+    blocks = lambda rows, items: F.greatest(rows / BLOCK, items / BLOCK_SHINGLES)
+    sizes = members.groupBy("cluster").agg(blocks(F.count("*"), F.sum("n")).alias("all"))
     deals = stored(
         members.groupBy("cluster", "band")
-        .agg(F.count("*").alias("own"))
+        .agg(blocks(F.count("*"), F.sum("n")).alias("own"))
         .join(sizes, "cluster")
-        .where(F.col("all") > BLOCK)
-        .select("cluster", "band", F.ceil(F.col("own") * 2 / BLOCK).cast("int").alias("deals"))
+        .where(F.col("all") > 1)
+        .select("cluster", "band", F.ceil(F.col("own") * 2).cast("int").alias("deals"))
     )
     above = deals.select("cluster", (F.col("band") - 1).alias("band"), F.col("deals").alias("above"))
     below = deals.select("cluster", (F.col("band") + 1).alias("band"), F.col("deals").alias("below"))
@@ -417,7 +453,7 @@ def _blocks(members: DataFrame) -> DataFrame:
         each(F.col("below"), lambda j: name(band - 1, j, band, own)),
     )
     whole = F.array(F.col("cluster").cast("string"))
-    return dealt.select("row", F.when(F.col("deals").isNull(), whole).otherwise(many).alias("blocks"))
+    return dealt.select("row", "copies", F.when(F.col("deals").isNull(), whole).otherwise(many).alias("blocks"))
 
 
 def jaccard_components(
@@ -427,16 +463,18 @@ def jaccard_components(
     length: int = SHINGLE,
     per_cent: int = PER_CENT,
 ) -> DataFrame:
-    """Every row of ``docs`` with ``n_shingles``, ``component_id`` and ``first``.
+    """Every row of ``docs`` with ``n_shingles``, ``component_id``, ``n_links`` and ``first``.
 
     Two rows are linked if their sets of ``length``-word shingles have ``per_cent`` of their
-    union in common. ``component_id`` is the smallest id that links reach; ``first`` is true
-    for one row of each component, one with that id.
+    union in common. ``component_id`` is the smallest id that links reach; ``n_links`` counts
+    the other rows that a row is linked with; ``first`` is true for one row of each component,
+    one with that id.
 
     Equal sets are one class throughout. Signatures go through buckets that hold a bounded
     number each; a class of one lot signs once. What shares a signature, directly or in
     turn, is a cluster, and every two sets of a cluster of possibly similar sizes are
-    compared in blocks of bounded size. Only links of a spanning forest leave a block.
+    compared in blocks of bounded size. Numbers of links and the links of a spanning forest
+    leave a block.
     Frequent shingles, a number bounded by the sets' mean size over ``FREQUENT``, go to the
     tasks as a list; they only save work.
 
@@ -448,7 +486,7 @@ def jaccard_components(
     an empty table gives an empty result; columns of ``docs`` named like a result column
     are replaced.
     """
-    docs = without(docs, ["n_shingles", "component_id", "first"])
+    docs = without(docs, ["n_shingles", "component_id", "n_links", "first"])
     spark = docs.sparkSession
     numbered = shipped(docs).withColumn("_jj_row", F.monotonically_increasing_id())
     texts = numbered.select(
@@ -457,7 +495,7 @@ def jaccard_components(
     told = stored(texts.mapInArrow(lambda it: _described(it, length), "frequent boolean, row long, n long, c1 long, c2 long"))
     sets = told.where("not frequent and n > 0").select("row", "n", "c1", "c2")
     classes = stored(
-        sets.groupBy("c1", "c2").agg(F.min("row").alias("rep"), F.first("n").alias("n"))
+        sets.groupBy("c1", "c2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
     )
     n_classes, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = told.where("frequent").groupBy("c1").agg(F.sum("n").alias("n"))
@@ -473,29 +511,37 @@ def jaccard_components(
     band = F.size(F.filter(F.array(*[F.lit(int(t)) for t in tops]), lambda t: t < F.col("n")))
     members = stored(
         classes.join(clusters, F.col("c1") == F.col("vertex")).select(
-            F.col("rep").alias("row"), F.col("component").alias("cluster"), band.alias("band")
+            F.col("rep").alias("row"), F.col("component").alias("cluster"), band.alias("band"), "n", "copies"
         )
     )
-    links = (
+    compared = stored(
         texts.join(_blocks(members), "row")
-        .select("row", "text", "blocks")
-        .mapInArrow(lambda it: _set_rows(it, length), "row long, blocks array<string>, items binary")
-        .select(F.explode("blocks").alias("block"), "row", "items")
+        .select("row", "copies", "text", "blocks")
+        .mapInArrow(lambda it: _set_rows(it, length), "row long, copies long, blocks array<string>, items binary")
+        .select("row", "copies", "items", F.xxhash64("blocks").alias("deal"), F.posexplode("blocks").alias("at", "block"))
+        .select("block", "row", "copies", "items", "deal", (F.col("at") == 0).alias("home"))
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
         .sortWithinPartitions("block")
-        .mapInArrow(lambda it: _compared(it, per_cent), "a long, b long")
+        .mapInArrow(lambda it: _compared(it, per_cent), "a long, b long, links long")
     )
-    found = connected(links)
+    found = connected(compared.where("b IS NOT NULL").select("a", "b"))
+    degrees = compared.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = (
         classes.join(found, F.col("rep") == F.col("vertex"), "left")
-        .select("c1", "c2", F.coalesce("component", "rep").alias("label"))
+        .join(degrees, F.col("rep") == F.col("a"), "left")
+        .select(
+            "c1",
+            "c2",
+            F.coalesce("component", "rep").alias("label"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        )
     )
     rows = numbered.select(F.col("_jj_row").alias("row"), quoted(id_col).alias("id"))
     placed = stored(
         rows.join(told.where("not frequent").select("row", "n", "c1", "c2"), "row")
         .join(labelled, ["c1", "c2"], "left")
         # A row without a set is its own component; labels are rows, so these are free.
-        .select("row", "id", "n", F.coalesce("label", "row").alias("label"))
+        .select("row", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "row").alias("label"))
     )
     # Stored, so that Spark can split a large component in the join.
     heads = stored(
@@ -507,10 +553,11 @@ def jaccard_components(
         F.col("row").alias("_jj_at"),
         F.col("n").alias("n_shingles"),
         F.col("head_id").alias("component_id"),
+        F.col("links").cast("long").alias("n_links"),
         (F.col("row") == F.col("head.row")).alias("first"),
     )
     return numbered.join(decided, F.col("_jj_row") == F.col("_jj_at")).select(
-        *[quoted(c) for c in docs.columns], "n_shingles", "component_id", "first"
+        *[quoted(c) for c in docs.columns], "n_shingles", "component_id", "n_links", "first"
     )
 
 
@@ -521,4 +568,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from llm import jaccard_join
 from llm.components import connected
 from llm.jaccard_join import bands, drop_near_duplicates, jaccard_components, shingle_sets, signatures
+from tests.llm.conftest import thue_morse
 
 
 def shingles(text, n=5):
@@ -25,15 +27,18 @@ def by_hand(pairs):
             i = group[i]
         return i
 
+    links = [0] * len(pairs)
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
             if a and sets[j] and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
                 group[max(root(i), root(j))] = min(root(i), root(j))
     least = {}
     for i, (doc, _) in enumerate(pairs):
         least[root(i)] = min(least.get(root(i), doc), doc)
-    return {doc: (len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(pairs)}
+    return {doc: (len(sets[i]), least[root(i)], links[i]) for i, (doc, _) in enumerate(pairs)}
 
 
 def corpus(rng, copies):
@@ -56,12 +61,53 @@ def corpus(rng, copies):
     return list(zip(ids, texts, strict=True))
 
 
+def told(rows):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows}
+
+
 def test_components_as_by_hand(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 60)  # the large group takes many blocks
     pairs = corpus(random.Random(5), 150)
     rows = jaccard_components(docs(pairs)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == by_hand(pairs)
-    assert sorted(r["component_id"] for r in rows if r["first"]) == sorted({c for _, c in by_hand(pairs).values()})
+    expected = by_hand(pairs)
+    assert told(rows) == expected
+    assert sorted(r["component_id"] for r in rows if r["first"]) == sorted({c for _, c, _ in expected.values()})
+
+
+def test_blocks_are_bounded_by_shingles_too(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2_000)
+    pairs = corpus(random.Random(6), 90)
+    assert told(jaccard_components(docs(pairs)).collect()) == by_hand(pairs)
+
+
+def test_words_whose_hashes_collide(docs):
+    pairs = []
+    for n, size in enumerate((1024, 2048, 4096)):
+        one, other = thue_morse(size)
+        pairs += [(10 * n + 1, f"w1 w2 w3 w4 {one}"), (10 * n + 2, f"w1 w2 w3 w4 {other}")]
+        pairs += [(10 * n + 3, f"W1 w2 w3 w4 {one}"), (10 * n + 4, f"a{n} b c d {one} e f")]
+    assert told(jaccard_components(docs(pairs, parts=1)).collect()) == by_hand(pairs)
+
+
+def test_query_as_by_hand(spark):
+    path = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
+    expected = by_hand([tuple(r) for r in rows])
+    assert told(jaccard_join.query(spark, path).collect()) == expected
+    assert any(links for *_, links in expected.values())
+
+
+def test_bytes_shipped_hardly_grow_with_the_buckets():
+    rng = random.Random(9)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(rng.choice([20, 300, 2000]))) for _ in range(3000)]
+    size = sum(map(len, texts))
+    batch = pa.record_batch([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])
+    shipped = []
+    for buckets in (51, 1_250, 40_000):
+        frames = list(jaccard_join._signed(iter([batch]), 5, 80, np.empty(0, np.uint64), buckets))
+        # Spark's own part of a row, too.
+        shipped.append(sum(f.nbytes + 32 * f.num_rows for f in frames) / size)
+    assert shipped[0] < 1.2 and shipped[2] < 3 * shipped[0]
 
 
 def test_similar_sets_share_a_signature_whatever_is_frequent():
