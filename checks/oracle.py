@@ -359,7 +359,37 @@ PLAIN = {
         FROM wanted w LEFT JOIN report r
           ON r.kit_product_number = w.kit_number AND r.serial_number = w.serial_number""",
 }
+# Rows that are equal in the report's order follow by all columns.
+_TIES = ", ".join(
+    f"{c} NULLS FIRST"
+    for c in (
+        "kit_product_number kit_edi kit_description serial_number kit_bin component_product_number "
+        "component_prod_id component_description component_quantity_in_kit qty_in_kit qty_avail_sh "
+        "component_bin qty_avail_e01 percent_invalid pieces_missing"
+    ).split()
+)
 PLAIN |= {
+    "standard_pages": """
+        SELECT kit_number, total_pieces, page, count(*) AS entries,
+               string_agg(component || ':' || CAST(component_qty_standard AS VARCHAR), ' ' ORDER BY component) AS listed
+        FROM (
+          SELECT kit_number, component, component_qty_standard, total_pieces,
+                 CAST(floor((row_number() OVER (PARTITION BY kit_number ORDER BY component) - 1) / 8) AS BIGINT) AS page
+          FROM (SELECT kit_number, product_number AS component, component_qty_standard,
+                       count(*) OVER (PARTITION BY kit_number) AS total_pieces
+                FROM standard WHERE product_number IS NOT NULL))
+        GROUP BY ALL""",
+    "kit_standard_in_order": """
+        SELECT *, row_number() OVER (
+            ORDER BY kit_number NULLS LAST, product_number NULLS LAST, kit_edi NULLS FIRST,
+                     kit_id NULLS FIRST, edi NULLS FIRST, description NULLS FIRST,
+                     component_qty_standard NULLS FIRST) AS position
+        FROM standard""",
+    "kit_breakout_in_order": f"""
+        SELECT *, row_number() OVER (
+            ORDER BY percent_invalid DESC NULLS FIRST, kit_product_number NULLS LAST,
+                     serial_number NULLS LAST, component_product_number NULLS LAST, {_TIES}) AS position
+        FROM (SELECT * REPLACE (CAST(percent_invalid AS DOUBLE) AS percent_invalid) FROM report)""",
     "standard_documents": PLAIN["kit_standard_map"],
     "kit_standard_one": f"SELECT * FROM standard WHERE kit_number = '{ONE_KIT}'",
     "kit_standard_function": f"SELECT * FROM standard WHERE kit_number = '{ONE_KIT}'",

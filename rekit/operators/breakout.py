@@ -14,7 +14,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekit.functions.skew import heavy_keys, joined_rows, spread, tile_rows
+from rekit.functions.skew import (
+    BOX,
+    box_rows,
+    heavy_boxes,
+    heavy_keys,
+    in_pieces,
+    joined_rows,
+    positioned,
+    spread,
+    tile_rows,
+    total_rows,
+)
 from rekit.operators.inventory import (
     central_kits,
     kit_bins,
@@ -205,8 +216,12 @@ def _report_serials(tables: Tables, kits=None, requests: DataFrame | None = None
 
 
 def _report_components(tables: Tables, kits=None) -> DataFrame:
-    """Component rows of the report as far as they do not depend on the serial: one per
-    component, bin with loose pieces and kit bin."""
+    """Component rows of the report as far as they do not depend on the serial.
+
+    The report has a row per component, bin with loose pieces and kit bin; here the bins of
+    either kind are lists, ``loose`` and ``bins``, in pieces of bounded size, so that what they
+    multiply to is never shuffled.
+    """
     wanted = _component_ids(tables, kits)
     loose = loose_availability(tables, wanted).withColumnsRenamed(
         {"product_number": "component_product_number", "edi_number": "component_prod_id"}
@@ -214,17 +229,19 @@ def _report_components(tables: Tables, kits=None) -> DataFrame:
     named = named_components(tables, wanted)
     edis = None if wanted is None else named.select(F.col("component_prod_id").alias("prod_id"))
     second = warehouse_availability(tables, edis).withColumnRenamed("prod_id", "component_prod_id")
+    name = ["component_product_number", "component_prod_id"]
+    in_bins = F.struct("component_bin", "qty_avail_sh")
     details = (
         named
         .join(second, "component_prod_id", "left")
-        .join(loose, ["component_product_number", "component_prod_id"], "left")
+        .join(in_pieces(loose, name, in_bins, ["component_bin"], "loose"), name, "left")
     )
     percent = kit_percent_invalid(tables, kits).select(
         F.col("kit_prod_number").alias("kit_product_number"), "kit_edi", "percent_invalid"
     )
-    bins = _shown_bins(tables, kits).select(
-        F.col("kit_prod_number").alias("kit_product_number"), "kit_bin"
-    )
+    places = _shown_bins(tables, kits).withColumnRenamed("kit_prod_number", "kit_product_number")
+    by = ["kit_edi", "kit_description", "kit_bin"]
+    bins = in_pieces(places, ["kit_product_number"], F.col("kit_bin"), by, "bins")
     return (
         kit_components(tables, kits, details)
         .join(bins, "kit_product_number")
@@ -236,7 +253,8 @@ def _report_components(tables: Tables, kits=None) -> DataFrame:
 class _Report:
     """What the report and its counts are made of; a part that is used twice is stored.
 
-    ``components`` is there only if the report rows themselves are asked for.
+    ``components`` is there only if the report rows themselves are asked for; then
+    ``repetition`` also has the number of ``pieces`` that a component's rows are held in.
     """
 
     serials: DataFrame
@@ -245,16 +263,19 @@ class _Report:
     components: DataFrame | None
     shared: Callable[[DataFrame], DataFrame]
 
-    def counts(self) -> tuple[DataFrame, DataFrame, str]:
-        """Serial rows per kit, and component rows per serial."""
+    def sizes(self) -> DataFrame:
+        """Per kit its serial rows, and the component rows of a serial, of all components and of
+        the one with most."""
         key = "kit_product_number"
-        return (
-            self.serials.groupBy(F.col("kit_number").alias(key)).agg(
-                F.sum("serial_rows").alias("left_rows")
-            ),
-            self.repetition.groupBy(key).agg(F.sum("times").alias("right_rows")),
-            key,
+        serials = self.serials.groupBy(F.col("kit_number").alias(key)).agg(
+            F.sum("serial_rows").alias("left_rows")
+        )
+        components = self.repetition.groupBy(key).agg(
+            F.sum("times").alias("right_rows"),
+            F.max("times").alias("most_rows"),
+            F.max("pieces").alias("pieces"),
         )
+        return self.shared(serials.join(components, key))
 
 
 def _report(
@@ -266,12 +287,15 @@ def _report(
     if with_rows:
         components = tables.shared(_report_components(tables, kits))
         standard = F.col("component_quantity_in_kit")
+        bins = F.when(F.col("loose").isNull(), 1).otherwise(F.size("loose")) * F.size("bins")
+        times = bins.cast("long")
         repetition = components.groupBy(
             "kit_product_number", "component_prod_id", "component_product_number"
         ).agg(
-            F.count(F.lit(1)).alias("times"),
-            F.count(standard).alias("known"),
-            F.sum(standard).alias("wanted"),
+            F.sum(times).alias("times"),
+            F.sum(F.when(standard.isNotNull(), times).otherwise(0)).alias("known"),
+            F.sum(times * standard).alias("wanted"),
+            F.count(F.lit(1)).alias("pieces"),
         )
     else:
         repetition = _repetition(tables, kits)
@@ -352,56 +376,87 @@ def _repeat(serials: DataFrame) -> DataFrame:
     ).drop("serial_rows")
 
 
-def _grid(report: _Report, serials: DataFrame, at_once: bool = True) -> DataFrame:
-    """Join serials (kit_product_number, serial_number, ...) with the components of
-    their kit and with what they hold of them.
+def _placed(report: _Report, serials: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Serials (kit_product_number, serial_number, ...) and the components of their kits, with the
+    box of a heavy kit that they meet in."""
+    key = "kit_product_number"
+    heavy = heavy_boxes(sizes, key)
+    item = F.xxhash64("component_product_number", "component_prod_id")
+    return (
+        box_rows(serials, heavy, key, _lt=F.xxhash64("serial_number")),
+        box_rows(report.components, heavy, key, _rt=item, _bt=F.xxhash64("loose_piece", "bins_piece")),
+    )
+
+
+def _met(serials: DataFrame, components: DataFrame, contents: DataFrame, *also: str) -> DataFrame:
+    """Serials with each component of their kit, what they hold of it, and its bins as lists.
 
-    ``at_once`` sizes the tasks for all rows; without it they are left to Spark, for a
-    reader that asks for a kit at a time.
+    The rows that are shuffled to meet the contents don't repeat for every bin.
     """
-    counts, key = report.counts(), "kit_product_number"
-    heavy = report.shared(heavy_keys(*counts))
-    serials = tile_rows(serials, heavy, key, "left", "serial_number")
-    if at_once:
-        serials = spread(serials, joined_rows(*counts), key, "_lt", "_rt")
+    key = ["kit_product_number", *also]
     return (
-        serials.join(
-            tile_rows(
-                report.components,
-                heavy,
-                key,
-                "right",
-                "component_product_number",
-                "component_prod_id",
-                "component_bin",
-                "kit_bin",
-            ),
-            [key, "_lt", "_rt"],
-        )
-        .join(report.contents, [key, "serial_number", "component_prod_id"], "left")
+        serials.join(components, [*key, *BOX])
+        .join(contents, [*key, "serial_number", "component_prod_id"], "left")
         .withColumn("qty_in_kit", F.coalesce("quantity_available", F.lit(0).cast("long")))
     )
 
 
-def kit_breakout(
-    tables: Tables, kits=None, ordered: bool = False, at_once: bool = True
-) -> DataFrame:
-    """The breakout report of all kits, or of the given ones.
+def _expanded(rows: DataFrame) -> DataFrame:
+    """A row for every bin with loose pieces and every kit bin of a row."""
+    return (
+        rows.withColumn("loose", F.explode_outer("loose"))
+        .withColumn("kit_bin", F.explode("bins"))
+        .withColumns({c: F.col(f"loose.{c}") for c in ("component_bin", "qty_avail_sh")})
+    )
 
-    ``at_once`` is as for the grid below it. ``ordered`` sorts it: largest share of invalid kits first with unknown shares
-    leading, then kit, serial and component number with NULLs last.
-    """
+
+def _grid(report: _Report, serials: DataFrame) -> DataFrame:
+    """Report rows of the serials; bins multiply them at the very end."""
+    sizes = report.sizes()
+    serials, components = _placed(report, serials, sizes)
+    serials = spread(serials, total_rows(sizes), "kit_product_number", *BOX)
+    return _expanded(_met(serials, components, report.contents))
+
+
+#: The report's order: the largest share of invalid kits first with unknown shares leading,
+#: then kit, serial and component number with NULLs last.
+REPORT_ORDER = {
+    "percent_invalid": F.desc_nulls_first,
+    "kit_product_number": F.asc_nulls_last,
+    "serial_number": F.asc_nulls_last,
+    "component_product_number": F.asc_nulls_last,
+}
+
+
+def _report_order() -> list:
+    return [direction(column) for column, direction in REPORT_ORDER.items()]
+
+
+def kit_breakout(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
+    """The breakout report of all kits, or of the given ones; ``ordered`` sorts it."""
     report = _report(tables, kits)
     serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
-    rows = _grid(report, serials, at_once).select(*REPORT_COLUMNS)
-    if ordered:
-        rows = rows.orderBy(
-            F.desc_nulls_first("percent_invalid"),
-            F.asc_nulls_last("kit_product_number"),
-            F.asc_nulls_last("serial_number"),
-            F.asc_nulls_last("component_product_number"),
-        )
-    return rows
+    rows = _grid(report, serials).select(*REPORT_COLUMNS)
+    return rows.orderBy(*_report_order()) if ordered else rows
+
+
+def kit_breakout_in_order(tables: Tables, kits=None) -> DataFrame:
+    """The breakout report with each row's ``position`` in the report's order."""
+    return positioned(kit_breakout(tables, kits), *_report_order())
+
+
+def report_parts(tables: Tables) -> dict[str, DataFrame]:
+    """All kits' serials, components and contents, placed so that they join kit by kit."""
+    report = _report(tables)
+    serials = _repeat(_shortfall(report)).withColumnRenamed("kit_number", "kit_product_number")
+    serials, components = _placed(report, serials, report.sizes())
+    return {"serials": serials, "components": components, "contents": report.contents}
+
+
+def join_parts(parts: dict[str, DataFrame], *also: str) -> DataFrame:
+    """The report from its parts, joined by the columns ``also``, too."""
+    rows = _met(parts["serials"], parts["components"], parts["contents"], *also)
+    return _expanded(rows).select(*REPORT_COLUMNS, *also)
 
 
 def _with_absent(rows: DataFrame, report: _Report, requests: DataFrame) -> DataFrame:

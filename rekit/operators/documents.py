@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rekit.functions.skew import positioned
 from rekit.operators.breakout import _grid, _repeat, _report, _shortfall, _with_absent
 from rekit.operators.reassembly import assembly_build_lines, line_count
 from rekit.operators.standard import kit_standard_map
@@ -57,6 +58,37 @@ def breakout_documents(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
+#: Entries of a page, unless the caller says otherwise.
+PAGE = 1_000
+
+
+def standard_pages(tables: Tables, kits=None, size: int = PAGE) -> DataFrame:
+    """kit_number, total_pieces, page, entries: a kit's standard as lists of ``size`` entries by
+    component in byte order; only a kit's last page may have fewer.
+
+    The list of a whole kit would have no bound; a page has one, and pages from 0 on are the list.
+    """
+    entry = F.struct(
+        "component", "standard.edi", "standard.description", "standard.component_qty_standard"
+    )
+    rows = standard_documents(tables, kits).select("kit_number", "total_pieces", entry.alias("entry"))
+    return _paged(rows, ["kit_number", "total_pieces"], "entry", size)
+
+
+def _paged(rows: DataFrame, group: list[str], entry: str, size: int) -> DataFrame:
+    """Entries of a group in lists of ``size``, in order. Places in the order of all groups come
+    first, so no group is ever sorted by one task."""
+    placed = positioned(rows, *group, F.col(entry))
+    firsts = placed.groupBy(*group).agg(F.min("position").alias("_first"))
+    page = F.floor((F.col("position") - F.col("_first")) / size)
+    listed = F.sort_array(F.collect_list(F.struct("position", entry)))
+    return (
+        placed.join(firsts, group)
+        .groupBy(*group, page.alias("page"))
+        .agg(F.transform(listed, lambda e: e[entry]).alias("entries"))
+    )
+
+
 def component_count_documents(fill: DataFrame) -> DataFrame:
     """kit_number, total_pieces, component, leftover: what is left of each component after
     the rebuild, beside the number of pieces there were before it."""

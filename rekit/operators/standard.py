@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rekit.functions.skew import positioned
 from rekit.operators.inventory import _not_excluded, _products, central_kits, unique_kits
 from rekit.sources.tables import Tables
 
@@ -125,6 +126,13 @@ def kit_standard(tables: Tables, kits=None, ordered: bool = False) -> DataFrame:
     return standard
 
 
+def kit_standard_in_order(tables: Tables, kits=None) -> DataFrame:
+    """The standard with each row's ``position`` by kit and component number, NULLs last."""
+    return positioned(
+        kit_standard(tables, kits), F.asc_nulls_last("kit_number"), F.asc_nulls_last("product_number")
+    )
+
+
 def kit_standard_size(tables: Tables, kits=None) -> DataFrame:
     """Number of standard rows per kit (rows, not pieces)."""
     return (

@@ -78,6 +78,31 @@ def _files(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds."""
+    files, place = _files(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(place)]
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see the old text or the new one, nothing between."""
+    files, place = _files(spark, path)
+    fresh = place.suffix(f".{uuid.uuid4().hex}")
+    stream = files.create(fresh)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(place.makeQualified(files.getUri(), place).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(fresh), files.makeQualified(place), options)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 

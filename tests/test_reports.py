@@ -232,6 +232,31 @@ def test_sql_functions(spark, site):
     )
 
 
+def test_a_call_reads_only_the_files_of_its_kit(spark, make_tables, tmp_path):
+    tables = make_tables(**warehouse(1))
+    sql_functions.write_store(tables, str(tmp_path), buckets=64)
+    sql_functions.register_store(spark, str(tmp_path))
+    kits = [r[0] for r in standard.kit_standard(tables).select("kit_number").distinct().collect()]
+    assert len(kits) > 2
+    for function, operator, column in (
+        ("kit_std_breakout", standard.kit_standard, "kit_number"),
+        ("kit_breakout", breakout.kit_breakout, "kit_product_number"),
+    ):
+        every = operator(tables).collect()
+        for kit in [*kits, "unknown"]:
+            called = spark.sql(f"SELECT * FROM {function}(:kit)", args={"kit": kit})
+            expected = [tuple(r) for r in every if r[column] == kit]
+            assert sorted(map(tuple, called.collect()), key=repr) == sorted(expected, key=repr)
+            # The share is known when the query is planned, in every part that it reads.
+            share = spark.sql("SELECT pmod(xxhash64(:kit), 64)", args={"kit": kit}).first()[0]
+            scans = re.findall(r"FileScan parquet .*", plan(called))
+            assert scans
+            for scan in scans:
+                filters = re.search(r"PartitionFilters: \[(.*?)\], Pushed", scan)[1]
+                assert f"= {share})" in filters and "EqualTo" in scan and kit in scan
+        assert spark.sql(f"SELECT * FROM {function}(NULL)").count() == 0
+
+
 # Plans ------------------------------------------------------------------------------
 
 
@@ -307,6 +332,58 @@ def test_command_line(spark, make_tables, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/all/summary").count() > 1
 
 
+def test_a_run_that_is_cut_short_leaves_the_last_one_whole(spark, make_tables, tmp_path, monkeypatch, rows):
+    tables, out = make_tables(**warehouse(100)), str(tmp_path)
+    assert reassemble.latest(spark, out) is None
+    totals = reassemble.save_run(tables, None, out, "one")
+    first = reassemble.latest(spark, out)
+    assert first["run"] == "one" and first["outputs"] == sorted(f.name for f in (tmp_path / "runs" / "one").iterdir())
+    summary = spark.read.parquet(f"{first['folder']}/summary")
+    sums = summary.selectExpr("count(*)", "sum(slots)", "sum(valid_kits)").first()
+    assert totals == first["totals"] == dict(zip(("kits", "serials", "valid_kits"), sums))
+
+    # The second run breaks off while it writes its sheets.
+    written, original = [], sinks.write_csv
+
+    def broken(df, path, **more):
+        written.append(path)
+        if path.endswith("serial_sheets"):
+            raise OSError("lost")
+        original(df, path, **more)
+
+    monkeypatch.setattr(sinks, "write_csv", broken)
+    with pytest.raises(OSError):
+        reassemble.save_run(tables, None, out, "two")
+    assert reassemble.latest(spark, out) == first
+    monkeypatch.setattr(sinks, "write_csv", lambda df, path, **more: written.append(path) or original(df, path, **more))
+    before = (tmp_path / "runs" / "two" / "component_fill" / "_SUCCESS").stat().st_mtime_ns
+    assert reassemble.save_run(tables, None, out, "two") == totals
+    # What was whole stays, the rest is written.
+    assert (tmp_path / "runs" / "two" / "component_fill" / "_SUCCESS").stat().st_mtime_ns == before
+    assert [w.rpartition("/")[2] for w in written] == ["serial_report", "serial_sheets", "serial_sheets"]
+    second = reassemble.latest(spark, out)
+    assert second["run"] == "two" and second["outputs"] == first["outputs"]
+    for name in ("summary", "assembly_status", "component_fill"):
+        assert rows(spark.read.parquet(f"{second['folder']}/{name}")) == rows(spark.read.parquet(f"{first['folder']}/{name}"))
+
+
+def test_pages_have_their_size(make_tables, rows):
+    tables = make_tables(**warehouse(2))
+    entries = {}
+    for r in documents.standard_documents(tables).collect():
+        entries.setdefault((r.kit_number, r.total_pieces), []).append((r.component, *r.standard))
+    for size in (1, 2, 3, 1_000):
+        pages = documents.standard_pages(tables, size=size).collect()
+        found = {}
+        for r in sorted(pages, key=lambda r: r.page):
+            found.setdefault((r.kit_number, r.total_pieces), []).append([tuple(e) for e in r.entries])
+        assert {k: [e for page in v for e in page] for k, v in found.items()} == {
+            k: sorted(v, key=lambda e: e[0].encode()) for k, v in entries.items()
+        }
+        for page_list in found.values():
+            assert all(len(page) == size for page in page_list[:-1]) and 0 < len(page_list[-1]) <= size
+
+
 def test_a_run_leaves_nothing_behind(spark):
     before = session.scratch(spark)
     with session.own_scratch(spark):

@@ -76,6 +76,102 @@ def test_heavy_keys(spark):
     assert heavy == {"a": (450, 1), "c": (1, 4500)}
 
 
+def test_heavy_boxes(spark):
+    """A kit of one row, one of 3,000 components with 300 bins of each kind, one of a single
+    component that stands for most of its rows."""
+    sizes = spark.createDataFrame(
+        [("one", 1, 1, 1, 1), ("wide", 10, 3_000 * 90_000, 90_000, 25), ("deep", 4_000, 1_000_000, 900_000, 400)],
+        "k string, left_rows bigint, right_rows bigint, most_rows bigint, pieces bigint",
+    )
+    found = {r.k: (r._left_tiles, r._right_tiles, r._bin_tiles) for r in skew.heavy_boxes(sizes, "k").collect()}
+    assert found == {"wide": (1, 5_400, 25), "deep": (2, 2, 400)}
+
+
+def test_lists_in_pieces(spark):
+    rows = spark.range(5_000).selectExpr("if(id < 4900, 'hot', 'g' || id) as g", "id as v")
+    found = skew.in_pieces(rows, ["g"], F.col("v"), ["v"], "vs").collect()
+    sizes = [len(r.vs) for r in found if r.g == "hot"]
+    assert sum(sizes) == 4_900 and len(sizes) > 70 and max(sizes) < 2 * skew.PIECE
+    assert sorted(v for r in found for v in r.vs) == list(range(5_000))
+
+
+class Wide:
+    """One kit of 3,000 components, each in 300 bins of loose pieces, in 300 kit bins."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __call__(self, name):
+        from rekit.sources.schema import SCHEMAS
+
+        spark, site, nothing = self.spark, ["3", "1", "370L"], "cast(null as bigint)"
+        if name == "stock":
+            units = spark.range(300).selectExpr(
+                "id", "1000000", "id", "4", *site, "1", "id", "1L", "1L"
+            )
+            contents = spark.range(3_000).selectExpr(
+                "10000000 + id", "id", nothing, "2", *site, "2", "id % 300", "1L", "1 + id % 3"
+            )
+            loose = spark.range(900_000).selectExpr(
+                "20000000 + id", "id % 3000", nothing, "1", *site, "1", "1000 + id div 3000", "1L", "1L"
+            )
+            frame = units.union(contents).union(loose)
+        elif name == "product":
+            frame = spark.range(3_000).selectExpr("id", "'C-' || id", "cast(id as string)", "'part'").union(
+                spark.range(1).selectExpr("1000000", "'K'", "'E'", "'kit'")
+            )
+        elif name == "product_component":
+            frame = spark.range(3_000).selectExpr("1000000", "id", "2L")
+        elif name == "product_serial":
+            frame = spark.range(300).selectExpr("id", "id")
+        elif name == "bin":
+            frame = spark.range(2_000).selectExpr(
+                "id", "if(id < 1000, 'G', 'R')", "cast(id as string)", "'A'"
+            )
+        else:
+            frame = spark.range(0).selectExpr("'1'", "'E01'", "id", "1L", "0L", "date'2020-05-17'")
+        return frame.toDF(*SCHEMAS[name].fieldNames())
+
+
+def test_bins_of_both_kinds_fan_out_in_boxes(spark):
+    """81 billion report rows, from a million rows at most: no box stands for more than a few
+    tiles' worth, and the counts don't need the rows."""
+    from tests.conftest import DAY
+
+    tables = Tables(spark, Wide(spark), as_of=DAY)
+    report = breakout._report(tables)
+    rows = report.components.selectExpr("size(loose) l", "size(bins) b").selectExpr(
+        "count(*)", "sum(l * b)", "max(l * b)"
+    ).first()
+    assert rows[1] == 3_000 * 300 * 300 and rows[0] < 3_000 * 60 and rows[2] < 4 * skew.PIECE**2
+    serials = breakout._repeat(report.serials).withColumnRenamed("kit_number", "kit_product_number")
+    serials = serials.where("serial_number < 2")
+    sizes = report.sizes()
+    assert skew.total_rows(sizes) == 300 * 3_000 * 300 * 300
+    serials, components = breakout._placed(report, serials, sizes)
+    box = ["_lt", "_rt", "_bt"]
+    per_box = components.groupBy(*box).agg(F.sum(F.size("loose") * F.size("bins")).alias("n"))
+    most, whole = per_box.agg(F.max("n"), F.sum("n")).first()
+    tile = skew.TILE_SIDE * skew.PIECE
+    assert whole == 3_000 * 300 * 300 and most < tile
+    assert serials.groupBy("serial_number").count().select("count").distinct().collect() == [
+        (sizes.first()["right_rows"] // skew.TILE_SIDE,)
+    ]
+    missing = breakout.pieces_missing(tables).where("serial_number = 7").first()
+    held = sum(1 + i % 3 for i in range(7, 3_000, 300))
+    assert missing.pieces_missing == (3_000 * 2 - held) * 300 * 300
+
+
+def test_places_in_an_order(spark):
+    rows = spark.range(4_000).selectExpr("if(id % 3 = 0, null, id % 40) as a", "id % 7 as b")
+    placed = skew.positioned(rows, F.desc_nulls_first("a")).collect()
+    key = lambda r: (r.a is not None, -(r.a or 0), r.a is not None, r.a or 0, r.b)
+    assert [r.position for r in sorted(placed, key=lambda r: r.position)] == list(range(1, 4_001))
+    ordered = sorted(placed, key=lambda r: r.position)
+    assert [key(r) for r in ordered] == sorted(key(r) for r in placed)
+    assert skew.positioned(rows.limit(0), F.col("a")).collect() == []
+
+
 def test_every_heavy_key_is_found(spark):
     """However many there are, none is left to a single task."""
     counts = spark.range(5_000).selectExpr("id as k", "10000L as left_rows")
