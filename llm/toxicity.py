@@ -26,8 +26,6 @@ from llm.common import documents, quoted, shipped, stored, without
 
 #: Labelled rows to learn from, at most: those with the smallest md5 of their id.
 TRAINING_ROWS = 20_000
-#: Terms and exception phrases of a lexicon, at most, strongest first.
-MAX_TERMS, MAX_PHRASES = 5_000, 1_000
 #: Lengths of word beginnings that may become terms.
 STEMS = range(3, 9)
 #: Least texts behind a term, least z of its log-odds, least log-odds outside exception
@@ -163,9 +161,10 @@ def _counted(batches: Iterator[pd.DataFrame], terms_of) -> Iterator[pd.DataFrame
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             counts[int(toxic)].update(terms_of(text))
         names = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame(
-            {"term": names, "toxic": [counts[1][n] for n in names], "clean": [counts[0][n] for n in names]}
-        )
+        if names:  # an empty column of no type can't be sent back
+            yield pd.DataFrame(
+                {"term": names, "toxic": [counts[1][n] for n in names], "clean": [counts[0][n] for n in names]}
+            )
 
 
 def _word_terms(text: str) -> set[str]:
@@ -251,7 +250,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
 
 
 def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """A lexicon with threshold from rows (text, toxic); what comes back is bounded."""
+    """A lexicon with threshold from rows (text, toxic).
+
+    Terms and phrases are chosen by their counts alone, as many as there are; as each needs
+    some texts of the bounded sample, the sample bounds them too.
+    """
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -265,8 +268,6 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
             counts.where(F.col("toxic") >= least)
             .withColumns({"weight": weight, "z": weight / spread})
             .where((F.col("weight") >= odds) & (F.col("z") >= min(MIN_Z, 0.5 * least)))
-            .orderBy(F.desc("z"), "term")
-            .limit(MAX_TERMS)
         )
         return {r["term"]: (r["toxic"], r["weight"]) for r in chosen.collect()}
 
@@ -275,8 +276,6 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     harmless = (
         _summed(sample, lambda text: _phrases(text, mixed))
         .where((F.col("toxic") == 0) & (F.col("clean") >= MIN_PHRASE))
-        .orderBy(F.desc("clean"), "term")
-        .limit(MAX_PHRASES)
     )
     phrases = {*map(fold_phrase, exceptions), *(r["term"] for r in harmless.collect())}
     spared = Lexicon(mixed.terms, tuple(sorted(phrases)))

@@ -49,6 +49,17 @@ def test_learning_finds_words_stems_and_exceptions(docs, spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
 
 
+def test_no_term_is_left_out_for_being_one_of_many(spark):
+    """A lexicon of more terms and phrases than any fixed number would let through."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    bad = [f"zz{name(i)}" for i in range(6_000)]
+    rows = [(" ".join(f"x {w}" for w in bad), 1)] * 12 + [(f"plain {name(i)}", 0) for i in range(40)]
+    lexicon = learn(spark.createDataFrame(rows, "text string, toxic int"))
+    terms = [p.strip() for p, _ in lexicon.terms]
+    covered = sum(any(w.startswith(p) for p in terms if p.startswith("zz")) for w in bad[::97])
+    assert covered == len(bad[::97])
+
+
 def test_held_out_rows_are_not_learned_from(docs, spark):
     import zlib
 
