@@ -80,9 +80,13 @@ def leaf_budgets(
     """Token budget of every leaf, from the leaves' token counts.
 
     ``leaves``: the three node names and ``total``. The target is ``share`` (numerator and
-    denominator) of all tokens; a leaf can give its tokens ``max_epochs`` times.
+    denominator) of the tokens on open paths; a leaf can give its tokens ``max_epochs``
+    times. A weight of 0 anywhere on its path closes a leaf: it neither counts nor gives.
     """
-    caps = leaves.withColumn("leaf_cap", (F.col("total") * max_epochs).cast(_EXACT))
+    is_open = F.lit(True)
+    for name, level in zip(_NODES, weights, strict=True):
+        is_open = is_open & (_weight(F.col(name), level) > 0)
+    caps = leaves.where(is_open).withColumn("leaf_cap", (F.col("total") * max_epochs).cast(_EXACT))
     # One number: what the root may give.
     target = F.expr(f"cast(least(sum(total) * {share[0]} div {share[1]}, sum(leaf_cap)) as {_EXACT})")
     whole = F.lit(str(caps.agg(target).first()[0] or 0)).cast(_EXACT)
@@ -97,7 +101,7 @@ def leaf_budgets(
         nodes = nodes.join(budgets, parents) if parents else nodes.withColumn("budget", whole)
         budgets = _fill(nodes, parents, name).select(*path, F.col("_got").alias("budget"))
         parents = path
-    return caps.join(budgets, _NODES, "left").select(
+    return leaves.join(budgets, _NODES, "left").select(
         *_NODES, "total", F.coalesce("budget", F.lit(0)).cast("long").alias("budget")
     )
 
@@ -125,8 +129,10 @@ def mix_sources(
 
     Defined cases: null names are a branch named ''; null texts have no tokens; a leaf
     without tokens gives nothing; rows with equal ids are ordered by their token count;
-    an empty table gives an empty result; a weight of 0 closes a branch. Columns of ``docs``
-    named like a result column are replaced.
+    an empty table gives an empty result; a weight of 0 closes a branch, whose tokens don't
+    count towards the target either; a text longer than its leaf's budget is taken in part,
+    as only its number of tokens matters. Columns of ``docs`` named like a result column are
+    replaced.
     """
     spark = docs.sparkSession
     names = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(path, _NODES, strict=True)]

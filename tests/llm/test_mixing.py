@@ -32,7 +32,9 @@ def by_hand(rows, weights, share, epochs, seed):
     size = lambda t: len((t or "").split())
     leaves = {}
     for r in rows:
-        leaves.setdefault(tuple(x or "" for x in r[2:5]), []).append(r)
+        leaf = tuple(x or "" for x in r[2:5])
+        if all(weights[depth].get(name, 1) for depth, name in enumerate(leaf)):
+            leaves.setdefault(leaf, []).append(r)
     total = {k: sum(size(r[1]) for r in v) for k, v in leaves.items()}
     budgets = {(): min(sum(total.values()) * share[0] // share[1], sum(total.values()) * epochs)}
     for depth in range(3):
@@ -77,6 +79,15 @@ def test_budget_is_met_to_the_token(kept):
     assert found.agg(F.sum("taken")).first()[0] == total * 2 // 3
 
 
+def test_closed_branches_lose_no_tokens(kept):
+    rows = [(i, "w w", "d", ["en", "fr"][i % 2], f"s{i % 3}") for i in range(120)]
+    found = mix_sources(kept(rows, SCHEMA), path(), ({}, {"fr": 0}, {"s0": 0}), (1, 2), 1)
+    assert {(r["lang"], r["source"]) for r in found.collect()} == {("en", "s1"), ("en", "s2")}
+    assert found.agg(F.sum("taken")).first()[0] == 40  # half of 40 texts of two words
+    nested = mix_sources(kept(rows, SCHEMA), path(), ({}, {}, {"s0": 0}), (1, 1), 1)
+    assert nested.agg(F.sum("taken")).first()[0] == 160
+
+
 def test_awkward_rows(awkward, nothing):
     names = [domain(F.col("source")), F.col("lang"), F.col("source")]
     found = mix_sources(awkward, names, ({}, {}, {}), (1, 1), 1)
