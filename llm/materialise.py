@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,10 +188,12 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     files.create_dir(root, recursive=True)
     out = name = digest = None
     shard, count, done = None, 0, []
+    # Another attempt of this task may be writing the same shards.
+    part = f"part-{TaskContext.get().taskAttemptId()}"
 
     def close():
         out.close()
-        files.move(f"{name}.part", name)
+        files.move(f"{name}.{part}", name)
         done.append({"shard": shard, "path": name, "sequences": count, "sha256": digest.hexdigest()})
 
     for batch in batches:
@@ -200,7 +203,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
                     close()
                 shard, count, digest = at.as_py(), 0, hashlib.sha256()
                 name = _shard_name(root, shard)
-                out = files.open_output_stream(f"{name}.part")
+                out = files.open_output_stream(f"{name}.{part}")
             out.write(tokens.as_buffer())
             digest.update(tokens.as_buffer())
             count += 1
@@ -214,7 +217,8 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the shards of ``materialise`` as files into a shared folder (a URI).
 
     Returns the manifest: shard, path, sequences, sha256. A file appears under its name
-    only when whole; a repeated task writes the same bytes again.
+    only when whole; a repeated task writes the same bytes again, and attempts that run at
+    the same time write under names of their own until then.
     """
     return shipped(ordered).select("shard", "tokens").mapInArrow(
         lambda it: _written(it, folder), "shard long, path string, sequences long, sha256 string"
@@ -265,6 +269,8 @@ def through_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> D
     The rows are those of ``ordered`` with the tokens as the files hold them, and
     ``sequences`` and ``sha256`` of their shard. A range of slots is held by its task
     without the tokens.
+
+    Defined cases: those of ``materialise``, whose rows these are; no rows write no file.
     """
     types = {c: t for c, t in ordered.dtypes if c != "tokens"} | {"sequences": "bigint", "sha256": "string"}
     schema = ", ".join(f"{c} {t}" for c, t in types.items())

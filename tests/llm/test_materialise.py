@@ -4,10 +4,13 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import llm.materialise as materialise_module
 from llm import bpe
 from llm.common import scratch
+from llm.hashing import mixed
 from llm.materialise import KEY, PAD, TOKEN, materialise, permute, query, read_from, write_shards
 
 END = 50256
@@ -22,6 +25,65 @@ def test_permutation(size):
         assert (slots != permute(np.arange(size), size, "other")).any()
 
 
+def plain_slot(index, size, key):
+    """Six rounds on two halves of whole numbers, walked until inside."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    stream = hashlib.shake_256(key.encode()).digest(48)
+    keys = [int.from_bytes(stream[i : i + 8], "little") for i in range(0, 48, 8)]
+    x = index
+    while True:
+        left, right = x >> half, x % 2**half
+        for k in keys:
+            left, right = right, left ^ plain_mix((right + k) % 2**64) % 2**half
+        x = right * 2**half + left
+        if x < size:
+            return x
+
+
+def plain_mix(x):
+    return int(mixed(np.array([x], np.uint64))[0])
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 16, 17, 300])
+def test_slots_as_a_plain_feistel_network(size):
+    assert [int(s) for s in permute(np.arange(size), size, "k")] == [plain_slot(i, size, "k") for i in range(size)]
+
+
+def test_attempts_write_under_names_of_their_own(docs, tmp_path, monkeypatch):
+    names = []
+    real = materialise_module.pafs.FileSystem.from_uri
+
+    class Seen:
+        def __init__(self, files):
+            self.files = files
+
+        def open_output_stream(self, name):
+            names.append(name)
+            return self.files.open_output_stream(name)
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    class Attempt:
+        number = 0
+
+        def taskAttemptId(self):
+            Attempt.number += 1
+            return Attempt.number
+
+    def from_uri(uri):
+        files, root = real(uri)
+        return Seen(files), root
+
+    monkeypatch.setattr(materialise_module, "pafs", type("Files", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(from_uri)})}))
+    monkeypatch.setattr(materialise_module, "TaskContext", type("Context", (), {"get": staticmethod(Attempt)}))
+    batch = pa.record_batch({"shard": pa.array([0, 0]), "tokens": pa.array([b"ab", b"cd"])})
+    first = materialise_module._written(iter([batch]), f"file://{tmp_path}")
+    manifests = [next(first).to_pylist(), next(materialise_module._written(iter([batch]), f"file://{tmp_path}")).to_pylist()]
+    assert manifests[0] == manifests[1] and len(set(names)) == 2
+    assert os.listdir(tmp_path) == ["shard-000000000000.bin"]
+
+
 def texts_of(rows):
     parts = {}
     for r in rows:
