@@ -423,7 +423,11 @@ def _digested(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the text decoded from them."""
+    """doc_id, n_tokens and the digests of ids and of the text decoded from them.
+
+    Defined cases: null and empty texts have no tokens and decode to the empty text; equal
+    rows give equal results; an empty table gives an empty result; other columns aren't read.
+    """
     return shipped(docs.select("doc_id", "text")).mapInArrow(
         lambda it: _digested(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
