@@ -105,6 +105,41 @@ def test_words_of_the_whole_text_of_any_length(docs):
         assert "and" not in marked and "zebulon" not in rows[i]["sanitised"].lower()
 
 
+def test_words_around_rare_entities_of_one_domain(docs):
+    texts = [f"{w} of Quuxcorp asks {w}.x@desk.quux.net" for w in ("anna", "berta", "clara")]
+    texts += [f"plain note number {i} asks nothing of anyone" for i in range(200)]
+    rows = {r["doc_id"]: r for r in sanitise(docs(texts)).collect()}
+    for i in range(3):
+        assert [frame_text(texts[i], s) for s in rows[i]["spans"] if s["kind"] == "term"] == ["Quuxcorp"]
+        assert rows[i]["sanitised"] == f"{texts[i].split()[0]} of  asks [EMAIL]"
+    assert all(rows[i]["sanitised"] == texts[i] for i in range(3, len(texts)))
+
+
+def sanitised_by_hand(text, spans):
+    """A pattern of what may be left, as a span doesn't tell a word's share."""
+    out, at = "", 0
+    for s in spans:
+        if s["s"] >= at:
+            by = r"(?:|\[WORD\])" if s["kind"] == "term" else re.escape(f"[{s['kind'].upper()}]")
+            out += re.escape(text[at : s["s"]]) + by
+        at = max(at, s["e"])
+    return out + re.escape(text[at:])
+
+
+def test_sanitised_as_by_hand_over_block_ends(docs):
+    texts = [f"{'é😀' * n}a@b.co 1.2.3.4@x.yz {'- ' * n}+1 (555) 555-5555" for n in (0, 300, 507, 508, 509, 510, 511, 512, 700)]
+    texts += [c for c in CASES if c and len(c) < 100]
+    for r in sanitise(docs(texts)).collect():
+        assert re.fullmatch(sanitised_by_hand(texts[r["doc_id"]], r["spans"]), r["sanitised"])
+
+
+def test_very_many_matches_in_a_text(docs):
+    text = "1.2.3.4 " * 100_000
+    row = sanitise(docs([text, "plain"])).where("doc_id = 0").first()
+    assert len(row["spans"]) == 100_000 and row["spans"][-1]["e"] == len(text) - 1
+    assert row["sanitised"] == "[IP] " * 100_000
+
+
 def test_copies_are_no_evidence(docs):
     found = sanitise(docs(["Zebulon wrote from zeb@mail.org"] * 9 + ["none"] * 5)).collect()
     assert not any(s["kind"] == "term" for r in found for s in r["spans"])
@@ -117,6 +152,26 @@ def test_awkward_rows(awkward, nothing):
     assert set(PATTERNS) == set(KINDS)
 
 
+def test_query_returns_the_sanitised_text(spark):
+    import hashlib
+
+    from llm.pii import query
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    made = {r["doc_id"]: r["sanitised"] for r in sanitise(docs).collect()}
+    rows = query(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        spans = by_hand(text)
+        listed = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(x[3] == k for x in spans) for k in KINDS]
+        assert r["sanitised_sha256"] == hashlib.sha256(made[r["doc_id"]].encode()).hexdigest()
+        assert r["sanitised_chars"] == len(made[r["doc_id"]]) and (spans or made[r["doc_id"]] == text)
+
+
 def test_no_python_in_the_plan(docs, capsys):
     sanitise(docs(["a@b.co"])).explain()
     assert "Python" not in capsys.readouterr().out
