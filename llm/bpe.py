@@ -134,10 +134,19 @@ class Bpe:
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.rules: dict[int, tuple[int, int, int]] = {}
+        self.in_order, made = True, set(self.single)
+        for (left, right), rank in self.ranks.items():
+            token = self.results[rank]
+            self.in_order &= left in made and right in made and token not in made
+            self.rules[token] = (left, right, rank)
+            made.add(token)
+        self.sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.prefixes = {t[:i] for t in tokens for i in range(len(t) + 1)}
+        self._forget()
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a text of two tokens: the first of the best merges, until none is left."""
+        """Tokens of a short text: the first of the best merges, until none is left."""
         ids = [self.single[b] for b in piece]
         rank_of, none = self.ranks.get, len(self.results)
         ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]  # noqa: B905
@@ -151,45 +160,105 @@ class Bpe:
                 ranks[at] = rank_of((ids[at], ids[at + 1]), none)
         return tuple(ids)
 
-    def _fit(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay apart when their text is encoded."""
-        if len(self.fits) > 4 * self.remembered:
-            self.fits.clear()
-        self.fits[left, right] = known = self.merged(self.texts[left] + self.texts[right]) == (left, right)
+    def _side(self, token: int, part: int) -> list[tuple[int, int]]:
+        """What stands at the left (0) or right (1) end of a token's text while it is merged,
+        each with the rank of the merge that ends it; empty if its text becomes other tokens."""
+        known = self.sides.get((token, part))
+        if known is None:
+            known = []
+            if self.merged(self.texts[token]) == (token,):
+                known, at = [(token, len(self.results))], token
+                while at in self.rules:
+                    rule = self.rules[at]
+                    at = rule[part]
+                    known.append((at, rule[2]))
+                known.reverse()
+            self.sides[token, part] = known
         return known
 
-    @functools.cached_property
-    def _backward(self) -> dict:
-        """Tokens as a tree of their bytes from the last to the first; -1 leads to the token."""
-        root: dict = {}
-        for text, token in self.ids.items():
-            node = root
-            for byte in reversed(text):
-                node = node.setdefault(byte, {})
-            node[-1] = token
-        return root
-
-    def _step(self, text: bytes, last: list, done: int | None) -> None:
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses from one token's text into the other's.
+
+        Merges happen by rank, of equal ones the leftmost first. So the ends that meet at
+        the border are known at every rank, and only their pairs can merge across it.
+        """
+        ends, begins = self._side(left, 1), self._side(right, 0)
+        if not ends or not begins:
+            return False
+        never, i, j = len(self.results), 0, 0
+        while True:
+            (a, a_stop), (b, b_stop) = ends[i], begins[j]
+            rank = self.ranks.get((a, b), never)
+            if rank < a_stop and rank <= b_stop and rank < never:
+                return False
+            if a_stop == b_stop == never:
+                return True
+            if a_stop <= b_stop:
+                i += 1
+            else:
+                j += 1
+
+    def fit(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay apart when their text is encoded."""
+        if self.in_order:  # every token has one rule, after those of its parts
+            return self._apart(left, right)
+        return self.merged(self.texts[left] + self.texts[right]) == (left, right)
+
+    def _forget(self) -> None:
+        """Start the automaton afresh; a state in use stays valid."""
+        self.states: dict[bytes, dict] = {}
+        self.fits: dict[int, dict[int, bool]] = {}  # by the right token, then the left one
+        self.learnt = 0
+        self.start = self._state(b"")
+
+    def _state(self, text: bytes) -> dict:
+        """The automaton's state after ``text``: where each byte leads, as far as it was asked,
+        under -1 the tokens that end here (size, token, which tokens before are known to fit
+        or not), longest first, under -2 the text."""
+        while text not in self.prefixes:
+            text = text[1:]
+        state = self.states.get(text)
+        if state is None:
+            ends = [self.ids[t] for i in range(len(text)) if (t := text[i:]) in self.ids]
+            state = {-1: tuple((len(self.texts[t]), t, self.fits.setdefault(t, {})) for t in ends), -2: text}
+            self.states[text] = state
+        return state
+
+    def _go(self, state: dict, byte: int) -> dict:
+        self.learnt += 1
+        state[byte] = to = self._state(state[-2] + bytes((byte,)))
+        return to
+
+    def _step(self, text: bytes, last: list) -> None:
         """Take in the places of ``text`` that ``last`` doesn't have yet.
 
         For each place, the last token of the text up to there is the one that fits the last
         token before it; exactly one does, most often the longest. -1: no token ends there.
+        Where the text kept begins, a token was certain: none before matters but the one that
+        ended there, ``last[0]``.
         """
-        root, fits = self._backward, self.fits
-        for p in range(len(last), len(text) + 1):
-            node, at, ways = root, p - 1, []
-            while at >= 0 and (node := node.get(text[at])):
-                # Where the text kept begins, a token was certain: none before matters
-                # but the one that ended there, kept as ``done``.
-                if (token := node.get(-1)) is not None and last[at] != -1:
-                    ways.append((last[at] if at else done, token))
-                at -= 1
+        if self.learnt > 8 * self.remembered:
+            self._forget()
+        go, add = self._go, last.append
+        state, begin = self.start, len(last) - 1
+        for byte in text[max(0, begin - self.lookahead) : begin]:
+            state = state.get(byte) or go(state, byte)
+        for p, byte in enumerate(text[begin:], begin + 1):
+            state = state.get(byte) or go(state, byte)
             found = -1
-            for way in reversed(ways):
-                if way[0] is None or (fits[way] if way in fits else self._fit(*way)):
-                    found = way[1]
+            for size, token, fits in state[-1]:
+                if size > p or (before := last[p - size]) == -1:
+                    continue
+                if before is None or (known := fits.get(before)):
+                    found = token
                     break
-            last.append(found)
+                if known is None:
+                    self.learnt += 1
+                    fits[before] = known = self.fit(before, token)
+                    if known:
+                        found = token
+                        break
+            add(found)
 
     def streamed(self, blocks: Iterator[bytes]) -> Iterator[int]:
         """Tokens of one piece of any length, as soon as they are certain.
@@ -197,16 +266,16 @@ class Bpe:
         Every way on passes one of the places in the lookahead, so what their chains share
         is certain and leaves the memory.
         """
-        text, last, done = b"", [None], None  # last[p]: token that ends at p; text from done
+        text, last = b"", [None]  # last[p]: token that ends at p
         for block in blocks:
             text += block
-            self._step(text, last, done)
+            self._step(text, last)
             open_places = [p for p in range(max(0, len(text) - self.lookahead + 1), len(text) + 1) if last[p] != -1]
             shared = self._shared(last, open_places)
             if shared > 0:
                 out = self._chain(last, shared)
                 yield from out
-                done, text, last = out[-1], text[shared:], [None, *last[shared + 1 :]]
+                text, last = text[shared:], [out[-1], *last[shared + 1 :]]
         yield from self._chain(last, len(text))
 
     def _shared(self, last: list, places: list[int]) -> int:
@@ -238,7 +307,7 @@ class Bpe:
                 out = (token,)  # fits nothing but the beginning, and is the longest way there
             else:  # one block: the end is known before anything is certain
                 last: list = [None]
-                self._step(piece, last, None)
+                self._step(piece, last)
                 out = tuple(self._chain(last, len(piece)))
         if len(piece) <= SHORT:
             if len(self.known) >= self.remembered:

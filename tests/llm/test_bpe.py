@@ -57,6 +57,25 @@ def test_short_pieces_by_the_transducer_as_by_merges(model):
         assert model.piece(piece) == model.merged(piece)
 
 
+def test_neighbours_that_fit_as_merges_say(model):
+    rng = random.Random(6)
+    near = [t for t, text in enumerate(model.texts) if text and set(text) <= set(b"aeinrst ")]
+    for _ in range(20000):
+        left, right = rng.choice(near), rng.choice(near)
+        assert model.fit(left, right) == (model.merged(model.texts[left] + model.texts[right]) == (left, right))
+
+
+def test_small_memory_and_merges_out_of_order(library):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["the", " in", "g", "é", "1", "  ", "st"]) for _ in range(300)) for _ in range(50)]
+    small = bpe.Bpe(bpe.VOCABULARY, 20)
+    check(small, library, texts)
+    assert small.in_order and small.learnt < 8 * 20 + 8 * 300
+    small.in_order = False
+    small._forget()
+    check(small, library, texts)
+
+
 def test_streaming_emits_before_the_end(model):
     text = ("etaoin" * 3000).encode()
     seen = []
