@@ -408,4 +408,5 @@ def remove_repeats(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    rows = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    return rows.withColumns({"n_kept": F.expr("n_bytes - n_removed"), "has_repeats": F.expr("n_removed > 0")})

@@ -84,3 +84,4 @@ def test_query_as_by_hand(spark):
     rows = repeats.query(spark, path).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == expected
     assert any(e[1] for e in expected.values())
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] and r["has_repeats"] == (r["n_removed"] > 0) for r in rows)
