@@ -153,6 +153,11 @@ def _said(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
 
 
+def _words(found: DataFrame) -> DataFrame:
+    """(_row, term), once for each word of a row outside its spans."""
+    return found.select("_row", F.explode(F.array_distinct(_said(F.col("_masked")))).alias("term"))
+
+
 def _matched(text: Column, rank: int, found: Column) -> Column:
     """A kind's matches in order: array of (rank, gap, hit), the gap being the number of code
     points since the match before."""
@@ -244,17 +249,16 @@ def disclosing_terms(found: DataFrame, docs: DataFrame | None = None) -> DataFra
     )
     held = stored(held.join(known, "entity"))
     most = held.agg(F.max("n_e")).first()[0] or 0
-    words = lambda rows: rows.select("_row", F.explode(F.array_distinct(_said(F.col("_masked")))).alias("term"))
     # As n_te is n_e at most, a word of more texts than this can't reach the threshold.
     limit = lambda n_e: F.pow(n_e, F.lit(GENERALISE)) * F.pow(F.lit(n), F.lit(1 - GENERALISE)) * (1 + 1e-9)
     counts = (
-        words(texts)
+        _words(texts)
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
         .where((F.col("n_t") >= SUPPORT) & (F.col("n_t") <= limit(F.lit(most))))
     )
     holding = texts.where(F.size("_spans") > 0).join(held.select("_row").distinct(), "_row", "left_semi")
-    beside = words(holding).join(counts, "term")
+    beside = _words(holding).join(counts, "term")
     pairs = (
         held.join(beside, "_row")
         .where(F.col("n_t") <= limit(F.col("n_e")))
@@ -272,8 +276,15 @@ def mark_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``found`` with spans, with ``_terms``: (s, e, share) of all the words that
     disclose an entity of the row, each with its largest share."""
     found = found.where(F.size("_spans") > 0)
+    # An entity that many rows hold can have as many terms: only those that a row says are its own.
+    terms = stored(terms)
+    held = _entities(found).join(terms.select("entity").distinct(), "entity", "left_semi")
+    said = (
+        _words(found.join(held.select("_row").distinct(), "_row", "left_semi"))
+        .join(terms.select("term").distinct(), "term", "left_semi")
+    )
     told = stored(
-        _entities(found).join(terms, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+        said.join(held, "_row").join(terms, ["entity", "term"]).groupBy("_row", "term").agg(F.max("share").alias("share"))
     )
     # Words and the text between them alternate: a running sum of lengths gives the places.
     gaps = F.transform(F.split("_masked", _WORD, -1), F.char_length)

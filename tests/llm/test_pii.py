@@ -3,7 +3,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from llm.pii import KINDS, PATTERNS, disclosing_terms, find_entities, sanitise
+from llm import pii
+from llm.pii import KINDS, PATTERNS, disclosing_terms, find_entities, mark_terms, sanitise
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -115,6 +116,17 @@ def test_words_around_rare_entities_of_one_domain(docs):
     assert all(rows[i]["sanitised"] == texts[i] for i in range(3, len(texts)))
 
 
+def test_rows_of_a_common_domain_meet_only_the_terms_they_say(docs, spark, monkeypatch):
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    found = find_entities(docs([f"{n} asks {n}@mail.org" for n in names]))
+    terms = spark.createDataFrame([("email:@mail.org", n, 1.0) for n in names], "entity string, term string, share double")
+    written = []
+    monkeypatch.setattr(pii, "stored", lambda df, stored=pii.stored, **options: written.append(stored(df, **options)) or written[-1])
+    rows = mark_terms(found, terms).collect()
+    assert len(rows) == len(names) and all([(t["s"], t["e"]) for t in r["_terms"]] == [(0, 2)] for r in rows)
+    assert [f.count() for f in written] == [len(names)] * 2
+
+
 def sanitised_by_hand(text, spans):
     """A pattern of what may be left, as a span doesn't tell a word's share."""
     out, at = "", 0
