@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
-from llm.common import documents, shipped, without
+from llm.common import documents, in_worker, shipped, without
 
 #: The vocabulary's file; executors read it at the same place.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -421,9 +421,8 @@ def _cut(text: str, special: int | None) -> Iterator[tuple[str, int | None]]:
     yield text[at:], special
 
 
-@functools.lru_cache(maxsize=1)
 def load(path: str, remembered: int = REMEMBERED) -> Bpe:
-    return Bpe(path, remembered)
+    return in_worker(Bpe, path, remembered)
 
 
 def _texts(column: pa.Array) -> list[str]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, quoted, shipped, stored, without
+from llm.common import documents, in_worker, quoted, shipped, stored, without
 from llm.components import connected
 from llm.hashing import Digests, mixed, raw
 
@@ -40,11 +40,6 @@ _FACTORS = np.array(
     dtype=np.uint64,
 )
 
-@functools.cache
-def _digests() -> Digests:
-    """Digests of the words a task has met."""
-    return Digests()
-
 
 def _salted(values: np.ndarray, salt: int) -> np.ndarray:
     return mixed(values ^ np.uint64((salt * 0xA0761D6478BD642F) & (2**64 - 1)))
@@ -65,7 +60,7 @@ def shingle_sets(texts: list[memoryview], length: int = SHINGLE) -> tuple[np.nda
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     counts = np.array(counts, dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), counts)
-    words = np.fromiter(map(_digests().__getitem__, words), np.uint64, len(words))
+    words = np.fromiter(map(in_worker(Digests).__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         factors = [_FACTORS[i % 5] ^ np.uint64(i) for i in range(length)]
         n = max(0, len(words) - length + 1)

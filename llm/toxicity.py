@@ -8,7 +8,6 @@ sum of weights is normalised by the text's length.
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections import Counter
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import documents, quoted, shipped, stored, without
+from llm.common import documents, in_worker, quoted, shipped, stored, without
 
 #: Labelled rows to learn from, at most: those with the smallest md5 of their id.
 TRAINING_ROWS = 20_000
@@ -107,7 +106,6 @@ class Lexicon:
         return self.terms, self.exceptions
 
 
-@functools.lru_cache(maxsize=4)
 def _automaton(terms, exceptions):
     machine = ahocorasick.Automaton()
     for phrase in exceptions:
@@ -122,7 +120,7 @@ def _automaton(terms, exceptions):
 def matches(folded: str, lexicon: Lexicon) -> list[tuple[int, str, float]]:
     """(start, pattern, weight) of the matches that count: the longest at each place,
     outside exception phrases."""
-    machine = _automaton(*lexicon.key())
+    machine = in_worker(_automaton, *lexicon.key())
     if not len(machine):
         return []
     found: dict[int, tuple[str, float]] = {}

@@ -1,9 +1,13 @@
 import random
+import weakref
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm import bpe, mixing, toxicity
+from llm.common import in_worker
+from llm.hashing import Digests
+from llm.jaccard_join import shingle_sets
 from tests.llm.test_jaccard_join import by_hand as components_by_hand
 from tests.llm.test_mixing import by_hand as mix_by_hand
 
@@ -44,3 +48,15 @@ def test_run_against_a_plain_version(spark, kept, tmp_path):
     expected = sorted((str(d), len(tokens.encode(texts[str(d)], add_special_tokens=False).ids)) for d, *_ in drawn)
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted(("null" if r["doc_id"] is None else str(r["doc_id"]), r["n_tokens"]) for r in got) == expected
+
+
+def test_a_worker_keeps_what_one_stage_learnt_not_all():
+    model = weakref.ref(bpe.load(bpe.VOCABULARY))
+    list(model().encode(["some words"]))
+    assert bpe.load(bpe.VOCABULARY) is model()
+    shingle_sets([memoryview(b"a b c d e f")])
+    assert model() is None
+    words = weakref.ref(in_worker(Digests))
+    assert b"a" in words()
+    assert toxicity.matches(" fool ", toxicity.Lexicon(((" fool ", 2.0),))) == [(0, " fool ", 2.0)]
+    assert words() is None
