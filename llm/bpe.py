@@ -12,10 +12,10 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,15 +330,13 @@ class Bpe:
         offsets = np.concatenate([[0], np.cumsum(wide)])
         data = joined.encode()
         begins = offsets[at]
-        stops = np.append(begins[1:], len(data))
         # Equal pieces share a number, in the order that they come up first.
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        pieces = map(data.__getitem__, map(slice, begins.tolist(), stops.tolist()))
-        which = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(begins))
-        found = [self.known.get(piece) or self.piece(piece) for piece in numbers]
+        cuts = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        found = [self.known.get(piece) or self.piece(piece) for piece in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
         per_piece = sizes[which]
         to = np.cumsum(per_piece)

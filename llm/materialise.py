@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import VOCABULARY, load
-from llm.common import documents, quoted, scratch, shipped, stored
+from llm.common import documents, quoted, scratch, shipped, stored, stored_in_turn
 from llm.hashing import mixed, raw
 
 #: Tokens per sequence, sequences per shard, bytes of a range partition at most.
 SEQUENCE, SHARD, PARTITION_BYTES = 1024, 4096, 32 << 20
+#: Passes over the stored ids that write shards, at most; each shuffles its share of the sequences.
+PASSES = 4
 #: A token's bytes: little-endian, unsigned. The largest number is padding, no token.
 TOKEN = np.dtype("<u2")
 #: Pieces that a task remembers while it encodes; nothing else takes its memory here.
@@ -95,28 +97,44 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def _placed(
-    batches: Iterator[pa.RecordBatch], first: dict[int, tuple[int, int]], size: int, length: int, key: str
+    batches: Iterator[pa.RecordBatch],
+    first: dict[int, tuple[int, int]],
+    size: int,
+    length: int,
+    key: str,
+    start: int,
+    stop: int,
 ) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, doc, part, tokens) of a partition's tokens."""
+    """Rows (slot, doc, part, tokens) of a partition's tokens, those of slots from ``start`` to before ``stop``."""
     at = end = None
     for batch in batches:
         if not batch.num_rows:
             continue
         if at is None:
             at, end = first[batch.column("_pid")[0].as_py()]
-        tokens, counts = sequences(batch.column("_tokens"), length)
+        counts = -(-pc.binary_length(batch.column("_tokens")).to_numpy() // (length * TOKEN.itemsize))
         total = int(counts.sum())
         if at + total > end:
             raise RuntimeError("the input gave other rows than when it was counted")
         slots = permute(np.arange(at, at + total), size, key)
         at += total
-        offsets = pa.array(np.arange(total + 1, dtype=np.int32) * (length * TOKEN.itemsize))
+        mine = (slots >= start) & (slots < stop)
+        docs = np.repeat(np.arange(batch.num_rows), counts)
+        hit = np.zeros(batch.num_rows, dtype=bool)
+        hit[docs[mine]] = True
+        if not hit.any():
+            continue
+        parts = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        tokens, _ = sequences(batch.column("_tokens").filter(pa.array(hit)), length)
+        held = pa.py_buffer(tokens.reshape(-1, length)[mine[hit[docs]]])
+        n = int(mine.sum())
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (length * TOKEN.itemsize))
         yield pa.record_batch(
             [
-                pa.array(slots.astype(np.int64)),
-                batch.column("_id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts))),
-                pa.array(np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)),
-                pa.Array.from_buffers(pa.binary(), total, [None, offsets.buffers()[1], pa.py_buffer(tokens)]),
+                pa.array(slots[mine].astype(np.int64)),
+                batch.column("_id").take(pa.array(docs[mine])),
+                pa.array(parts[mine]),
+                pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], held]),
             ],
             names=["slot", "doc_id", "part", "tokens"],
         )
@@ -124,59 +142,82 @@ def _placed(
         raise RuntimeError("the input gave other rows than when it was counted")
 
 
-def materialise(
-    docs: DataFrame,
-    key: str,
-    length: int = SEQUENCE,
-    shard: int = SHARD,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    partition_bytes: int = PARTITION_BYTES,
-    path: str = VOCABULARY,
-) -> DataFrame:
-    """All sequences in training order: slot, shard, byte_offset, doc_id, part, tokens.
+class Order:
+    """The sequences of a table and their training order; ``rows`` gives them by slot.
 
     Texts are encoded once, each with the vocabulary's end token, and the ids stored. One
     pass over these counts the sequences of each partition; only the counts, one number
-    per partition, reach the driver. A second pass numbers the sequences from there; a
+    per partition, reach the driver. Another pass numbers the sequences from there; a
     partition that gives other rows than when it was counted is an error, never a wrong
-    order. Slots are 0 to the number of sequences less one. ``tokens`` has ``length`` ids of
-    two bytes; ``byte_offset`` is its place in the shard.
+    order.
+    """
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        key: str,
+        length: int = SEQUENCE,
+        shard: int = SHARD,
+        id_col: str = "doc_id",
+        text_col: str = "text",
+        partition_bytes: int = PARTITION_BYTES,
+        path: str = VOCABULARY,
+    ):
+        texts = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
+        self.key, self.length, self.shard = key, length, shard
+        self.id_type = texts.schema["_id"].dataType.simpleString()
+        self.source = stored(
+            shipped(texts).mapInArrow(lambda it: _encoded(it, path), f"_id {self.id_type}, _tokens binary"),
+            compression="zstd",
+        ).withColumn("_pid", F.spark_partition_id())
+        self.width = width = length * TOKEN.itemsize
+        sized = F.expr(f"(octet_length(_tokens) + {width} - 1) div {width}")
+        counted = self.source.groupBy("_pid").agg(F.sum(sized).alias("n")).orderBy("_pid").collect()
+        self.first, self.size = {}, 0
+        for row in counted:
+            self.first[row["_pid"]] = (self.size, self.size + row["n"])
+            self.size += row["n"]
+        self.per_range = max(1, partition_bytes // (shard * width)) * shard
+
+    def rows(self, start: int = 0, stop: int | None = None) -> DataFrame:
+        """The sequences of slots from ``start`` to before ``stop``, in order; other sequences aren't shuffled."""
+        first, size, length, key, per_range = self.first, self.size, self.length, self.key, self.per_range
+        stop = size if stop is None else min(stop, size)
+        rows = self.source.mapInArrow(
+            lambda it: _placed(it, first, size, length, key, start, stop),
+            f"slot long, doc_id {self.id_type}, part long, tokens binary",
+        )
+        ranges = max(1, -(-(stop - start) // per_range))
+        return (
+            rows.repartitionById(ranges, F.expr(f"cast((slot - {start}) div {per_range} as int)"))
+            .sortWithinPartitions("slot")
+            .select(
+                "slot",
+                F.expr(f"slot div {self.shard}").alias("shard"),
+                F.expr(f"slot % {self.shard} * {self.width}").alias("byte_offset"),
+                "doc_id",
+                "part",
+                "tokens",
+            )
+        )
+
+    def passes(self, most: int = PASSES) -> list[DataFrame]:
+        """``rows`` in ``most`` stretches of whole ranges, or fewer; no range, and so no shard, is in two."""
+        ranges = max(1, -(-self.size // self.per_range))
+        step = -(-ranges // most) * self.per_range
+        return [self.rows(start, start + step) for start in range(0, max(1, self.size), step)]
+
+
+def materialise(docs: DataFrame, key: str, *args, **options) -> DataFrame:
+    """All sequences in training order: slot, shard, byte_offset, doc_id, part, tokens.
+
+    Takes what ``Order`` takes. Slots are 0 to the number of sequences less one. ``tokens``
+    has ``length`` ids of two bytes; ``byte_offset`` is its place in the shard.
 
     Defined cases: null and empty texts are one sequence with an end token; equal rows get
     slots of their own; an empty table gives an empty result; other columns are not read.
     """
-    texts = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    id_type = texts.schema["_id"].dataType.simpleString()
-    source = stored(
-        shipped(texts).mapInArrow(lambda it: _encoded(it, path), f"_id {id_type}, _tokens binary"),
-        compression="zstd",
-    ).withColumn("_pid", F.spark_partition_id())
-    width = length * TOKEN.itemsize
-    sized = F.expr(f"(octet_length(_tokens) + {width} - 1) div {width}")
-    counted = source.groupBy("_pid").agg(F.sum(sized).alias("n")).orderBy("_pid").collect()
-    first, size = {}, 0
-    for row in counted:
-        first[row["_pid"]] = (size, size + row["n"])
-        size += row["n"]
-    rows = source.mapInArrow(
-        lambda it: _placed(it, first, size, length, key),
-        f"slot long, doc_id {id_type}, part long, tokens binary",
-    )
-    per_range = max(1, partition_bytes // (shard * width)) * shard
-    ranges = max(1, -(-size // per_range))
-    return (
-        rows.repartitionById(ranges, F.expr(f"cast(slot div {per_range} as int)"))
-        .sortWithinPartitions("slot")
-        .select(
-            "slot",
-            F.expr(f"slot div {shard}").alias("shard"),
-            F.expr(f"slot % {shard} * {width}").alias("byte_offset"),
-            "doc_id",
-            "part",
-            "tokens",
-        )
-    )
+    return Order(docs, key, *args, **options).rows()
 
 
 def _shard_name(folder: str, shard: int) -> str:
@@ -263,21 +304,25 @@ def _read_back(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> It
         file.close()
 
 
-def through_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
-    """Write the shards of ``materialise`` into a shared folder (a URI) and read them back.
+def through_shards(order: Order, folder: str, passes: int = PASSES) -> DataFrame:
+    """Write all shards of an order into a shared folder (a URI) and read them back.
 
-    The rows are those of ``ordered`` with the tokens as the files hold them, and
+    The rows are those of ``materialise`` with the tokens as the files hold them, and
     ``sequences`` and ``sha256`` of their shard. A range of slots is held by its task
-    without the tokens.
+    without the tokens. Each pass shuffles a share of the sequences and drops its shuffle
+    when its shards stand, so that not all are on disk twice beside the stored ids.
 
     Defined cases: those of ``materialise``, whose rows these are; no rows write no file.
     """
-    types = {c: t for c, t in ordered.dtypes if c != "tokens"} | {"sequences": "bigint", "sha256": "string"}
+    stretches = order.passes(passes)
+    types = {c: t for c, t in stretches[0].dtypes if c != "tokens"} | {"sequences": "bigint", "sha256": "string"}
     schema = ", ".join(f"{c} {t}" for c, t in types.items())
-    index = stored(shipped(ordered).mapInArrow(lambda it: _indexed(it, folder), schema))
-    width = length * TOKEN.itemsize
+    index = stored_in_turn(
+        shipped(rows).mapInArrow(lambda it: _indexed(it, folder), schema) for rows in stretches
+    )
+    width = order.width
     return index.mapInArrow(lambda it: _read_back(it, folder, width), f"{schema}, tokens binary").select(
-        *ordered.columns, "sequences", "sha256"
+        *stretches[0].columns, "sequences", "sha256"
     )
 
 
@@ -299,4 +344,4 @@ KEY = "epoch-0"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Arrow takes a local folder's URI with an empty host only.
     folder = re.sub("^file:/(?!/)", "file:///", f"{scratch(spark)}/{uuid.uuid4().hex}")
-    return through_shards(materialise(documents(spark, sf_dir), KEY), folder)
+    return through_shards(Order(documents(spark, sf_dir), KEY), folder)

@@ -2,6 +2,7 @@ import glob
 import hashlib
 import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +10,9 @@ import pytest
 
 import llm.materialise as materialise_module
 from llm import bpe
-from llm.common import scratch
+from llm.common import DROP_SHUFFLES, scratch
 from llm.hashing import mixed
-from llm.materialise import KEY, PAD, TOKEN, materialise, permute, query, read_from, write_shards
+from llm.materialise import KEY, PAD, TOKEN, Order, materialise, permute, query, read_from, through_shards, write_shards
 
 END = 50256
 
@@ -141,3 +142,33 @@ def test_query_writes_the_shards_it_returns(spark):
     assert plain == {(r["slot"], r["doc_id"], r["part"], bytes(r["tokens"])) for r in rows}
     files = os.path.join(re.sub("^file:/*", "/", scratch(spark)), "*", "shard-*.bin")
     assert sum(os.path.getsize(f) for f in glob.glob(files)) >= sum(len(r["tokens"]) for r in rows)
+
+
+def test_passes_shuffle_a_share_each_and_leave_no_shuffle(spark, docs, tmp_path):
+    texts = ["é" * n for n in (0, 1, 3, 4, 7, 8, 9, 200)] + [None, "", "same", "same"]
+    order = Order(docs(texts), "key", length=16, shard=4, partition_bytes=128)
+    whole = {(r["slot"], r["shard"], r["byte_offset"], r["doc_id"], r["part"], bytes(r["tokens"])) for r in order.rows().collect()}
+    stretches = order.passes(3)
+    found = [[r["slot"] for r in s.collect()] for s in stretches]
+    assert len(stretches) == 3 and sum(found, []) == list(range(order.size))
+    assert all(s[0] % 4 == 0 for s in found)
+    kept = lambda: {f for f in glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data")}
+    before = kept()
+    rows = through_shards(order, f"file://{tmp_path}/shards", 3)
+    deadline = time.time() + 20  # executors drop the files a little later
+    while kept() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not kept() - before
+    assert whole == {(r["slot"], r["shard"], r["byte_offset"], r["doc_id"], r["part"], bytes(r["tokens"])) for r in rows.collect()}
+    assert len(whole) == order.size and spark.conf.get(DROP_SHUFFLES, "false") == "false"
+
+
+def test_a_pass_is_given_no_sequence_of_another(docs):
+    order = Order(docs([f"text {i} " * 9 for i in range(40)]), "key", length=8, shard=2, partition_bytes=32)
+    for at, rows in enumerate(order.passes(5)):
+        plan = rows._jdf.queryExecution().executedPlan()
+        assert "Exchange" in plan.toString() and rows.count() < order.size / 4, at
+
+
+def test_no_texts_through_shards(nothing, tmp_path):
+    assert through_shards(Order(nothing, "k"), f"file://{tmp_path}/shards").collect() == []
