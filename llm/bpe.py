@@ -9,6 +9,7 @@ text that keeps only an unfinished character.
 
 from __future__ import annotations
 
+import array
 import codecs
 import functools
 import hashlib
@@ -128,12 +129,13 @@ class Bpe:
             self.results.append(tokens[left + right])
         self.single = [tokens.get(bytes([b])) for b in range(256)]
         self.lookahead = max(len(t) for t in tokens)
-        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.sizes = [len(t) for t in self.texts]
+        self.lengths = np.array(self.sizes, dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.joined = np.frombuffer(b"".join(self.texts), np.uint8)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.rules: dict[int, tuple[int, int, int]] = {}
         self.in_order, made = True, set(self.single)
         for (left, right), rank in self.ranks.items():
@@ -210,6 +212,8 @@ class Bpe:
         self.fits: dict[int, dict[int, bool]] = {}  # by the right token, then the left one
         self.learnt = 0
         self.start = self._state(b"")
+        # The piece before, and after each of its bytes the last token and the automaton's state.
+        self.before, self.last, self.way = b"", [None], [self.start]
 
     def _state(self, text: bytes) -> dict:
         """The automaton's state after ``text``: where each byte leads, as far as it was asked,
@@ -229,22 +233,19 @@ class Bpe:
         state[byte] = to = self._state(state[-2] + bytes((byte,)))
         return to
 
-    def _step(self, text: bytes, last: list) -> None:
-        """Take in the places of ``text`` that ``last`` doesn't have yet.
+    def _step(self, text: bytes, last: list, way: list) -> None:
+        """Take in the places of ``text`` that ``last`` doesn't have yet, from the last state of ``way`` on.
 
         For each place, the last token of the text up to there is the one that fits the last
         token before it; exactly one does, most often the longest. -1: no token ends there.
         Where the text kept begins, a token was certain: none before matters but the one that
         ended there, ``last[0]``.
         """
-        if self.learnt > 8 * self.remembered:
-            self._forget()
-        go, add = self._go, last.append
-        state, begin = self.start, len(last) - 1
-        for byte in text[max(0, begin - self.lookahead) : begin]:
-            state = state.get(byte) or go(state, byte)
+        go, add, pass_by = self._go, last.append, way.append
+        state, begin = way[-1], len(last) - 1
         for p, byte in enumerate(text[begin:], begin + 1):
             state = state.get(byte) or go(state, byte)
+            pass_by(state)
             found = -1
             for size, token, fits in state[-1]:
                 if size > p or (before := last[p - size]) == -1:
@@ -266,10 +267,15 @@ class Bpe:
         Every way on passes one of the places in the lookahead, so what their chains share
         is certain and leaves the memory.
         """
-        text, last = b"", [None]  # last[p]: token that ends at p
+        text, last, state = b"", [None], self.start  # last[p]: token that ends at p
         for block in blocks:
             text += block
-            self._step(text, last)
+            way = [state]
+            self._step(text, last, way)
+            state = way[-1]
+            if self.learnt > 8 * self.remembered:
+                self._forget()
+                state = self._state(text[-self.lookahead :])
             open_places = [p for p in range(max(0, len(text) - self.lookahead + 1), len(text) + 1) if last[p] != -1]
             shared = self._shared(last, open_places)
             if shared > 0:
@@ -284,31 +290,53 @@ class Bpe:
         while len(left) > 1:
             top = max(left)
             left.remove(top)
-            left.add(top - len(self.texts[last[top]]))
+            left.add(top - self.sizes[last[top]])
         return left.pop() if left else 0
 
     def _chain(self, last: list, p: int) -> list[int]:
-        out = []
+        out, sizes = [], self.sizes
         while p > 0:
-            out.append(last[p])
-            p -= len(self.texts[last[p]])
+            out.append(token := last[p])
+            p -= sizes[token]
         return out[::-1]
 
+    def _one_block(self, piece: bytes) -> list[int]:
+        """Tokens of a piece that is taken in at once: the end is known before anything is certain.
+
+        What it begins with like the piece before was taken in with that.
+        """
+        if self.learnt > 8 * self.remembered:
+            self._forget()
+        shared = 0
+        for byte, other in zip(piece, self.before):  # noqa: B905
+            if byte != other:
+                break
+            shared += 1
+        self.before = piece[:shared]
+        del self.last[shared + 1 :], self.way[shared + 1 :]
+        self._step(piece, self.last, self.way)
+        self.before = piece
+        return self._chain(self.last, len(piece))
+
     def piece(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of a piece, from the transducer; those of short pieces are remembered for a while.
+        """Tokens of a piece."""
+        return tuple(array.array("I", self._coded(piece)))
+
+    def _coded(self, piece: bytes) -> bytes:
+        """A piece's tokens as numbers of 32 bits, from the transducer; those of short pieces are
+        remembered for a while.
 
         What was not asked for since the memory was last full is forgotten next time.
         """
         out = self.older.get(piece)
         if out is None:
             if len(piece) > BLOCK:
-                out = tuple(self.streamed(piece[i : i + BLOCK] for i in range(0, len(piece), BLOCK)))
+                ids = self.streamed(piece[i : i + BLOCK] for i in range(0, len(piece), BLOCK))
             elif (token := self.ids.get(piece)) is not None:
-                out = (token,)  # fits nothing but the beginning, and is the longest way there
-            else:  # one block: the end is known before anything is certain
-                last: list = [None]
-                self._step(piece, last)
-                out = tuple(self._chain(last, len(piece)))
+                ids = (token,)  # fits nothing but the beginning, and is the longest way there
+            else:
+                ids = self._one_block(piece)
+            out = array.array("I", ids).tobytes()
         if len(piece) <= SHORT:
             if len(self.known) >= self.remembered:
                 self.older, self.known = self.known, {}
@@ -318,7 +346,8 @@ class Bpe:
     def chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of texts without special tokens, one after the other, and their numbers.
 
-        Equal pieces, by their bytes, are looked up once.
+        Equal pieces, by their bytes, are looked up once, and those not known in the order
+        of their bytes, so that neighbours begin alike.
         """
         joined = "".join(texts)
         if not joined:
@@ -326,17 +355,21 @@ class Bpe:
         points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(t) for t in texts])
         at = np.flatnonzero(piece_starts(points, ends))
-        wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        offsets = np.concatenate([[0], np.cumsum(wide)])
         data = joined.encode()
-        begins = offsets[at]
+        # Every byte but a character's later ones begins a character.
+        begins = at if len(data) == len(joined) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[at]
         # Equal pieces share a number, in the order that they come up first.
         cuts = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
         coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
         which = coded.indices.to_numpy()
-        found = [self.known.get(piece) or self.piece(piece) for piece in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        _, cuts, held = coded.dictionary.buffers()
+        cuts, held = np.frombuffer(cuts, np.int64, len(coded.dictionary) + 1).tolist(), held.to_pybytes()
+        pieces = [held[i:j] for i, j in itertools.pairwise(cuts)]
+        found = list(map(self.known.get, pieces))
+        for i in sorted((i for i, ids in enumerate(found) if ids is None), key=pieces.__getitem__):
+            found[i] = self._coded(pieces[i])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         first = np.cumsum(sizes) - sizes
         per_piece = sizes[which]
         to = np.cumsum(per_piece)
@@ -345,19 +378,20 @@ class Bpe:
         upto = np.concatenate([[0], to])[np.searchsorted(at, ends, "left")]
         return out, np.diff(np.concatenate([[0], upto]))
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Token ids of each text; chunks of ``CHUNK`` characters are encoded together."""
+    def encode(self, texts: list[str], chunk: int | None = None) -> Iterator[np.ndarray]:
+        """Token ids of each text; chunks of ``chunk`` or else ``CHUNK`` characters are encoded together."""
+        chunk = chunk or CHUNK
         parts: list[tuple[str, int | None]] = []  # text, special token after it
         counts, held = [], 0
         for text in texts:
-            mine = [p for plain, special in self._split(text) for p in _cut(plain, special)]
+            mine = [p for plain, special in self._split(text) for p in _cut(plain, special, chunk)]
             counts.append(len(mine))
             parts += mine
             held += len(text)
-            if held >= CHUNK:
-                yield from self._gathered(parts, counts)
+            if held >= chunk:
+                yield from self._gathered(parts, counts, chunk)
                 parts, counts, held = [], [], 0
-        yield from self._gathered(parts, counts)
+        yield from self._gathered(parts, counts, chunk)
 
     def _split(self, text: str) -> Iterator[tuple[str, int | None]]:
         at = 0
@@ -367,7 +401,7 @@ class Bpe:
                 at = found.end()
         yield text[at:], None
 
-    def _gathered(self, parts, counts) -> Iterator[np.ndarray]:
+    def _gathered(self, parts, counts, chunk: int) -> Iterator[np.ndarray]:
         ids: list[list[np.ndarray]] = []
         batch, size = [], 0
 
@@ -379,7 +413,7 @@ class Bpe:
         for part in parts:
             batch.append(part)
             size += len(part[0])
-            if size >= CHUNK:
+            if size >= chunk:
                 flush()
                 batch, size = [], 0
         if batch:
@@ -406,12 +440,12 @@ class Bpe:
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _cut(text: str, special: int | None) -> Iterator[tuple[str, int | None]]:
-    """A long text in parts of about ``CHUNK`` characters, cut where a piece must begin: at
+def _cut(text: str, special: int | None, chunk: int) -> Iterator[tuple[str, int | None]]:
+    """A long text in parts of about ``chunk`` characters, cut where a piece must begin: at
     a blank between two characters that are none."""
     at = 0
-    while len(text) - at > CHUNK:
-        cut = _INNER.search(text, at + CHUNK)
+    while len(text) - at > chunk:
+        cut = _INNER.search(text, at + chunk)
         if not cut:
             break
         yield text[at : cut.start()], None

@@ -8,6 +8,7 @@ so a reader finds any slot by arithmetic and can go on anywhere.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ PASSES = 4
 TOKEN = np.dtype("<u2")
 #: Pieces that a task remembers while it encodes; nothing else takes its memory here.
 REMEMBERED = 500_000
+#: Characters encoded at once, so that a word is looked up once for all their texts.
+CHUNK = 2 << 20
 PAD = np.iinfo(TOKEN).max
 
 ROUNDS = 6
@@ -92,7 +95,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     end = np.array([max(model.specials.values())], TOKEN)
     for batch in batches:
         texts = [t or "" for t in batch.column("_text").to_pylist()]
-        ids = [np.concatenate([a.astype(TOKEN), end]).tobytes() for a in model.encode(texts)]
+        ids = [np.concatenate([a.astype(TOKEN), end]).tobytes() for a in model.encode(texts, CHUNK)]
         yield pa.record_batch([batch.column("_id"), pa.array(ids, pa.binary())], names=["_id", "_tokens"])
 
 
@@ -238,16 +241,22 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
         done.append({"shard": shard, "path": name, "sequences": count, "sha256": digest.hexdigest()})
 
     for batch in batches:
-        for at, tokens in zip(batch.column("shard"), batch.column("tokens"), strict=True):
-            if at.as_py() != shard:
+        shards, column = batch.column("shard").to_numpy(), batch.column("tokens").cast(pa.large_binary())
+        _, ends, held = column.buffers()
+        ends = np.frombuffer(ends, np.int64)[column.offset :] if len(column) else [0]
+        # Rows of one shard that follow each other are written at once.
+        changes = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for start, stop in itertools.pairwise(changes if len(shards) else []):
+            if shards[start] != shard:
                 if out:
                     close()
-                shard, count, digest = at.as_py(), 0, hashlib.sha256()
+                shard, count, digest = int(shards[start]), 0, hashlib.sha256()
                 name = _shard_name(root, shard)
                 out = files.open_output_stream(f"{name}.{part}")
-            out.write(tokens.as_buffer())
-            digest.update(tokens.as_buffer())
-            count += 1
+            tokens = held.slice(int(ends[start]), int(ends[stop] - ends[start]))
+            out.write(tokens)
+            digest.update(tokens)
+            count += stop - start
     if out:
         close()
     if done:
@@ -291,15 +300,23 @@ def _read_back(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> It
     files, root = pafs.FileSystem.from_uri(folder)
     file = shard = None
     for batch in batches:
-        tokens = []
-        for at, offset in zip(batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), strict=True):
-            if at != shard:
+        tokens, n = [], batch.num_rows
+        shards, offsets = batch.column("shard").to_numpy(), batch.column("byte_offset").to_numpy()
+        # Rows that follow each other in a shard are read at once.
+        changes = np.flatnonzero((np.diff(shards) != 0) | (np.diff(offsets) != width)) + 1
+        for start, stop in itertools.pairwise([0, *changes.tolist(), n] if n else []):
+            if shards[start] != shard:
                 if file:
                     file.close()
-                file, shard = files.open_input_file(_shard_name(root, at)), at
-            file.seek(offset)
-            tokens.append(file.read(width))
-        yield batch.append_column("tokens", pa.array(tokens, pa.binary()))
+                shard = int(shards[start])
+                file = files.open_input_file(_shard_name(root, shard))
+            file.seek(int(offsets[start]))
+            tokens.append(file.read((stop - start) * width))
+        held = b"".join(tokens)
+        if len(held) != n * width:
+            raise RuntimeError("a shard is shorter than its rows")
+        ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width)
+        yield batch.append_column("tokens", pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(held)]))
     if file:
         file.close()
 

@@ -128,3 +128,21 @@ def test_digests(docs, nothing, library):
         assert rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.digests(nothing).collect() == [] and bpe.encode(nothing).collect() == []
+
+
+def test_pieces_that_begin_alike_are_taken_in_once(library, monkeypatch):
+    rng = random.Random(8)
+    ends = ["".join(rng.choice("aeinrst") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(f"Etzyqhw{end}" for end in ends), "".join(f" {end}é1" for end in ends), "x" * 9000 + " xx"]
+    taken, step = [], bpe.Bpe._step
+    monkeypatch.setattr(
+        bpe.Bpe, "_step", lambda self, text, last, *more: (taken.append(len(text) + 1 - len(last)), step(self, text, last, *more))[1]
+    )
+    model = bpe.Bpe(bpe.VOCABULARY, 100_000)
+    check(model, library, texts[:1])
+    words = {f" Etzyqhw{end}" for end in ends}
+    assert len(taken) >= len(words) and sum(taken) < 0.5 * sum(map(len, words))
+    small = bpe.Bpe(bpe.VOCABULARY, 5)  # forgets its automaton between pieces
+    for _ in range(3):
+        rng.shuffle(texts)
+        check(small, library, texts)

@@ -172,3 +172,58 @@ def test_a_pass_is_given_no_sequence_of_another(docs):
 
 def test_no_texts_through_shards(nothing, tmp_path):
     assert through_shards(Order(nothing, "k"), f"file://{tmp_path}/shards").collect() == []
+
+
+def test_rows_that_follow_each_other_are_written_and_read_at_once(tmp_path, monkeypatch):
+    calls = []
+    real = materialise_module.pafs.FileSystem.from_uri
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def write(self, data):
+            calls.append("write")
+            return self.file.write(data)
+
+        def read(self, size):
+            calls.append("read")
+            return self.file.read(size)
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def open_output_stream(self, name):
+            return Counted(self.files.open_output_stream(name))
+
+        def open_input_file(self, name):
+            return Counted(self.files.open_input_file(name))
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    def from_uri(uri):
+        files, root = real(uri)
+        return Files(files), root
+
+    monkeypatch.setattr(materialise_module, "pafs", type("Files", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(from_uri)})}))
+    monkeypatch.setattr(materialise_module, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Attempt", (), {"taskAttemptId": lambda self: 1})())}))
+    slots = np.arange(40)
+    tokens = pa.array([bytes([i, i + 1]) for i in range(40)], pa.binary())
+    rows = pa.record_batch({"shard": pa.array(slots // 16), "byte_offset": pa.array(slots % 16 * 2), "tokens": tokens})
+    folder = f"file://{tmp_path}"
+    manifest = [r for b in materialise_module._written(iter([rows.slice(0, 0), rows.slice(0, 10), rows.slice(10)]), folder) for r in b.to_pylist()]
+    assert [(m["shard"], m["sequences"]) for m in manifest] == [(0, 16), (1, 16), (2, 8)]
+    held = [b"".join(tokens[i : i + 16].to_pylist()) for i in (0, 16, 32)]
+    assert [m["sha256"] for m in manifest] == [hashlib.sha256(h).hexdigest() for h in held]
+    assert calls == ["write"] * 4
+    calls.clear()
+    index = rows.drop_columns(["tokens"])
+    asked = [index.slice(0, 0), index.slice(3, 20), index.take(pa.array([30, 5, 6, 39]))]
+    back = [b["tokens"].to_pylist() for b in materialise_module._read_back(iter(asked), folder, 2)]
+    assert back == [[], tokens[3:23].to_pylist(), tokens.take(pa.array([30, 5, 6, 39])).to_pylist()]
+    assert calls == ["read"] * 5
