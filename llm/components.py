@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import stored
+from llm.common import stored, stored_in_turn
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -15,12 +15,15 @@ def connected(links: DataFrame) -> DataFrame:
     its smaller ones, to the smallest vertex it knows, until nothing changes. The number
     of rounds grows with the logarithm of the graph; rows never exceed the links, and a
     vertex with many links is summed up before it is shuffled. Each round is stored, so
-    lineage stays short. Loops don't matter; without links there are no vertices.
+    lineage stays short; what it took to make the links leaves the disk with the first. Loops
+    don't matter; without links there are no vertices.
     """
-    edges = stored(
-        links.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+    edges = stored_in_turn(
+        [
+            links.where("a <> b")
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .distinct()
+        ]
     )
     seen = None
     while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != seen:

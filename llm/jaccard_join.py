@@ -3,20 +3,22 @@
 Sets of word shingles of about equal size that are similar enough differ in few elements.
 If the domain of shingles is dealt into more parts than that, some parts are alike in
 both; a signature is what a set holds in a chosen subset of parts, so similar sets share
-one. Sets that share a signature are candidates; candidates are compared exactly.
+one. Sets that share a signature are candidates. Large groups of candidates are sifted by
+short marks of their sets first, which never part similar ones; what is left is compared exactly.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, in_worker, quoted, shipped, stored, without
+from llm.common import documents, in_worker, quoted, shipped, stored, stored_in_turn, without
 from llm.components import connected
 from llm.hashing import Digests, mixed, raw
 
@@ -28,9 +30,14 @@ CHUNK, BUCKET, BLOCK = 1 << 20, 4_000_000, 1024
 #: Shingles of a block's members, about; signatures, and classes, that a task gathers before it
 #: deals them out to the buckets. A place among the classes has 16 bits.
 BLOCK_SHINGLES, DEALT, DEALT_CLASSES = 8_000_000, 1_000_000, 60_000
+#: So many times more members and shingles make a block in which only marks are compared.
+MARKED, MARKED_SHINGLES = 4, 32
+#: Bytes that a pass over the blocks shuffles, about: so many for each shingle of the input's sets, but
+#: so many in all at least. The bytes of a shingle in a set, and in a mark at most.
+ROOM, ROOM_LEAST, SET_BYTES, MARK_BYTES = 4, 64_000_000, 8, 0.25
 #: Sets up to this size choose two of three parts, larger ones a single part of so many
 #: parts per element.
-PAIRED, PARTS = 64, 0.25
+PAIRED, PARTS = 64, 0.3
 #: A shingle in this share of sets is frequent. Tasks count so many shingles at a time and
 #: report those of half that share, and in so many sets at least.
 FREQUENT, COUNTED, FREQUENT_LEAST = 0.0005, 2_000_000, 3
@@ -110,6 +117,11 @@ def signatures(
     parts, more triples than pairs of differences can. Two sets that both fall short have
     signatures of a second kind in common: single elements of their prefix, infrequent
     ones first.
+
+    Of parts that count alone a set signs the fullest, one more than differences can touch: of
+    two similar sets, the one that stops at the fuller part has an untouched one before it,
+    and the other, with the same part, goes on further. Parts of a single element, which
+    unrelated texts share by chance, so hardly ever sign.
     """
     sizes = np.bincount(owner, minlength=texts)
     tops = bands(per_cent)
@@ -135,12 +147,17 @@ def signatures(
             new = np.ones(len(mine), dtype=bool)
             new[1:] = (mine[1:] != mine[:-1]) | (part[1:] != part[:-1])
             first = np.flatnonzero(new)
+            held = np.diff(np.append(first, len(mine)))
             mine, part, load = mine[first], part[first], _sums(load, first)
             # One part alone.
             one = ~paired[mine]
-            owners.append(mine[one])
-            signs.append(mixed(load[one] + tag[mine[one]] + _salted(part[one].astype(np.uint64), 4)))
-            filled = np.bincount(mine[one], minlength=texts)
+            who, held = mine[one], held[one]
+            sign = mixed(load[one] + tag[who] + _salted(part[one].astype(np.uint64), 4))
+            filled = np.bincount(who, minlength=texts)
+            order = np.lexsort((sign, -held, who))
+            fullest = np.arange(len(who)) - (np.cumsum(filled) - filled)[who] <= differ[who]
+            owners.append(who[fullest])
+            signs.append(sign[order][fullest])
             # Two of the three parts of a triple.
             mine, part, load = mine[~one], part[~one], load[~one]
             triple = part // 3
@@ -309,18 +326,34 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(row, copies, blocks, items): the texts' sets, packed."""
+def set_bytes(owner: np.ndarray, found: np.ndarray, texts: int) -> list[bytes]:
+    """Sets as bytes, a text's in its place."""
+    cuts = np.cumsum(np.bincount(owner, minlength=texts))[:-1]
+    return [p.astype("<u8").tobytes() for p in np.split(found, cuts)]
+
+
+def mark_bytes(owner: np.ndarray, found: np.ndarray, texts: int) -> list[bytes]:
+    """Marks of sets, a text's in its place: of so many bits as the set has shingles, rounded up to a
+    power of two from 64 on, those that an odd number of shingles fall on.
+
+    Marks of two sets differ in no more bits than the sets differ in shingles.
+    """
+    sizes = np.bincount(owner, minlength=texts)
+    bits = 64 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64)
+    ends = np.cumsum(bits)
+    place = (found & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount((ends - bits)[owner] + place, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [p.tobytes() for p in np.split(packed, ends[:-1] // 8)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch], length: int, pack: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows with their texts' sets as ``items``, as ``pack`` makes them."""
     for batch in batches:
         for first, lot in _lots(raw(batch.column("text"))):
-            owner, found = shingle_sets(lot, length)
-            cuts = np.cumsum(np.bincount(owner, minlength=len(lot)))[:-1]
-            blobs = [p.astype("<u8").tobytes() for p in np.split(found, cuts)]
-            part = batch.slice(first, len(lot))
-            yield pa.record_batch(
-                [part.column("row"), part.column("copies"), part.column("blocks"), pa.array(blobs, pa.binary())],
-                names=["row", "copies", "blocks", "items"],
-            )
+            items = pack(*shingle_sets(lot, length), len(lot))
+            part = batch.slice(first, len(lot)).drop_columns(["text"])
+            yield part.append_column("items", pa.array(items, pa.binary()))
 
 
 def similar_sets(sets: list[np.ndarray], per_cent: int = PER_CENT) -> np.ndarray:
@@ -346,43 +379,46 @@ def similar_sets(sets: list[np.ndarray], per_cent: int = PER_CENT) -> np.ndarray
     return similar
 
 
+def maybe_similar(marks: list[np.ndarray], sizes: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
+    """Which pairs of sets may be linked by their marks and sizes, as a matrix; all that are linked may."""
+    n = len(marks)
+    widths = np.array([len(m) for m in marks], dtype=np.int64)
+    may = np.zeros((n, n), dtype=bool)
+    for width in np.unique(widths):
+        wide = np.flatnonzero(widths >= width)
+        # A mark of half the bits has each bit's sum with the one half the bits on.
+        table = np.stack([np.bitwise_xor.reduce(marks[i].reshape(-1, width), axis=0) for i in wide])
+        for i in np.flatnonzero(widths == width):
+            both = sizes[wide] + sizes[i]
+            near = 100 * np.minimum(sizes[wide], sizes[i]) >= per_cent * np.maximum(sizes[wide], sizes[i])
+            own = np.bitwise_xor.reduce(marks[i].reshape(-1, width), axis=0)
+            apart = np.bitwise_count(table[near] ^ own).sum(axis=1, dtype=np.int64)
+            may[i, wide[near]] = apart <= both[near] * (100 - per_cent) // (100 + per_cent)
+    may |= may.T
+    np.fill_diagonal(may, False)
+    return may
+
+
 def forest(similar: np.ndarray) -> list[tuple[int, int]]:
     """Links that hold together what all links hold together."""
-    group, out = list(range(len(similar))), []
-
-    def root(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
-        a, b = root(int(i)), root(int(j))
-        if a != b:
-            group[max(a, b)] = min(a, b)
-            out.append((int(i), int(j)))
+    left, out = np.ones(len(similar), dtype=bool), []
+    for start in range(len(similar)):
+        if not left[start]:
+            continue
+        left[start], reached = False, [start]
+        for i in reached:
+            fresh = np.flatnonzero(similar[i] & left)
+            left[fresh] = False
+            reached += fresh.tolist()
+            out += [(i, j) for j in fresh.tolist()]
     return out
 
 
-def _compared(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, links) of blocks of candidates: links (a, b) of a spanning forest, and, with b null,
-    how many rows a's set is linked with in the block. A block's rows come one after the other.
-
-    Members of one deal meet in several blocks; links among them count where it is at home.
-    """
-    held: list[tuple] = []
+def _in_turn(batches: Iterator[pa.RecordBatch], links_of: Callable) -> Iterator[pa.RecordBatch]:
+    """(a, b, links), as ``links_of`` gives them for the rows of each block, which come one after the other."""
+    held: list[dict] = []
     out: list[tuple[int, int | None, int]] = []
 
-    def done():
-        rows = [r["row"] for r in held]
-        similar = similar_sets([np.frombuffer(r["items"], "<u8") for r in held], per_cent)
-        out.extend((rows[i], rows[j], 0) for i, j in forest(similar))
-        deal, home = np.array([r["deal"] for r in held]), np.array([r["home"] for r in held])
-        counted = similar & ((deal[:, None] != deal[None, :]) | home[:, None])
-        links = counted @ np.array([r["copies"] for r in held], dtype=np.int64)
-        out.extend((rows[i], None, int(links[i])) for i in np.flatnonzero(links))
-        held.clear()
-
     def batch_of(found):
         a, b, links = zip(*found, strict=True)
         return pa.record_batch(
@@ -392,26 +428,54 @@ def _compared(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.R
     for batch in batches:
         for row in batch.to_pylist():
             if held and held[0]["block"] != row["block"]:
-                done()
+                out += links_of(held)
+                held = []
             held.append(row)
         if out:
             yield batch_of(out)
             out = []
     if held:
-        done()
+        out += links_of(held)
     if out:
         yield batch_of(out)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(row, copies, blocks): names of the blocks that a member of a cluster takes part in, so
+def _compared(held: list[dict], per_cent: int) -> list[tuple[int, int | None, int]]:
+    """Of a block of candidates links (a, b) of a spanning forest, and, with b null, how many rows a's
+    set is linked with in the block.
+
+    Members of one deal meet in several blocks; links among them count where it is at home.
+    """
+    rows = [r["row"] for r in held]
+    similar = similar_sets([np.frombuffer(r["items"], "<u8") for r in held], per_cent)
+    out = [(rows[i], rows[j], 0) for i, j in forest(similar)]
+    deal, home = np.array([r["deal"] for r in held]), np.array([r["home"] for r in held])
+    counted = similar & ((deal[:, None] != deal[None, :]) | home[:, None])
+    links = counted @ np.array([r["copies"] for r in held], dtype=np.int64)
+    return out + [(rows[i], None, int(links[i])) for i in np.flatnonzero(links)]
+
+
+def _sifted(held: list[dict], per_cent: int) -> list[tuple[int, int | None, int]]:
+    """Of a block's marks links (a, b) that hold together what may be similar."""
+    marks = [np.frombuffer(r["items"], "<u8") for r in held]
+    may = maybe_similar(marks, np.array([r["n"] for r in held], dtype=np.int64), per_cent)
+    return [(held[i]["row"], held[j]["row"], 0) for i, j in forest(may)]
+
+
+def _size(rows: Column, items: Column, more: int = 1, more_shingles: int = 1) -> Column:
+    """How many blocks so many members and shingles are."""
+    return F.greatest(rows / (BLOCK * more), items / (BLOCK_SHINGLES * more_shingles))
+
+
+def _blocks(members: DataFrame, more: int, more_shingles: int) -> DataFrame:
+    """(row, copies, n, blocks): names of the blocks that a member of a cluster takes part in, so
     that every two members that may be similar meet in one.
 
-    A cluster of at most BLOCK members and BLOCK_SHINGLES shingles is one block. In larger ones
-    the members of a band are dealt out, half a block each; two deals of one band or of
-    neighbouring bands are a block, and a deal without any other to meet is one by itself.
+    A cluster of at most ``more`` BLOCK members and ``more_shingles`` BLOCK_SHINGLES shingles is one
+    block. In larger ones the members of a band are dealt out, half a block each; two deals of one band
+    or of neighbouring bands are a block, and a deal without any other to meet is one by itself.
     """
-    blocks = lambda rows, items: F.greatest(rows / BLOCK, items / BLOCK_SHINGLES)
+    blocks = lambda rows, items: _size(rows, items, more, more_shingles)
     sizes = members.groupBy("cluster").agg(blocks(F.count("*"), F.sum("n")).alias("all"))
     deals = stored(
         members.groupBy("cluster", "band")
@@ -448,7 +512,55 @@ def _blocks(members: DataFrame) -> DataFrame:
         each(F.col("below"), lambda j: name(band - 1, j, band, own)),
     )
     whole = F.array(F.col("cluster").cast("string"))
-    return dealt.select("row", "copies", F.when(F.col("deals").isNull(), whole).otherwise(many).alias("blocks"))
+    return dealt.select("row", "copies", "n", F.when(F.col("deals").isNull(), whole).otherwise(many).alias("blocks"))
+
+
+def _met(
+    texts: DataFrame, blocks: DataFrame, length: int, pack: Callable, links_of: Callable, bytes_each: float, room: int
+) -> DataFrame:
+    """(a, b, links) of all blocks, as ``links_of`` gives them.
+
+    A member goes to each of its blocks. Blocks are met in as many passes as keep the bytes of
+    a pass within ``room``, and each pass drops its shuffle, so disk doesn't grow with the blocks.
+    """
+    blocks = stored(blocks)
+    sent = blocks.agg(F.coalesce(F.sum(F.col("n") * F.size("blocks")), F.lit(0))).first()[0]
+    passes = max(1, math.ceil(sent * bytes_each / room))
+    columns = "row long, copies long, n long, deal long, first string, blocks array<string>"
+
+    def one(turn: int) -> DataFrame:
+        mine = F.filter("blocks", lambda b: F.pmod(F.xxhash64(b), F.lit(passes)) == turn)
+        deal, first = F.xxhash64("blocks").alias("deal"), F.get("blocks", F.lit(0)).alias("first")
+        own = blocks.select("row", "copies", "n", deal, first, mine.alias("blocks")).where(F.size("blocks") > 0)
+        return (
+            # Like that at every size, as the larger inputs need it.
+            texts.join(own.hint("merge"), "row")
+            .select(*own.columns, "text")
+            .mapInArrow(lambda it: _packed(it, length, pack), f"{columns}, items binary")
+            .withColumn("block", F.explode("blocks"))
+            .select("block", "row", "copies", "n", "items", "deal", (F.col("block") == F.col("first")).alias("home"))
+            .repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+            .sortWithinPartitions("block")
+            .mapInArrow(lambda it: _in_turn(it, links_of), "a long, b long, links long")
+        )
+
+    return stored_in_turn(one(turn) for turn in range(passes))
+
+
+def _sift(texts: DataFrame, members: DataFrame, length: int, per_cent: int, room: int) -> DataFrame:
+    """``members``, those of clusters beyond a block in smaller clusters, which their marks hold
+    together, or gone, if their marks rule out all others."""
+    large = members.groupBy("cluster").agg(_size(F.count("*"), F.sum("n")).alias("all")).where(F.col("all") > 1)
+    large = stored(large.select("cluster"))
+    if large.isEmpty():
+        return members
+    beyond = stored(members.join(large, "cluster").select(*members.columns))
+    blocks = _blocks(beyond, MARKED, MARKED_SHINGLES)
+    links = _met(texts, blocks, length, mark_bytes, lambda held: _sifted(held, per_cent), MARK_BYTES, room)
+    found = connected(links.select("a", "b"))
+    kept = beyond.drop("cluster").join(found, F.col("row") == F.col("vertex"))
+    kept = kept.withColumn("cluster", F.col("component")).select(*members.columns)
+    return stored(members.join(large, "cluster", "left_anti").select(*members.columns).union(kept))
 
 
 def jaccard_components(
@@ -467,9 +579,10 @@ def jaccard_components(
 
     Equal sets are one class throughout. Signatures go through buckets that hold a bounded
     number each; a class of one lot signs once. What shares a signature, directly or in
-    turn, is a cluster, and every two sets of a cluster of possibly similar sizes are
-    compared in blocks of bounded size. Numbers of links and the links of a spanning forest
-    leave a block.
+    turn, is a cluster. One beyond a block is sifted by marks of its sets, some fiftieth of their
+    size, into clusters of what these don't rule out. Every two sets of a cluster of possibly
+    similar sizes are compared in blocks of bounded size, in passes that shuffle a bounded
+    share of the input and drop it. Numbers of links and the links of a spanning forest leave a block.
     Frequent shingles, a number bounded by the sets' mean size over ``FREQUENT``, go to the
     tasks as a list; they only save work.
 
@@ -509,16 +622,9 @@ def jaccard_components(
             F.col("rep").alias("row"), F.col("component").alias("cluster"), band.alias("band"), "n", "copies"
         )
     )
-    compared = stored(
-        texts.join(_blocks(members), "row")
-        .select("row", "copies", "text", "blocks")
-        .mapInArrow(lambda it: _set_rows(it, length), "row long, copies long, blocks array<string>, items binary")
-        .select("row", "copies", "items", F.xxhash64("blocks").alias("deal"), F.posexplode("blocks").alias("at", "block"))
-        .select("block", "row", "copies", "items", "deal", (F.col("at") == 0).alias("home"))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-        .sortWithinPartitions("block")
-        .mapInArrow(lambda it: _compared(it, per_cent), "a long, b long, links long")
-    )
+    room = max(ROOM * shingles, ROOM_LEAST)
+    blocks = _blocks(_sift(texts, members, length, per_cent, room), 1, 1)
+    compared = _met(texts, blocks, length, set_bytes, lambda held: _compared(held, per_cent), SET_BYTES, room)
     found = connected(compared.where("b IS NOT NULL").select("a", "b"))
     degrees = compared.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = (

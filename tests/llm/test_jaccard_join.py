@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from llm import jaccard_join
 from llm.components import connected
-from llm.jaccard_join import bands, drop_near_duplicates, jaccard_components, shingle_sets, signatures
+from llm.jaccard_join import bands, drop_near_duplicates, jaccard_components, mark_bytes, maybe_similar, shingle_sets, signatures
 from tests.llm.conftest import thue_morse
 
 
@@ -80,6 +80,88 @@ def test_blocks_are_bounded_by_shingles_too(docs, monkeypatch):
     assert told(jaccard_components(docs(pairs)).collect()) == by_hand(pairs)
 
 
+def test_large_clusters_meet_in_passes_that_drop_their_shuffle(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    monkeypatch.setattr(jaccard_join, "MARKED", 2)
+    monkeypatch.setattr(jaccard_join, "ROOM", 0)
+    monkeypatch.setattr(jaccard_join, "ROOM_LEAST", 100_000)
+    passes, in_turn = [], jaccard_join.stored_in_turn
+
+    def counted(frames):
+        frames = list(frames)
+        passes.append(len(frames))
+        return in_turn(frames)
+
+    monkeypatch.setattr(jaccard_join, "stored_in_turn", counted)
+    pairs = corpus(random.Random(7), 120)
+    assert told(jaccard_components(docs(pairs)).collect()) == by_hand(pairs)
+    # Marks, which take a thirtieth of the room, and sets.
+    assert len(passes) == 2 and passes[0] < passes[1] and passes[1] > 3
+
+
+def test_what_only_chance_holds_together_is_sifted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    rng = random.Random(11)
+    many = [[str(rng.randrange(10**6)) for _ in range(rng.choice([20, 90, 700]))] for _ in range(150)]
+    near = [[*many[0][:-1], f"n{i}"] for i in range(9)]
+    texts = [" ".join(words).encode() for words in [*many, *near, *many[1:4]]]
+    sizes = [len(t.split()) - 4 for t in texts]
+    rows = [(i, 7 if i < 159 else 8, int(np.searchsorted(bands(80), n)), n, 1) for i, n in enumerate(sizes)]
+    members = spark.createDataFrame(rows, "row long, cluster long, band int, n long, copies long")
+    given = spark.createDataFrame(list(enumerate(texts)), "row long, text binary")
+    left = jaccard_join._sift(given, members, 5, 80, 10**9).collect()
+    assert sorted(r["row"] for r in left) == [0, *range(150, 162)]
+    assert len({r["cluster"] for r in left if r["row"] < 159}) == 1
+    assert {r["cluster"] for r in left if r["row"] >= 159} == {8}
+
+
+def test_marks_part_unrelated_sets_and_no_similar_ones():
+    rng = np.random.default_rng(12)
+    for trial in range(300):
+        size = int(rng.choice([1, 4, 5, 9, 20, 63, 64, 65, 130, 500, 3000]))
+        a = rng.integers(1, 2**63, size, dtype=np.uint64)
+        away = int(rng.integers(0, size // 8 + 2))
+        b = np.concatenate([a[away:], rng.integers(1, 2**63, int(rng.integers(0, size // 8 + 2)), dtype=np.uint64)])
+        other = rng.integers(1, 2**63, size, dtype=np.uint64)
+        sets = [np.sort(x) for x in (a, b, other) if len(x)]
+        sizes = np.array([len(x) for x in sets])
+        marks = mark_bytes(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets))
+        assert all(len(m) * 8 < 2 * max(n, 64) for m, n in zip(marks, sizes, strict=True))
+        may = maybe_similar([np.frombuffer(m, "<u8") for m in marks], sizes)
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            assert may[0, 1] and may[1, 0], (trial, size)
+        assert not may[0, -1] or size < 9
+
+
+def test_unrelated_sets_hardly_share_signatures():
+    rng = np.random.default_rng(13)
+    common = 0
+    for _ in range(200):
+        a, b = rng.integers(1, 2**63, (2, 800), dtype=np.uint64)
+        b[:30] = a[:30]
+        owner, signs = signatures(
+            np.repeat([0, 1], 800), np.concatenate([np.sort(a), np.sort(b)]), 2, np.empty(0, np.uint64)
+        )
+        common += len(set(signs[owner == 0]) & set(signs[owner == 1]))
+    assert common < 5  # 25 where parts of one element sign, too
+
+
+def test_links_of_a_forest_hold_together_what_all_links_do():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 30, 60):
+        similar = rng.random((n, n)) < 1 / n
+        similar = np.triu(similar, 1)
+        similar |= similar.T
+        links = jaccard_join.forest(similar)
+        reach, trees = np.linalg.matrix_power((similar | np.eye(n, dtype=bool)).astype(float), n) > 0, np.eye(n, dtype=bool)
+        for i, j in links:
+            assert similar[i, j]
+            trees[i, j] = trees[j, i] = True
+        assert (np.linalg.matrix_power(trees.astype(float), n) > 0).tolist() == reach.tolist()
+        assert len(links) == n - len(np.unique(reach, axis=0))
+
+
 def test_words_whose_hashes_collide(docs):
     pairs = []
     for n, size in enumerate((1024, 2048, 4096)):
