@@ -1,4 +1,7 @@
+import glob
+import os
 import random
+import time
 import weakref
 
 from tokenizers import Tokenizer
@@ -60,3 +63,28 @@ def test_a_worker_keeps_what_one_stage_learnt_not_all():
     assert b"a" in words()
     assert toxicity.matches(" fool ", toxicity.Lexicon(((" fool ", 2.0),))) == [(0, " fool ", 2.0)]
     assert words() is None
+
+
+def test_near_copies_leave_no_shuffle_of_signatures_or_texts(spark, docs):
+    rng = random.Random(15)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(3000)) for _ in range(60)]
+    texts += [f"{t} {i}" for i, t in enumerate(texts[:20])]
+    given = docs(texts)
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    kept = corpus_pipeline.drop_near_copies(spark, given, "")
+
+    def left():
+        total = 0
+        for f in files() - before:
+            try:
+                total += os.path.getsize(f)
+            except FileNotFoundError:  # dropped meanwhile
+                pass
+        return total
+
+    deadline = time.time() + 20  # executors drop the files a little later
+    while left() > sum(map(len, texts)) / 20 and time.time() < deadline:
+        time.sleep(0.2)
+    assert left() <= sum(map(len, texts)) / 20
+    assert kept.count() == 60
